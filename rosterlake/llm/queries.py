@@ -7,17 +7,52 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterlake.llm import byte_bpe, exact_dedup, mixing, quality, simhash
+from rosterlake.llm import (
+    byte_bpe,
+    embedding_dedup,
+    exact_dedup,
+    html_text,
+    language_model,
+    mixing,
+    quality,
+    simhash,
+    toxicity,
+    url_filter,
+)
+from rosterlake.llm.url_filter import UrlRule
 from rosterlake.llm.support import fold, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
+# The rules of the contract.
+URL_RULES = [
+    UrlRule("allow", "org", "/"),
+    UrlRule("block", "example.org", "/es/"),
+    UrlRule("block", "example.org", "/en/1"),
+    UrlRule("allow", "com", "/fr/"),
+    UrlRule("block", "com", "/de/"),
+]
+
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.RuleEnsemble:
     """Labels of the rows with crc32(doc_id) mod 3 = 1 are never learned from."""
     return quality.train(docs, labels.where(fold("doc_id", 3) != 1))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the rows with crc32(doc_id) mod 5 = 0 are never learned from."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", *(F.col(f"url_{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -34,6 +69,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,6 +91,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(
@@ -58,13 +108,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_url_filter": op2_url_filter,
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
+        "op5_html_text": op5_html_text,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality": op7_quality,
+        "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_language_model": op9_language_model,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle_sql(), "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op2_url_filter": url_filter.oracle_sql(URL_RULES),
+        "op4_mixing": mixing.oracle_sql(),
+        "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
