@@ -94,3 +94,12 @@ def ordered_page(rows: DataFrame, sort: str | None, sorts: dict[str, Column], de
     """Sorted by a named order (the default if unknown), ties by key, at most cap rows."""
     page = rows.orderBy(sorts.get(sort, sorts[default]), F.col(key))
     return (page.offset(offset) if offset else page).limit(min(limit, cap))
+
+
+def free_text(rows: DataFrame, columns: list[str], asked: str, exact: dict | None = None) -> DataFrame:
+    """Rows whose columns, joined by spaces, contain the text (case ignored) and that equal every exact value; an empty text fits all."""
+    joined = F.lower(F.concat_ws(" ", *columns))
+    out = rows.where(F.contains(joined, F.lit(asked.strip().lower())))
+    for column, value in (exact or {}).items():
+        out = out.where(F.col(column) == value)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterlake.functions import nested, scoring, text
+from rosterlake.functions import nested, records, scoring, text
 
 #: Weights of role, years (by tier), software, languages and certificates.
 WEIGHTS = {"role": 0.25, "software": 0.20, "category": 0.18, "languages": 0.10, "certificates": 0.10}
@@ -106,3 +106,18 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], u
         return old.unionByName(new.join(old, keys, "left_anti"))
     renamed = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns])
     return old.join(renamed, keys, "full_outer").select(*keys, *[F.coalesce(f"new_{c}", c).alias(c) for c in columns])
+
+
+def report(matches: DataFrame, key: str, limit: int, floor: float = 0.0) -> DataFrame:
+    """key, rank, percent, level and recommendation of the best matches, from a score of 0 to 1; below floor percent none."""
+    percent = F.round(F.col("score") * 100, 1)
+    best = matches.where(percent >= floor).orderBy(F.desc("score"), key).limit(limit)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), key))  # over at most limit rows
+    ranked = best.select(key, place.alias("rank"), percent.alias("percent"), scoring.level(F.col("score"), scoring.MATCH, "low").alias("level"))
+    return ranked.withColumn("recommendation", records.suitability(F.col("rank"), F.col("level"), F.col("percent")))
+
+
+def summary(ranked: DataFrame) -> DataFrame:
+    """One row: total, high, medium, to_interview (at most three of the high ones)."""
+    high = F.count_if(F.col("level") == "high")
+    return ranked.agg(F.count("*").alias("total"), high.alias("high"), F.count_if(F.col("level") == "medium").alias("medium"), F.least(high, F.lit(3)).alias("to_interview"))
