@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rosterlake.functions import scoring
@@ -25,12 +27,49 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     return scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
-def nearest(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int) -> DataFrame:
-    """The k nearest rows of each query by cosine; queries are the small side."""
-    pairs = rows.select(row_id, vector).crossJoin(queries.select(query_id, F.col(query_vector).alias("asked")))
-    scored = pairs.select(query_id, row_id, F.round(scoring.cosine(F.col(vector), F.col("asked")), 6).alias("score"))
-    place = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+def matrix(vectors: pd.Series) -> np.ndarray:
+    """Unit vectors as rows; zeros for vectors that are null, zero, or not finite throughout."""
+    good = [None if v is None else np.asarray([np.nan if x is None else x for x in v] if isinstance(v, list) else v, dtype="float64") for v in vectors]
+    width = max((len(v) for v in good if v is not None), default=0)
+    out = np.zeros((len(good), width))
+    for i, v in enumerate(good):
+        norm = 0.0 if v is None or len(v) != width or not np.isfinite(v).all() else float(np.sqrt(v @ v))
+        if norm > 0 and np.isfinite(norm):
+            out[i] = v / norm
+    return out
+
+
+def nearest(
+    rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, row_block: int = 20000, query_block: int = 1000
+) -> DataFrame:
+    """The k nearest rows of each query by cosine: query_id, row_id, score, rank (ties by row_id).
+
+    Exact: blocks of queries meet blocks of rows, each pair of blocks in one task that
+    keeps k rows a query; only those meet again.  No task holds more than one block of
+    each side, and neither side is broadcast.  Vectors that are null, zero or not finite
+    score 0.
+    """
+    n_rows, n_queries = max(1, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v"), block(row_id, n_rows).alias("rb"), every(n_queries).alias("qb"))
+    right = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("w"), block(query_id, n_queries).alias("qb"), every(n_rows).alias("rb"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": [], "r": [], "score": []})
+        a = a.sort_values("r", kind="stable")
+        x, y, ids = matrix(a["v"]), matrix(b["w"]), a["r"].to_numpy()
+        width = min(x.shape[1], y.shape[1]) if x.shape[1] == y.shape[1] else 0
+        scores = np.round(y[:, :width] @ x[:, :width].T, 6) + 0.0
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"q": np.repeat(b["q"].to_numpy(), order.shape[1]), "r": ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+
+    types = f"q {queries.schema[query_id].dataType.simpleString()}, r {rows.schema[row_id].dataType.simpleString()}, score double"
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(best, types)
+    place = Window.partitionBy("q").orderBy(F.desc("score"), "r")
+    ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "score", "rank")
 
 
 def fuse(first: DataFrame, second: DataFrame, keys: list[str], weights: tuple[float, float] = (0.6, 0.4), k: int = 60) -> DataFrame:

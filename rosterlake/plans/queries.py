@@ -377,12 +377,12 @@ def text_search(t):
     return retrieval.bm25(t("documents"), "doc_id", "text", t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id", "q", 5)
 
 
-VECTOR = """SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5) q"""
+VECTOR = """SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q"""
 
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({VECTOR}) QUALIFY rank <= 10")
 def vector_search(t):
-    first = t("embeddings").orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    first = t("embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     return retrieval.nearest(t("embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", first, "query_id", "asked", 10)
 
 
@@ -398,13 +398,13 @@ def rank_fusion(t):
 
 
 @query("""
-SELECT doc_id, strip_accents(lower(trim(text[1:40]))) AS folded, regexp_replace(lower(trim(text[1:40])), '[^a-z0-9\\s]', '', 'g') AS ascii, substr(sha256(lower(text)), 1, 16) AS cache_key,
-  CASE WHEN regexp_matches(lower(text), 'mit license|apache') THEN 'license' WHEN regexp_matches(lower(text), '@[a-z0-9.]+') THEN 'contact' ELSE 'other' END AS bucket FROM documents WHERE lang IN ('en', 'de', 'es')""")
+SELECT doc_id, md5(replace(strip_accents(lower(trim(text))), 'ς', 'σ')) AS folded, md5(regexp_replace(lower(trim(text)), '[^a-z0-9\\s]', '', 'g')) AS ascii, substr(sha256(lower(text)), 1, 16) AS cache_key,
+  CASE WHEN regexp_matches(lower(text), 'mit license|apache') THEN 'license' WHEN regexp_matches(lower(text), '@[a-z0-9.]+') THEN 'contact' ELSE 'other' END AS bucket FROM documents""")
 def text_functions(t):
-    head = F.substring("text", 1, 40)
-    return t("documents").where(F.col("lang").isin("en", "de", "es")).select(
-        "doc_id", text.normalise(head).alias("folded"), text.ascii_name(head).alias("ascii"), text.cache_key(F.col("text")).alias("cache_key"),
-        text.keyword_bucket(F.col("text"), {"license": "mit license|apache", "contact": "@[a-z0-9.]+"}).alias("bucket"),
+    whole = F.col("text")
+    return t("documents").select(
+        "doc_id", F.md5(F.replace(text.normalise(whole), F.lit("ς"), F.lit("σ"))).alias("folded"), F.md5(text.ascii_name(whole)).alias("ascii"), text.cache_key(whole).alias("cache_key"),
+        text.keyword_bucket(whole, {"license": "mit license|apache", "contact": "@[a-z0-9.]+"}).alias("bucket"),
     )
 
 

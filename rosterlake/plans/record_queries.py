@@ -118,12 +118,12 @@ def warning_tally(t):
 
 
 @query("""WITH s AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'view' AND value <> 0) a, avg(value) FILTER (WHERE event_type = 'click' AND value <> 0) b FROM events GROUP BY 1)
-SELECT user_id, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END, 4) AS average, CASE WHEN a IS NULL AND b IS NULL THEN NULL WHEN b IS NULL OR a <= b THEN 'view' ELSE 'click' END AS lowest_section, round(least(a, b), 4) AS lowest_value FROM s""")
+SELECT user_id, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END, 9) AS average, CASE WHEN a IS NULL AND b IS NULL THEN NULL WHEN b IS NULL OR a <= b THEN 'view' ELSE 'click' END AS lowest_section, round(least(a, b), 9) AS lowest_value FROM s""")
 def section_confidence(t):
     values = lambda kind: F.collect_list(F.when(F.col("event_type") == kind, F.col("value"))).alias(kind)
     listed = t("events").groupBy("user_id").agg(values("view"), values("click"))
     made = listed.select("user_id", R.confidence({k: R.mean_filled(F.col(k)) for k in ("view", "click")}).alias("c"))
-    return made.select("user_id", F.round("c.average", 4).alias("average"), "c.lowest_section", F.round("c.lowest_value", 4).alias("lowest_value"))
+    return made.select("user_id", F.round("c.average", 9).alias("average"), "c.lowest_section", F.round("c.lowest_value", 9).alias("lowest_value"))
 
 
 @query("""SELECT count(*) AS total, count(value) AS filled, count(*) - count(value) AS missing, round(avg(value), 1) AS mean, count(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) AS numbers FROM events""")
