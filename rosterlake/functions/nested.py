@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 def any_contains(values: Column, part: Column) -> Column:
@@ -30,3 +33,24 @@ def json_in_text(c: Column) -> Column:
 def repaired(c: Column) -> Column:
     """Without control characters and commas before a closing bracket."""
     return F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f]", " "), r",\s*([}\]])", "$1")
+
+
+@F.pandas_udf(T.StringType())
+def first_object(texts: pd.Series) -> pd.Series:
+    """The first complete JSON object in each text, whatever follows it; null without one.
+
+    For texts in which no simpler rule finds an object: braces in strings do not count,
+    which no pattern can tell.
+    """
+    reader = json.JSONDecoder()
+
+    def first(text: str | None) -> str | None:
+        at = -1 if text is None else text.find("{")
+        while at >= 0:
+            try:
+                return text[at : reader.raw_decode(text, at)[1]]
+            except ValueError:
+                at = text.find("{", at + 1)
+        return None
+
+    return texts.map(first)

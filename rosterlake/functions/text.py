@@ -63,19 +63,23 @@ def cache_key(c: Column) -> Column:
 def phone_check(c: Column) -> Column:
     """struct(valid, warning) by the Greek numbering plan; valid without a warning for null.
 
-    Separators and a leading 30 are dropped first.  Mobile numbers start with 69 and
-    land lines with 2; both have ten digits.
+    Separators and a leading +30 or 0030 are dropped first.  Mobile numbers start with
+    69 and land lines with 2; both have ten digits.  Five equal digits in a row are
+    named, too, in numbers that fit neither.
     """
     digits = F.regexp_replace(F.regexp_replace(c, r"[\s().-]", ""), r"^(\+30|0030)", "")
     size = F.length(digits)
-    warning = (
-        F.when(c.isNull() | digits.rlike(r"^(69\d{8}|2\d{9})$"), None)
-        .when(digits.rlike(r"\D") | (size == 0), "non-digit characters")
-        .when(digits.startswith("69") & (size < 10), F.concat(F.lit("mobile too short: "), size))
-        .when(digits.startswith("69") & (size > 10), F.concat(F.lit("mobile too long: "), size))
+    wrong_size = lambda name: F.concat(F.lit(f"{name} too "), F.when(size < 10, "short: ").otherwise("long: "), size)
+    good = c.isNull() | (c == "") | digits.rlike(r"^(69\d{8}|2\d{9})$")
+    shape = (
+        F.when(digits.rlike(r"\D") | (size == 0), "non-digit characters")
+        .when(digits.startswith("69") & (size != 10), wrong_size("mobile"))
+        .when(digits.startswith("2") & (size != 10), wrong_size("landline"))
         .when(c.rlike(r"^\s*\(?(\+30|0030)"), "should start with 2 or 69")
         .otherwise("no Greek format")
     )
+    repeated = F.when(F.regexp_replace(digits, r"\D", "").rlike(r"(\d)\1{4,}"), "repeated digits")
+    warning = F.when(~good, F.concat_ws("; ", shape, repeated))
     return F.struct(warning.isNull().alias("valid"), warning.alias("warning"))
 
 

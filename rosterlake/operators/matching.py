@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rosterlake.functions import nested, records, scoring, text
+from rosterlake.operators import retrieval
 
 #: Weights of role, years (by tier), software, languages and certificates.
 WEIGHTS = {"role": 0.25, "software": 0.20, "category": 0.18, "languages": 0.10, "certificates": 0.10}
@@ -69,11 +70,16 @@ def trigram_matches(items: DataFrame, item: str, names: DataFrame, name: str, th
     return shared.select(item, name, similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def cascade(items: DataFrame, item: str, names: DataFrame, name: str, confident: float = 0.75, suggested: float = 0.6) -> DataFrame:
+def cascade(
+    items: DataFrame, item: str, names: DataFrame, name: str, confident: float = 0.75, suggested: float = 0.6,
+    vectors: tuple[DataFrame, DataFrame] | None = None, near: float = 0.85, maybe: float = 0.6,
+) -> DataFrame:
     """Map distinct texts to a vocabulary: item, name, method, similarity.
 
     Exact after normalising (1.0), else one contains the other (0.9, the longest name
     wins), else the best trigram match: trigram from confident on, suggested below.
+    vectors: (item, vector) and (name, vector); what is still open takes the nearest
+    name by cosine: vector from near on, vector_suggested from maybe on.
     Each tier sees what those before left; without a match the method is none.
     """
     distinct = items.select(F.col(item).alias("item")).where(F.col(item).isNotNull()).distinct().withColumn("plain", text.normalise(F.col("item")))
@@ -90,6 +96,10 @@ def cascade(items: DataFrame, item: str, names: DataFrame, name: str, confident:
     method = F.when(F.col("similarity") >= confident, "trigram").otherwise("suggested")
     trigram = pick(close, [F.desc("similarity"), "name"]).select("item", "name", method.alias("method"), "similarity")
     found = exact.union(substring).union(trigram)
+    if vectors is not None:
+        asked = vectors[0].join(distinct.join(found, "item", "left_anti"), "item", "left_semi")
+        best = retrieval.nearest(vectors[1], "name", "vector", asked.withColumnRenamed("vector", "asked"), "item", "asked", 1).where(F.col("score") >= maybe)
+        found = found.union(best.select("item", "name", F.when(F.col("score") >= near, "vector").otherwise("vector_suggested"), "score"))
     return distinct.select("item").join(found, "item", "left").select("item", "name", F.coalesce("method", F.lit("none")).alias("method"), "similarity")
 
 

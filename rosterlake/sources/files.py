@@ -60,3 +60,10 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, n_rows of several tables side by side."""
     parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, df in tables.items()]
     return reduce(DataFrame.union, parts)
+
+
+def output_rows(rows: DataFrame) -> DataFrame:
+    """One JSON text per row: value.  Decimals become numbers, bytes UTF-8 text, dates and times ISO; nulls are written."""
+    plain = {"decimal": lambda c: c.cast("double"), "binary": lambda c: F.decode(c, "UTF-8")}
+    kept = [plain.get(f.dataType.typeName(), lambda c: c)(F.col(f.name)).alias(f.name) for f in rows.schema.fields]
+    return rows.select(F.to_json(F.struct(*kept), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("value"))

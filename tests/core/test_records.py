@@ -6,9 +6,9 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.functions import contact, records as R, synonyms, temporal
-from rosterlake.operators import aliases, audit, readings, training, writing
-from rosterlake.sources import json_records
+from rosterlake.functions import contact, nested, records as R, synonyms, temporal, text
+from rosterlake.operators import aliases, audit, matching, readings, retrieval, training, writing
+from rosterlake.sources import files, json_records
 
 
 def values(spark, data, *columns):
@@ -205,3 +205,44 @@ def test_json_records(spark):
     one = json_records.people(spark.createDataFrame([(1, person)], "id int, t string"), "id", "t").first()
     assert [(j.title, str(j.start), j.kind) for j in one.jobs] == [("x", "None", "other"), ("y", "2024-01-02", "contract")]
     assert one.warnings == ["bad start: x", "bad kind: x"] and one.skills == []
+
+
+def test_phone_lengths_and_repeats(spark):
+    got = values(spark, ["2101", "21012345678", "6900000000011", "6900000000", "abc77777", ""], text.phone_check(F.col("c")))
+    assert [g.warning for (g,) in got] == ["landline too short: 4", "landline too long: 11", "mobile too long: 13; repeated digits", None, "non-digit characters; repeated digits", None]
+
+
+def test_first_object(spark):
+    given = ['x {"a": "}"} {"b": 1}', "{bad {\"c\": 2} tail", "none", None, "{"]
+    assert [g for (g,) in values(spark, given, nested.first_object(F.col("c")))] == ['{"a": "}"}', '{"c": 2}', None, None, None]
+
+
+def test_output_rows(spark):
+    row = spark.sql("select cast(1.50 as decimal(9,2)) d, cast('é' as binary) b, timestamp_ntz'2024-01-02 03:04:05' t, date'2024-01-02' y, cast(null as string) n")
+    assert files.output_rows(row).first().value == '{"d":1.5,"b":"é","t":"2024-01-02T03:04:05","y":"2024-01-02","n":null}'
+
+
+def test_nearest_equals_brute_force(spark):
+    vectors = [(i, [float(i % 7) - 3, float(i % 5) - 2, float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0] * 3), (62, [float("nan"), 1.0, 1.0])]
+    rows = spark.createDataFrame(vectors, "id long, v array<double>")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("q"), F.col("v").alias("w"))
+    got = {(r.q, r["rank"]): (r.id, r.score) for r in retrieval.nearest(rows, "id", "v", asked, "q", "w", 5, row_block=9, query_block=2).collect()}
+
+    def unit(v):
+        size = sum(x * x for x in v) ** 0.5 if v and all(x == x for x in v) else 0
+        return [x / size for x in v] if size else [0.0] * 3
+
+    known = {i: unit(v) for i, v in vectors}
+    for q in (0, 20, 40, 60):
+        best = sorted((-round(sum(a * b for a, b in zip(known[q], v)), 6), i) for i, v in known.items())[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, pytest.approx(-s, abs=1e-6)) for s, i in best]
+    assert retrieval.nearest(rows.limit(0), "id", "v", asked, "q", "w", 5).count() == 0
+
+
+def test_cascade_vector_tier(spark):
+    items = spark.createDataFrame([("excel",), ("zzz",), ("qqq",), ("www",)], "t string")
+    names = spark.createDataFrame([("Excel",), ("Accounting",)], "n string")
+    given = spark.createDataFrame([("zzz", [1.0, 0.1]), ("qqq", [1.0, 1.0]), ("www", [-1.0, 0.0])], "item string, vector array<double>")
+    known = spark.createDataFrame([("Accounting", [1.0, 0.0])], "name string, vector array<double>")
+    got = {r.item: (r.name, r.method) for r in matching.cascade(items, "t", names, "n", vectors=(given, known)).collect()}
+    assert got == {"excel": ("Excel", "exact"), "zzz": ("Accounting", "vector"), "qqq": ("Accounting", "vector_suggested"), "www": (None, "none")}
