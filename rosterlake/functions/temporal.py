@@ -23,6 +23,11 @@ def duration_months(start: Column, end: Column, current: Column, as_of: Column)
     return F.when(start.isNotNull(), F.greatest(months, F.lit(1)))
 
 
+def backfilled_months(months: Column, start: Column, end: Column, current: Column, as_of: Column) -> Column:
+    """months where given, else duration_months(); never under one."""
+    return F.greatest(F.coalesce(months, duration_months(start, end, current, as_of)), F.lit(1))
+
+
 def age_years(born: Column, as_of: Column) -> Column:
     return F.floor(whole_months(born, as_of) / 12).cast("int")
 

@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rosterlake.functions import scoring
 
 
-def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents of each query: query_id, doc_id, score, rank (ties by id)."""
+def bm25(
+    docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, k1: float = 1.2, b: float = 0.75, salts: int = 16
+) -> DataFrame:
+    """The k best documents of each query: query_id, doc_id, score, rank (ties by id).
+
+    A token's weight in a document is worked out once, before queries meet it.  The
+    documents of each token are spread over salts, so that a frequent token is no
+    single task; only the queries' tokens are repeated for each salt.
+    """
     tokens = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     sized = docs.select(doc_id, tokens(F.col(text)).alias("tokens")).withColumn("n", F.size("tokens"))
     whole = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
@@ -19,10 +26,12 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     wanted = asked.select("token").distinct()
     counts = sized.select(doc_id, "n", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy(doc_id, "n", "token").agg(F.count("*").alias("tf"))
     frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
-    rows = asked.join(frequency, "token").join(counts, "token").crossJoin(F.broadcast(whole))  # whole: one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scores = rows.groupBy(query_id, doc_id).agg(F.round(F.sum(part), 6).alias("score"))
+    weights = counts.join(frequency, "token").crossJoin(F.broadcast(whole))  # whole: one row
+    weights = weights.select(doc_id, "token", part.alias("part"), F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int").alias("salt"))
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    scores = spread.join(weights, ["token", "salt"]).groupBy(query_id, doc_id).agg(F.round(F.sum("part"), 6).alias("score"))
     place = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     return scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 

@@ -336,3 +336,36 @@ def date_pairs(t):
     months = temporal.duration_months(F.col("a"), F.col("b"), F.lit(False), as_of)
     made = rows.select("o_orderkey", R.swapped(F.col("a"), F.col("b")).alias("s"), months.alias("months"), F.col("b").between(F.date_sub(as_of, 30), as_of).alias("recent"))
     return made.select("o_orderkey", "s.start", "s.end", "s.swapped", "months", "recent")
+
+
+@query("""SELECT o_orderkey, greatest(CASE WHEN o_orderstatus = 'F' THEN o_custkey % 3 ELSE greatest(datesub('month', o_orderdate::DATE, DATE '2026-01-15'), 1) END, 1)::INT AS months FROM orders""")
+def backfilled_months(t):
+    given = F.when(F.col("o_orderstatus") == "F", (F.col("o_custkey") % 3).cast("int"))
+    none, as_of = F.lit(None).cast("date"), F.lit("2026-01-15").cast("date")
+    return t("orders").select("o_orderkey", temporal.backfilled_months(given, F.to_date("o_orderdate"), none, F.lit(False), as_of).alias("months"))
+
+
+@query("""SELECT o_custkey AS c_custkey, list_aggregate(list(o_orderkey ORDER BY coalesce(shipped, DATE '2026-01-15') DESC, o_orderdate DESC, o_orderkey DESC), 'string_agg', ',') AS jobs
+FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate)::DATE AS shipped FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""")
+def job_order(t):
+    shipped = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("shipped"))
+    rows = t("orders").join(shipped, "o_orderkey", "left")
+    keys = F.struct(F.coalesce("shipped", F.lit("2026-01-15").cast("date")).alias("until"), "o_orderdate", "o_orderkey")
+    listed = rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(keys), asc=False).alias("k"))
+    return listed.select("c_custkey", F.array_join(F.transform("k", lambda x: x["o_orderkey"].cast("string")), ",").alias("jobs"))
+
+
+@query("""SELECT * FROM (SELECT 'newest' AS sort, c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100) UNION ALL SELECT * FROM (SELECT 'oldest', c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 100)
+UNION ALL SELECT * FROM (SELECT 'name', c_custkey FROM customer ORDER BY c_name, c_custkey LIMIT 100) UNION ALL SELECT * FROM (SELECT 'other', c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100)""")
+def named_sorts(t):
+    sorts = {"newest": F.desc("c_acctbal"), "oldest": F.asc("c_acctbal"), "name": F.asc("c_name")}
+    page = lambda s: filters.ordered_page(t("customer"), s, sorts, "newest", "c_custkey", 100).select(F.lit(s).alias("sort"), "c_custkey")
+    return page("newest").union(page("oldest")).union(page("name")).union(page("other"))
+
+
+@query("""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'landline too short: 6' WHEN 2 THEN 'mobile too long: 13; repeated digits' ELSE 'non-digit characters' END AS warning FROM customer""")
+def phone_report(t):
+    tail = F.lpad((F.col("c_custkey") % 90 + 10).cast("string"), 2, "0")
+    forms = F.array(F.concat(F.lit("+30 691-23 456"), F.col("c_custkey") % 10, F.lit("8")), F.concat(F.lit("2101"), tail), F.concat(F.lit("69 00000 0000"), tail), F.concat(F.lit("call "), tail))
+    rows = t("customer").select("c_custkey", F.get(forms, F.col("c_nationkey") % 4).alias("phone"))
+    return contact.contact_checks(rows, [], ["phone"]).select("c_custkey", "phone_check.warning")
