@@ -347,6 +347,16 @@ def taxonomy_merge(t):
     return matching.merge(rows.where("k < 100"), rows.where("k >= 50 and k < 200").withColumn("v", F.upper("v")), ["k"], ["v"])
 
 
+@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.y, b.y)::INT AS y, coalesce(b.v, a.v) AS v FROM (SELECT o_custkey k, year(o_orderdate) y, max(o_orderpriority) v FROM orders GROUP BY 1, 2) a
+FULL JOIN (SELECT o_custkey k, year(l_shipdate) y, max(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) b ON a.k = b.k AND a.y = b.y""")
+def taxonomy_merge_whole(t):
+    """All orders by customer and year against all shipments: years without one or the other and shipments without a value arise from the data."""
+    old = t("orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.max("o_orderpriority").alias("v"))
+    shipped = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    new = shipped.groupBy(F.col("o_custkey").alias("k"), F.year("l_shipdate").alias("y")).agg(F.max(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))).alias("v"))
+    return matching.merge(old, new, ["k", "y"], ["v"])
+
+
 PEOPLE = f"""
 people AS (SELECT c_custkey, c_mktsegment AS seg, n / 4.0 AS years, types FROM customer
   JOIN (SELECT o_custkey k, count(*) n FROM orders GROUP BY 1) ON k = c_custkey JOIN (SELECT o_custkey k2, list(DISTINCT p_type) types FROM {HELD} GROUP BY 1) ON k2 = c_custkey)"""
