@@ -1,5 +1,12 @@
 """Fixtures for the cases in which a part of the job was once left out."""
 
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from rosterlake.operators import retrieval
 from rosterlake.plans import more_queries, record_queries  # noqa: F401  they register their queries
 from rosterlake.plans import queries
 
@@ -12,3 +19,43 @@ def test_taxonomy_merge_covers_whole_tables(spark, sf):
     assert old - new and new - old and old & new
     got = queries.queries()["taxonomy_merge_whole"](spark, sf).collect()
     assert len(got) == len(old | new) and {(r.k, r.y) for r in got} == old | new
+
+
+def brute_hybrid(docs, asked, k, allowed=lambda d: True):
+    """query -> [(doc, vector rank, text rank)], best first; docs and asked: id -> (text, vector)."""
+    words = {d: re.findall(r"\w+", t or "") for d, (t, _) in docs.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    out = {}
+    for q, (text, vector) in asked.items():
+        cosine = lambda v: sum(a * b for a, b in zip(v, vector)) / math.hypot(*v) / math.hypot(*vector)
+        near = sorted((-round(cosine(v), 6), d) for d, (_, v) in docs.items() if v and vector and allowed(d))[: 2 * k]
+        scores = {}
+        for w in set(re.findall(r"\w+", text or "")):
+            df = sum(w in ws for ws in words.values())
+            for d, ws in words.items():
+                if w in ws and allowed(d):
+                    tf = ws.count(w)
+                    part = math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+                    scores[d] = scores.get(d, 0) + part
+        found = sorted((-round(s, 6), d) for d, s in scores.items())[: 2 * k]
+        a, b = ({d: i + 1 for i, (_, d) in enumerate(x)} for x in (near, found))
+        total = {d: (0.6 / (60 + a[d]) if d in a else 0) + (0.4 / (60 + b[d]) if d in b else 0) for d in a | b}
+        out[q] = [(d, a.get(d), b.get(d)) for d in sorted(total, key=lambda d: (-total[d], d))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_hybrid_takes_both_lists_at_double_depth(spark, filtered):
+    topics = ["sql spark data", "law contract court", "nurse ward care", "sql sql tuning", "weld steel"]
+    docs = {i: (topics[i % 5] + " word" * (i % 4), [math.cos(i / 7), math.sin(i / 7), (i % 3) / 3]) for i in range(40)}
+    docs |= {40: ("sql spark spark", None), 41: (None, [1.0, 0.1, 0.0]), 42: ("", None)}
+    asked = {0: ("spark sql", [1.0, 0.0, 0.1]), 1: ("court", [0.0, 1.0, 0.3]), 2: ("nothing", [-1.0, 0.2, 0.0]), 3: ("weld", None)}
+    rows = spark.createDataFrame([(i, t, v) for i, (t, v) in docs.items()], "id long, t string, v array<double>")
+    queries_ = spark.createDataFrame([(i, t, v) for i, (t, v) in asked.items()], "q long, words string, w array<double>")
+    where = F.col("id") % 4 != 1 if filtered else None
+    got = retrieval.hybrid(rows, "id", "t", "v", queries_, "q", "words", "w", 6, where=where).collect()
+    want = brute_hybrid(docs, asked, 6, (lambda d: d % 4 != 1) if filtered else lambda d: True)
+    for q in asked:
+        mine = sorted((r for r in got if r.q == q), key=lambda r: r["rank"])
+        assert [(r.id, r.vector_rank, r.text_rank) for r in mine] == want[q]
+    assert any(r.vector_rank is None for r in got) and any(r.text_rank is None for r in got) and any((r.vector_rank or 0) > 6 for r in got)
