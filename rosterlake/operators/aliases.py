@@ -65,20 +65,28 @@ def expanded(names: DataFrame, name: str, variants: str, group: str) -> DataFram
     return names.select(group, every).groupBy(group).agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
-def tag(rows: DataFrame, key: str, body: str, aliases: DataFrame, most_words: int = 4) -> DataFrame:
+def spoken(plain: Column) -> Column:
+    """Words of a normalised text: letters, digits, + and #."""
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
+
+
+def tag(rows: DataFrame, key: str, body: str, aliases: DataFrame) -> DataFrame:
     """key and one struct of filters per text: years, license, ids (per source a sorted array), confidence, kind.
 
-    aliases: as alias_table gives them.  A text's runs of 1 to most_words words meet
-    the aliases in an equi-join, so no text is compared with every alias; an alias
-    counts as whole words.
+    aliases: as alias_table gives them.  Aliases fall into words as texts do, so an
+    alias counts as whole words, whatever stands between them.  A text's runs of as
+    many words as some alias has meet the aliases in an equi-join, so no text is
+    compared with every alias.
     """
     plain = rows.select(key, text.normalise(F.col(body)).alias("plain"))
-    words = F.filter(F.split("plain", r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))
-    runs = [F.when(F.size("words") >= n, run(n)) for n in range(1, most_words + 1)]
-    none = F.array().cast("array<string>")
-    terms = plain.withColumn("words", words).select(key, F.explode(F.array_distinct(F.concat(*[F.coalesce(r, none) for r in runs]))).alias("term"))
-    per_source = terms.join(aliases, "term").groupBy(key, "source").agg(F.array_sort(F.collect_set("key")).alias("ids"))
+    known = aliases.select(spoken(F.col("term")).alias("words"), "key", "source").where(F.size("words") > 0)
+    lengths = known.agg(F.array_sort(F.collect_set(F.size("words"))).alias("lengths"))
+    known = known.select(F.array_join("words", " ").alias("term"), F.col("key").alias("alias_key"), "source").distinct()
+    fits = F.filter("lengths", lambda n: n <= F.size("words"))
+    sized = plain.select(key, spoken(F.col("plain")).alias("words")).crossJoin(F.broadcast(lengths)).select(key, "words", F.explode(fits).alias("n_words"))  # lengths: one row
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n_words") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n_words")), " "))
+    terms = sized.select(key, F.explode(F.array_distinct(runs)).alias("term"))
+    per_source = terms.join(known, "term").groupBy(key, "source").agg(F.array_sort(F.collect_set("alias_key")).alias("ids"))
     ids = per_source.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "ids")))).alias("ids"))
     years = F.regexp_extract("plain", r"(\d+)\+?\s*(?:χρονια|years?|ετ[ωη])", 1).try_cast("int")
     licence = F.regexp_extract("plain", r"(?:διπλωμα|αδεια|license).*?\b(forklift|κλαρκ|γερανος|[a-d])(?![\p{L}\p{N}])", 1)

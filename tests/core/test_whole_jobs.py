@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.operators import retrieval
+from rosterlake.operators import aliases, retrieval
 from rosterlake.plans import more_queries, record_queries  # noqa: F401  they register their queries
 from rosterlake.plans import queries
 
@@ -59,3 +59,13 @@ def test_hybrid_takes_both_lists_at_double_depth(spark, filtered):
         mine = sorted((r for r in got if r.q == q), key=lambda r: r["rank"])
         assert [(r.id, r.vector_rank, r.text_rank) for r in mine] == want[q]
     assert any(r.vector_rank is None for r in got) and any(r.text_rank is None for r in got) and any((r.vector_rank or 0) > 6 for r in got)
+
+
+def test_tags_find_long_and_punctuated_aliases(spark):
+    names = ["certified public accountant of the state", "node.js", "ci/cd", "objective-c", "two  spaces", "c++", "c", "!?"]
+    table = aliases.alias_table({"s": spark.createDataFrame([(n, n) for n in names], "id string, name string")}, "id", {"name": "name"})
+    texts = ["A Certified Public Accountant of the State, please", "Node.js and CI/CD", "objective-c;two spaces", "c++", "certified public accountant", "node", "!?"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, body string")
+    got = {r.n: (r.ids or {}).get("s", []) for r in aliases.tag(rows, "n", "body", table).collect()}
+    assert got == {0: [names[0]], 1: ["ci/cd", "node.js"], 2: ["c", "objective-c", "two  spaces"], 3: ["c++"], 4: [], 5: [], 6: []}
+    assert [r.ids for r in aliases.tag(rows, "n", "body", table.limit(0)).collect()] == [None] * len(texts)
