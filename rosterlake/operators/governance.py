@@ -7,13 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def repeats(table: DataFrame, key: str, unique: dict[str, list[str]]) -> DataFrame:
+    """rule, key, n: one row for each group of rows that repeats unique columns, with its smallest key and its size."""
+    parts = [
+        table.groupBy(*columns).agg(F.min(key).alias("key"), F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("rule"), "key", "n")
+        for name, columns in unique.items()
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def violations(table: DataFrame, key: str, rules: dict[str, Column], unique: dict[str, list[str]] | None = None) -> DataFrame:
-    """rule, key of each row that breaks a rule (true means broken) or repeats unique columns."""
+    """rule, key of each row that breaks a rule (true means broken) or repeats unique columns; nulls repeat one another.
+
+    Repeated values are counted before they meet the rows again.
+    """
     named = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])))
     out = table.select(named.alias("rule"), F.col(key).alias("key"))
     for name, columns in (unique or {}).items():
-        repeated = table.groupBy(*columns).agg(F.count("*").alias("n"), F.min(key).alias("key")).where("n > 1")
-        out = out.union(repeated.select(F.lit(name).alias("rule"), "key"))
+        renamed = {c: f"repeated_{i}" for i, c in enumerate(columns)}
+        repeated = table.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(r) for c, r in renamed.items()])
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(r)) for c, r in renamed.items()])
+        out = out.union(table.join(repeated, same, "left_semi").select(F.lit(name).alias("rule"), F.col(key).alias("key")))
     return out
 
 

@@ -260,12 +260,26 @@ def orphans(t):
     })
 
 
+REPEATED = {"repeated name": ["c_nationkey", "rounded"]}
+
+
+def customer_rules(t) -> tuple[dict, DataFrame]:
+    rules = {"negative balance": F.col("c_acctbal") < 0, "bad name": ~F.col("c_name").rlike("^Customer#[0-9]+$")}
+    return rules, t("customer").withColumn("rounded", F.round("c_acctbal"))
+
+
 @query("""SELECT 'negative balance' AS rule, c_custkey AS key FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'bad name', c_custkey FROM customer WHERE NOT regexp_matches(c_name, '^Customer#[0-9]+$')
 UNION ALL SELECT 'repeated name', min(c_custkey) FROM customer GROUP BY c_nationkey, round(c_acctbal) HAVING count(*) > 1""")
 def constraints(t):
-    rules = {"negative balance": F.col("c_acctbal") < 0, "bad name": ~F.col("c_name").rlike("^Customer#[0-9]+$")}
-    rows = t("customer").withColumn("rounded", F.round("c_acctbal"))
-    return governance.violations(rows, "c_custkey", rules, {"repeated name": ["c_nationkey", "rounded"]})
+    rules, rows = customer_rules(t)
+    return governance.violations(rows, "c_custkey", rules).union(governance.repeats(rows, "c_custkey", REPEATED).select("rule", "key"))
+
+
+@query("""SELECT 'negative balance' AS rule, c_custkey AS key FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'bad name', c_custkey FROM customer WHERE NOT regexp_matches(c_name, '^Customer#[0-9]+$')
+UNION ALL SELECT 'repeated name', c_custkey FROM (SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, round(c_acctbal)) AS n FROM customer) WHERE n > 1""")
+def constraint_rows(t):
+    rules, rows = customer_rules(t)
+    return governance.violations(rows, "c_custkey", rules, REPEATED)
 
 
 @query("""SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)

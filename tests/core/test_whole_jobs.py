@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.operators import aliases, retrieval
+from rosterlake.operators import aliases, governance, retrieval
 from rosterlake.plans import more_queries, record_queries  # noqa: F401  they register their queries
 from rosterlake.plans import queries
 
@@ -69,3 +69,11 @@ def test_tags_find_long_and_punctuated_aliases(spark):
     got = {r.n: (r.ids or {}).get("s", []) for r in aliases.tag(rows, "n", "body", table).collect()}
     assert got == {0: [names[0]], 1: ["ci/cd", "node.js"], 2: ["c", "objective-c", "two  spaces"], 3: ["c++"], 4: [], 5: [], 6: []}
     assert [r.ids for r in aliases.tag(rows, "n", "body", table.limit(0)).collect()] == [None] * len(texts)
+
+
+def test_violations_name_every_row_that_repeats(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 1), (4, "b", None), (5, "b", None), (6, None, 2), (7, "c", 3), (8, "a", -1)], "k int, x string, y int")
+    rules, unique = {"negative": F.col("y") < 0}, {"xy": ["x", "y"], "x": ["x"]}
+    got = sorted(map(tuple, governance.violations(rows, "k", rules, unique).collect()))
+    assert got == sorted([("negative", 8)] + [("xy", k) for k in (1, 2, 3, 4, 5)] + [("x", k) for k in (1, 2, 3, 4, 5, 8)])
+    assert sorted(map(tuple, governance.repeats(rows, "k", unique).collect())) == [("x", 1, 4), ("x", 4, 2), ("xy", 1, 3), ("xy", 4, 2)]
