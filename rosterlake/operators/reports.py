@@ -13,11 +13,16 @@ def with_totals(parent: DataFrame, key: str, parts: list[DataFrame], zero: list[
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
 
 
-def ordered_values(value: Column, order: list[Column], most: int | None = None) -> Column:
+def ordered_values(value: Column, order: list[Column]) -> Column:
     """An aggregate: values as an array in the given order."""
     names = [c.alias(f"o{i}") for i, c in enumerate(order)]
-    out = F.transform(F.sort_array(F.collect_list(F.struct(*names, value.alias("v")))), lambda s: s["v"])
-    return F.slice(out, 1, most) if most else out
+    return F.transform(F.sort_array(F.collect_list(F.struct(*names, value.alias("v")))), lambda s: s["v"])
+
+
+def first_values(rows: DataFrame, key: str, value: Column, order: list[Column], most: int, name: str) -> DataFrame:
+    """key, and an array of the first values in the given order; no more than these are collected."""
+    first = top(rows.select(key, value.alias("v"), *[c.alias(f"o{i}") for i, c in enumerate(order)]), key, [F.col(f"o{i}") for i in range(len(order))], most)
+    return first.groupBy(key).agg(ordered_values(F.col("v"), [F.col("place")]).alias(name))
 
 
 def coverage(rows: DataFrame, column: str) -> DataFrame:

@@ -162,7 +162,7 @@ SELECT o_custkey, to_json(list(struct_pack(k := o_orderkey, p := o_orderpriority
 FROM orders GROUP BY o_custkey""")
 def nested_profile(t):
     rows = t("orders").withColumns({"k": F.col("o_orderkey"), "p": F.col("o_orderpriority")})
-    firsts = rows.groupBy("o_custkey").agg(F.array_join(reports.ordered_values(F.col("p"), [F.col("o_orderdate"), F.col("k")], 3), "|").alias("firsts"))
+    firsts = reports.first_values(rows, "o_custkey", F.col("p"), [F.col("o_orderdate"), F.col("k")], 3, "firsts").withColumn("firsts", F.array_join("firsts", "|"))
     return files.nest(firsts, "o_custkey", {"orders": (rows.select("o_custkey", "k", "p"), ["k"])}).withColumn("orders", F.to_json("orders"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rosterlake.functions import contact, records as R, synonyms, temporal
 from rosterlake.operators import aliases, audit, filters, matching, readings, training, writing
@@ -61,9 +61,10 @@ def profile_flat(t):
 @query("""SELECT c_custkey, coalesce(p, c_mktsegment) AS role, CASE WHEN len(l) > 0 THEN len(l) ELSE 1 END AS n FROM customer
 LEFT JOIN (SELECT o_custkey, max(o_orderpriority) p, list(o_orderkey) l FROM orders WHERE o_totalprice > 200000 GROUP BY 1) ON o_custkey = c_custkey""")
 def coalescing_merge(t):
-    rich = t("orders").where("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("p"), F.collect_list("o_orderkey").alias("l"))
-    role, kept = R.merged(F.col("p"), F.col("c_mktsegment")), R.merged(F.col("l"), F.array("c_custkey"), is_array=True)
-    return t("customer").join(rich, "c_custkey", "left").select("c_custkey", role.alias("role"), F.size(kept).cast("long").alias("n"))
+    rich = t("orders").where("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("p"), F.count("*").alias("n"))
+    # Of the arrays only the size is asked for: that of the orders, or of the one key in their place.
+    role, n = R.merged(F.col("p"), F.col("c_mktsegment")), F.coalesce("n", F.lit(1))
+    return t("customer").join(rich, "c_custkey", "left").select("c_custkey", role.alias("role"), n.cast("long").alias("n"))
 
 
 @query(f"""WITH {JOBS}, {SKILLS} SELECT c_custkey, lower(c_name) AS plain_name, coalesce(months, 0) AS total_months, round(coalesce(months, 0) / 12, 4) AS total_years, open_titles[1] AS current_title,
@@ -112,17 +113,16 @@ def category_terms(t):
 
 @query("""SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE value > 100) AS fixed FROM events GROUP BY 1""")
 def warning_tally(t):
-    listed = t("events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("severity"), (F.col("value") > 100).alias("fixed"))).alias("w"))
-    counts = listed.select("user_id", R.tally(F.col("w"), ["error", "view"]).alias("t")).select("user_id", "t.*")
-    return counts.select("user_id", *[F.col(c).cast("long").alias(c) for c in ("error", "view", "fixed")])
+    by = [F.count_if(F.col("event_type") == s).alias(s) for s in ("error", "view")]
+    return t("events").groupBy("user_id").agg(*by, F.count_if(F.col("value") > 100).alias("fixed"))
 
 
 @query("""WITH s AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'view' AND value <> 0) a, avg(value) FILTER (WHERE event_type = 'click' AND value <> 0) b FROM events GROUP BY 1)
 SELECT user_id, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END, 9) AS average, CASE WHEN a IS NULL AND b IS NULL THEN NULL WHEN b IS NULL OR a <= b THEN 'view' ELSE 'click' END AS lowest_section, round(least(a, b), 9) AS lowest_value FROM s""")
 def section_confidence(t):
-    values = lambda kind: F.collect_list(F.when(F.col("event_type") == kind, F.col("value"))).alias(kind)
-    listed = t("events").groupBy("user_id").agg(values("view"), values("click"))
-    made = listed.select("user_id", R.confidence({k: R.mean_filled(F.col(k)) for k in ("view", "click")}).alias("c"))
+    mean = lambda kind: F.avg(F.when((F.col("event_type") == kind) & (F.col("value") != 0), F.col("value"))).alias(kind)
+    means = t("events").groupBy("user_id").agg(mean("view"), mean("click"))
+    made = means.select("user_id", R.confidence({k: F.col(k) for k in ("view", "click")}).alias("c"))
     return made.select("user_id", F.round("c.average", 9).alias("average"), "c.lowest_section", F.round("c.lowest_value", 9).alias("lowest_value"))
 
 
@@ -185,13 +185,29 @@ def json_people(t):
     return made.select("o_orderkey", first["start"].alias("start"), first["kind"].alias("kind"), F.array_join("warnings", ",").alias("warnings"))
 
 
+#: Part keys to one report text.
+REPORT_KEYS = 1000
+
+
+def report_texts(parts):
+    """p_brand, page, text: a brand's parts by key as ranked candidates, ranks running on from page to page.
+
+    A page holds the keys of one range of REPORT_KEYS; only the pages' sizes meet in one place a brand.
+    """
+    paged = parts.withColumn("page", F.floor(F.col("p_partkey") / REPORT_KEYS))
+    before = F.sum("n").over(Window.partitionBy("p_brand").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    item = F.struct("p_partkey", F.struct(F.col("p_partkey").cast("string").alias("candidate_id"), F.array(F.struct(F.col("p_type").alias("criterion"))).alias("gaps")).alias("c"))
+    ordered = paged.groupBy("p_brand", "page").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    sizes = paged.groupBy("p_brand", "page").agg(F.count("*").alias("n"))
+    starts = sizes.select(F.col("p_brand").alias("brand"), F.col("page").alias("at"), F.coalesce(before, F.lit(0)).alias("start"))
+    placed = ordered.join(starts, F.col("p_brand").eqNullSafe(F.col("brand")) & F.col("page").eqNullSafe(F.col("at")))
+    numbered = F.transform("items", lambda x, i: x["c"].withField("rank", (F.col("start") + i + 1).cast("int")))
+    return placed.select("p_brand", "page", F.to_json(F.struct(numbered.alias("ranked_candidates"))).alias("text"))
+
+
 @query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, 'Medium' AS suitability, 'Moderate' AS severity, p_type AS criterion FROM part""")
 def json_reports(t):
-    item = F.struct("p_partkey", F.struct(F.col("p_partkey").cast("string").alias("candidate_id"), F.array(F.struct(F.col("p_type").alias("criterion"))).alias("gaps")).alias("c"))
-    ordered = t("part").groupBy("p_brand").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    numbered = F.transform("items", lambda x, i: x["c"].withField("rank", i + 1))
-    text = F.to_json(F.struct(numbered.alias("ranked_candidates")))
-    made = json_records.reports(ordered.select("p_brand", text.alias("text")), "p_brand", "text")
+    made = json_records.reports(report_texts(t("part")), "p_brand", "text")
     gap = F.get("gaps", F.lit(0))
     return made.select(F.col("candidate_id").cast("long").alias("p_partkey"), "rank", "suitability", gap["severity"].alias("severity"), gap["criterion"].alias("criterion"))
 

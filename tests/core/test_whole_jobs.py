@@ -1,12 +1,13 @@
 """Fixtures for the cases in which a part of the job was once left out."""
 
+import json
 import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.operators import aliases, governance, retrieval
+from rosterlake.operators import aliases, governance, reports, retrieval
 from rosterlake.plans import more_queries, record_queries  # noqa: F401  they register their queries
 from rosterlake.plans import queries
 
@@ -77,3 +78,27 @@ def test_violations_name_every_row_that_repeats(spark):
     got = sorted(map(tuple, governance.violations(rows, "k", rules, unique).collect()))
     assert got == sorted([("negative", 8)] + [("xy", k) for k in (1, 2, 3, 4, 5)] + [("x", k) for k in (1, 2, 3, 4, 5, 8)])
     assert sorted(map(tuple, governance.repeats(rows, "k", unique).collect())) == [("x", 1, 4), ("x", 4, 2), ("xy", 1, 3), ("xy", 4, 2)]
+
+
+@pytest.mark.parametrize("name", ["warning_tally", "section_confidence", "coalescing_merge"])
+def test_tallies_collect_nothing(spark, sf, name):
+    plan = queries.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_first_values_collect_no_more_than_asked(spark):
+    rows = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, None), (1, 4, "d"), (2, 1, "z"), (None, 1, "n")], "k int, o int, v string")
+    found = reports.first_values(rows, "k", F.col("v"), [F.col("o")], 3, "vs")
+    assert {r.k: r.vs for r in found.collect()} == {1: ["a", None, "c"], 2: ["z"], None: ["n"]}
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_texts_hold_bounded_pages(spark):
+    keys = [*range(-1500, 2500), 7000]
+    parts = spark.createDataFrame([(k, None if k % 7 == 0 else "B", f"t{k}") for k in keys], "p_partkey long, p_brand string, p_type string")
+    texts = record_queries.report_texts(parts).collect()
+    pages = [(r.p_brand, [(c["rank"], int(c["candidate_id"])) for c in json.loads(r.text)["ranked_candidates"]]) for r in texts]
+    assert max(len(p) for _, p in pages) <= record_queries.REPORT_KEYS < 3000
+    for brand in ("B", None):
+        want = list(enumerate((k for k in keys if (k % 7 == 0) == (brand is None)), 1))
+        assert sorted(c for b, p in pages if b == brand for c in p) == want
