@@ -13,13 +13,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rosterlake.llm import byte_bpe, exact_dedup, mixing, quality, simhash
-from rosterlake.llm.support import shared_dir, table
+from rosterlake.llm.support import materialize, shared_dir, table
 from rosterlake.llm.queries import VOCABULARY, quality_model
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped; rows without an id stay."""
-    return docs.join(dropped.where("doc_id is not null").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+#: The column of row numbers inside a stage.
+ROW = "pipeline_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique number for each row, written once so that it stays the same."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """numbered rows without those whose number is dropped's row, and without the number."""
+    return rows.join(dropped.select(F.col("row").alias(ROW)), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +39,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of equal texts one stays."""
-    return drop_ids(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    rows = numbered(docs)
+    return drop_rows(rows, exact_dedup.exact_dedup(rows, row=ROW).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each component one document stays, that with its smallest id."""
-    return drop_ids(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    rows = numbered(docs)
+    return drop_rows(rows, simhash.near_duplicates(rows, row=ROW).where("row <> first_row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,14 +37,17 @@ class MergeIndex:
     """A log-structured merge index of text digests in one folder.
 
     digest: from a Column of normalised text to a binary Column; SHA-256 unless a
-    test wants collisions.
+    test wants collisions.  row: a column of unique numbers, if a verdict on rows
+    rather than ids is wanted; results then also have row and keep_row.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, digest=None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, digest=None, row: str | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
         self.digest = digest or (lambda t: F.unhex(F.sha2(t.cast("binary"), 256)))
         self.runs: list[str] = []
+        self.row = row
+        self.columns = ["doc_id", "digest", "keep_id", "group_size", *(["row", "keep_row"] if row else [])]
 
     def _keyed(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         norm = normalised(text)
@@ -53,8 +56,16 @@ class MergeIndex:
             F.col(doc_id).alias("doc_id"),
             F.length(text_of(text)).cast("long").alias("n_points"),
             norm.alias("norm"),
+            *([F.col(self.row).alias("row")] if self.row else []),
         )
 
+    def _best(self, rows: DataFrame, *by: str) -> DataFrame:
+        """by, keep_id, group_size and, with rows, keep_row."""
+        order = ["n_points", (-F.col("doc_id")).alias("minus_id"), *([(-F.col("row")).alias("minus_row")] if self.row else [])]
+        kept = [(-F.col("best.minus_row")).alias("keep_row")] if self.row else []
+        found = rows.groupBy(*by).agg(F.max(F.struct(*order)).alias("best"), F.count("*").alias("group_size"))
+        return found.select(*by, (-F.col("best.minus_id")).alias("keep_id"), "group_size", *kept)
+
     def _write(self, rows: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         (
@@ -76,14 +87,7 @@ class MergeIndex:
 
     def compact(self) -> DataFrame:
         """One row per digest over all runs: digest, keep_id, group_size."""
-        best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id")))
-        merged = (
-            self.rows()
-            .groupBy("digest")
-            .agg(best.alias("best"), F.count("*").alias("group_size"))
-            .select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size")
-        )
-        return self._write(merged, f"level-{uuid.uuid4().hex}")
+        return self._write(self._best(self.rows(), "digest"), f"level-{uuid.uuid4().hex}")
 
     def _hits(self, docs: DataFrame, merged: DataFrame, doc_id: str, text: str) -> DataFrame:
         """The documents whose digest may occur more than once, by the bitmap."""
@@ -115,22 +119,15 @@ class MergeIndex:
         )
         rows = self.rows()
         if mixed.isEmpty():
-            return rows.join(merged, "digest").select("doc_id", "digest", "keep_id", "group_size")
+            return rows.join(merged, "digest").select(self.columns)
         # Different texts share a digest: group those rows by their bytes.
         sure = rows.join(mixed, "digest", "left_anti").join(merged, "digest")
         unsure = materialize(self._keyed(docs, doc_id, text).join(mixed, "digest", "left_semi"), "unsure")
-        best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id")))
-        groups = materialize(
-            unsure.groupBy("digest", "norm")
-            .agg(best.alias("best"), F.count("*").alias("group_size"))
-            .select("digest", "norm", (-F.col("best.minus_id")).alias("keep_id"), "group_size"),
-            "groups",
-        )
-        columns = ["doc_id", "digest", "keep_id", "group_size"]
-        return sure.select(columns).union(unsure.join(groups, ["digest", "norm"]).select(columns))
+        groups = materialize(self._best(unsure, "digest", "norm"), "groups")
+        return sure.select(self.columns).union(unsure.join(groups, ["digest", "norm"]).select(self.columns))
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=None, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after [\\x20\\x09-\\x0D] is deleted; a
@@ -138,9 +135,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     stays, then the smallest doc_id.  Rows that share the id that stays are all
     marked kept (an id names one document); a null id counts as larger than all
     others, and where only null ids exist keep_id is null and the rows are kept.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored.  row: a column
+    of unique numbers; the result then has row, too, and exactly one row of equal
+    texts is kept, of rows with the same id that with the smallest number.
     """
-    index = MergeIndex(docs.sparkSession, digest=digest)
+    index = MergeIndex(docs.sparkSession, digest=digest, row=row)
     index.flush(docs, doc_id, text)
     found = index.resolve(docs, doc_id, text)
     sha = F.lower(F.hex("digest"))
@@ -148,8 +147,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("row") == F.col("keep_row") if row else F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         sha.alias("text_sha256"),
+        *(["row"] if row else []),
     )
 
 

@@ -51,18 +51,21 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer) of each row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed 64-bit integer) of each row, and its row if one is named."""
+    kept = ["row"] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64), pa.int64())], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(found.view(np.int64), pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *kept]
             )
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    if row:
+        schema.add("row", docs.schema[row].dataType)
+    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"), *[F.col(row).alias(k) for k in kept]).mapInArrow(run, schema)
 
 
 def _half(fp: Column, part: int) -> Column:
@@ -135,7 +138,7 @@ def link(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return pairs.union(_heavy_links(exact, flipped, large)) if any_heavy else pairs
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, fp, component_id.
 
     Fingerprints at 3 or fewer differing bits are linked; component_id is the
@@ -144,19 +147,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     like any other.  Rows with a null doc_id take part, and get the smallest id of
     their component (null if it has none).  Repeated rows are returned as often as
     given.  An empty table gives an empty result; other columns are ignored.
+    row: a column of unique numbers; the result then has row and first_row, that of
+    the component's row with the smallest id (null ids last), then the smallest number.
     """
-    rows = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    rows = materialize(fingerprints(docs, doc_id, text, row=row), "fingerprints")
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")] if row else []
+    least_first = [F.min("first").alias("first")] if row else []
+    named = ["first"] if row else []
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *first), "distinct")
     found = components(link(distinct.select("fp"), heavy).where("a <> b"))
     rooted = materialize(
         distinct.join(found, distinct["fp"] == found["node"], "left").select(
-            "fp", "first_id", F.coalesce("root", "fp").alias("root")
+            "fp", "first_id", *named, F.coalesce("root", "fp").alias("root")
         ),
         "rooted",
     )
-    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    labels = materialize(rooted.join(least, "root").select("fp", "component_id"), "labels")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), *least_first), "least")
+    labels = materialize(rooted.drop(*named).join(least, "root").select("fp", "component_id", *named), "labels")
+    found = rows.join(labels, "fp")
+    return found.select("doc_id", "fp", "component_id", *([F.col("row"), F.col("first.row").alias("first_row")] if row else []))
 
 
 def hexadecimal(fp: str) -> Column:
