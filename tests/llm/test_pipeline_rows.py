@@ -37,3 +37,14 @@ def test_exact_row_verdict_with_colliding_digests(spark):
     numbered = corpus_pipeline.numbered(docs)
     found = exact_dedup.exact_dedup(numbered, digest=weak, row=corpus_pipeline.ROW).collect()
     assert len(found) == 40 and sum(r.kept for r in found) == len({t.replace(" ", "") for _, t in rows})
+
+
+def test_merge_index_resolves_over_two_flushes(spark):
+    rows = [(i, f"{i % 7} text") for i in range(30)] + [(30, "7  text"), (31, "only"), (32, "7 text")]
+    docs = frame(spark, rows)
+    index = exact_dedup.MergeIndex(spark)
+    index.flush(docs.where("doc_id % 2 = 0"))
+    index.flush(docs.where("doc_id % 2 = 1"))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in index.resolve(docs).collect()}
+    whole = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert len(index.runs) == 2 and got == whole and got[29] == (1, 5) and got[32] == (30, 2) and got[31] == (31, 1)
