@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,50 +164,63 @@ def test_embedding_links_and_recall(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
-def brute_model(docs, held):
+def brute_model(docs, held, order=3):
     lower = lambda t: (t or "").encode().lower().split()
+    grams = lambda d: ((i, n, tuple([b"\r", *d][i + 2 - n : i + 2])) for i in range(len(d)) for n in range(2, order + 1) if i + 2 - n >= 0)
     train = [[*lower(t), b"\n"] for (i, t), h in zip(docs, held) if not h]
     words = Counter(w for d in train for w in d)
-    n, v = sum(words.values()), len(words)
-    history, pair = Counter(), Counter()
+    total, v = sum(words.values()), len(words)
+    count, history = Counter(), Counter()
     for d in train:
-        for h, w in zip([b"\r", *d], d):
-            history[h] += 1
-            pair[h, w] += 1
+        for _, _, g in grams(d):
+            count[g] += 1
+            history[g[:-1]] += 1
     stats = Counter()
-    for (h, w), c in pair.items():
-        if history[h] >= 2:
-            stats[int(math.log2(history[h])), 0] += c
-            stats[int(math.log2(history[h])), 1] += c == 1
-    p1 = lambda w: (words[w] + 0.1) / (n + 0.1 * (v + 1))
+    for g, c in count.items():
+        if history[g[:-1]] >= 2:
+            b = int(math.log2(history[g[:-1]]))
+            stats[len(g), b, 0] += c
+            stats[len(g), b, 1] += c == 1
+    p1 = lambda w: (words[w] + 0.1) / (total + 0.1 * (v + 1))
     out = []
     for i, t in docs:
         d = [*lower(t), b"\n"]
-        s = 0.0
-        for h, w in zip([b"\r", *d], d):
-            keep = 1.0
-            if history[h] >= 2:
-                b = int(math.log2(history[h]))
-                keep = min(max((stats[b, 1] + 1) / (stats[b, 0] + 2), 0.02), 1.0)
-            s += math.log10((1 - keep) * pair[h, w] / max(history[h], 1) + keep * p1(w))
-        out.append((i, len(d), sum(words[w] > 0 for w in d), n, sum(math.log10(p1(w)) for w in d), s))
+        p = [p1(w) for w in d]
+        base = sum(map(math.log10, p))
+        for at, n, g in sorted(grams(d), key=lambda x: x[1]):
+            h = history[g[:-1]]
+            if h >= 2:
+                b = int(math.log2(h))
+                keep = min(max((stats[n, b, 1] + 1) / (stats[n, b, 0] + 2), 0.02), 1.0)
+                p[at] = (1 - keep) * count[g] / h + keep * p[at]
+        out.append((i, len(d), sum(words[w] > 0 for w in d), total, base, sum(map(math.log10, p))))
     return out
 
 
-@pytest.mark.parametrize("size", [language_model.BLOCK_BYTES, 500])
-def test_language_model_equals_brute_force(spark, monkeypatch, size):
-    monkeypatch.setattr(language_model, "BLOCK_BYTES", size)  # 500: many blocks and buckets
+@pytest.mark.parametrize("order, size, tokens", [(3, language_model.BLOCK_BYTES, language_model.BUCKET_TOKENS), (3, 500, 200), (4, 900, 300), (2, 500, 200), (1, 500, 500)])
+def test_language_model_equals_brute_force(spark, order, size, tokens):
     rng = random.Random(6)
     words = ["The", "the", "cat", "sat", "É", "on", "a", "mat.", "zig"] + [f"w{k}" for k in range(60)]
     docs = [(i, " ".join(rng.choice(words[: rng.choice([5, 69])]) for _ in range(rng.randrange(40)))) for i in range(150)]
     docs += [(150, None), (151, ""), (152, "\x0b \x0c"), (153, docs[7][1]), (160, "new words only")]
+    docs += [(200, " ".join(rng.choice(words) for _ in range(3500)))]  # read by several lanes
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs]
-    frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, block int")
-    got = language_model.score_texts(frame, fold("doc_id", 10) == 0).orderBy("doc_id").collect()
-    for r, w, h in zip(got, brute_model(docs, held), held, strict=True):
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, block int, held string").repartition(3)
+    found = language_model.score_texts(frame, fold("doc_id", 10) == 0, order=order, block_bytes=size, bucket_tokens=tokens)
+    got = found.orderBy("doc_id").collect()
+    for r, w, h in zip(got, brute_model(docs, held, order), held, strict=True):
         assert r.held_out == h and tuple(r)[2:5] == w[1:4] and (r.doc_id, r.base_score, r.score) == (w[0], pytest.approx(w[4]), pytest.approx(w[5]))
 
 
+def test_counts_above_four_bytes_are_whole():
+    keys = np.array([5, 1 << 63], np.uint64)
+    grams = language_model.Grams(np.zeros(0, int), keys, np.array([3_000_000_000, 1 << 60]), np.zeros(2, int))
+    asked = [r for block in (1, 2) for r in grams.questions(block, 1, 1)]
+    rows = language_model.answer(pa.Table.from_pylist(asked, schema=language_model._QUESTION)).to_pylist()
+    assert [language_model.widen(r["totals"], 2).tolist() for r in rows[:2]] == [[6_000_000_000, 1 << 61]] * 2
+    assert rows[2]["stats"] == [2, 6_000_000_000 + (1 << 61)]
+
+
 def test_language_model_beats_its_base_and_odd_tables(spark):
     rows = queries.op9_language_model(spark, SMALL).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert rows[1] > rows[0]
