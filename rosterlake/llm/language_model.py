@@ -40,9 +40,9 @@ from rosterlake.llm.support import materialize, text_of
 #: Words of the longest n-gram.
 ORDER = 3
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: Tokens of the corpus for each bucket of the key space, about.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_500_000
 #: Added to each unigram count.
 ADD = 0.1
 #: Histories fall into bins by the power of two of their count.
@@ -91,10 +91,10 @@ class Block:
     MARKS = (b"\n", b"\r")
 
     def __init__(self, number: int, sizes: np.ndarray, held: np.ndarray, tokens: np.ndarray, hashes: np.ndarray):
-        self.number, self.sizes, self.tokens, self.hashes = number, sizes, tokens.astype(np.int64), hashes
+        self.number, self.sizes, self.tokens, self.hashes = number, sizes, tokens.astype(np.int32), hashes
         self.words = len(hashes)
         self.first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.place = np.arange(len(tokens)) - np.repeat(self.first, sizes)
+        self.place = np.arange(len(tokens), dtype=np.int32) - np.repeat(self.first.astype(np.int32), sizes)
         self.history = np.empty_like(self.tokens)
         self.history[1:] = self.tokens[:-1]
         self.history[self.first] = 1
@@ -129,7 +129,7 @@ class Block:
         """The words of the vocabulary but the start, in the order of their hashes."""
         ids = np.delete(np.arange(self.words), 1)
         order = ids[np.argsort(self.hashes[ids], kind="stable")]
-        rank = np.full(self.words, -1, np.int64)
+        rank = np.full(self.words, -1, np.int32)
         rank[order] = np.arange(len(order))
         counts = np.bincount(self.tokens[self.trained], minlength=self.words)[order]
         return Grams(rank[self.tokens], self.hashes[order], counts, order)
@@ -137,13 +137,15 @@ class Block:
     def grams(self, n: int, prior: np.ndarray, asked: np.ndarray) -> Grams:
         """Distinct n-grams at the tokens asked; prior numbers their histories."""
         at = np.flatnonzero(asked)
-        code, one, which = np.unique(prior[at] * self.words + self.tokens[at], return_index=True, return_inverse=True)
-        counts = np.bincount(which[self.trained[at]], minlength=len(code))
+        code = prior[at].astype(np.int64) * self.words + self.tokens[at]
+        _, one, which = np.unique(code, return_index=True, return_inverse=True)
+        del code
+        counts = np.bincount(which[self.trained[at]], minlength=len(one))
         keys = self.keys(n, at[one])
         order = np.argsort(keys, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        of_token = np.full(len(self.tokens), -1, np.int64)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        of_token = np.full(len(self.tokens), -1, np.int32)
         of_token[at] = rank[which]
         return Grams(of_token, keys[order], counts[order], at[one][order])
 
@@ -217,10 +219,11 @@ class Counts:
 
     def __init__(self, block: Block, answers: pa.Table, order: int):
         self.block = block
-        rows: dict[int, list[dict]] = defaultdict(list)
+        parts: dict[int, list[np.ndarray]] = defaultdict(list)
         for r in sorted(answers.to_pylist(), key=lambda r: r["bucket"]):
-            rows[r["n"]].append(r)
-        told = {n: np.concatenate([widen(r["totals"], r["stats"][0]) for r in rs]) for n, rs in rows.items()}
+            parts[r["n"]].append(widen(r["totals"], r["stats"][0]))
+        told = {n: np.concatenate(p) for n, p in parts.items()}
+        del parts
         words = block.unigrams()
         self.grams, self.at = {1: words}, {1: told[1][words.of_token]}
         #: Training texts: each has one end.
@@ -402,8 +405,8 @@ def score_texts(
     automaton's, with n-grams of up to order words.  A null text counts as empty: its
     only token is the end.  Repeated rows are rows of their own, and each counts; an
     empty table gives an empty result; other columns are ignored, whatever their names.
-    A text of any length is read whole, in one block: a task holds about forty bytes
-    for each of its tokens and n-grams.  Without training rows every token has the same
+    A text of any length is read whole, in one block: a task holds about two hundred
+    bytes for each of its tokens.  Without training rows every token has the same
     share of an empty model.
     """
     spark_schema = T.StructType(
