@@ -17,10 +17,10 @@ how often the training texts have it; the questions go to buckets of the key spa
 packed in arrays, and each bucket answers every block.  Words and pairs are asked
 first; an n-gram of three or more only where its history is a state and what it ends
 in was seen.  Then each block has the part of the automaton that its texts can
-reach.  A key is a 64-bit hash of a word or 56 bits of an n-gram, so the rows that
-travel are few and the arrays small: of n distinct n-grams, one that training lacks
-is taken for another with a probability of about n / 2^56.  A hot word costs one
-number per block.
+reach.  A key is a 64-bit hash of a word; that of an n-gram is cut to 20 bits more than
+number the corpus's tokens, so that an n-gram which training lacks is taken for
+another with a probability of a millionth or less, and the arrays stay small.  A hot
+word costs one number per block.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -61,23 +62,32 @@ _ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers byte plane by byte plane: high planes that are all zero compress to nothing."""
-    width = numbers.dtype.itemsize
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes()
+    """Unsigned numbers byte plane by byte plane, compressed: planes of equal or few values take little room."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.dtype.itemsize).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def narrow(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest, up to eight."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+    """Counts packed in the fewest bytes that hold the largest, up to eight."""
+    return pack(counts.astype(np.min_scalar_type(int(counts.max(initial=0)))))
 
 
 def widen(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel().astype(np.int64)
+
+
+def key_mask(tokens: int) -> np.uint64:
+    """The leading bits of an n-gram's hash that are its key: 20 more than number the tokens of the corpus, in whole bytes."""
+    spare = 64 - min(64, -(-(tokens.bit_length() + 20) // 8) * 8)
+    return np.uint64((1 << 64) - (1 << spare))
 
 
 def bin_of(counts: np.ndarray) -> np.ndarray:
@@ -90,7 +100,8 @@ class Block:
     #: Neither can be a word, as both are white space.
     MARKS = (b"\n", b"\r")
 
-    def __init__(self, number: int, sizes: np.ndarray, held: np.ndarray, tokens: np.ndarray, hashes: np.ndarray):
+    def __init__(self, number: int, sizes: np.ndarray, held: np.ndarray, tokens: np.ndarray, hashes: np.ndarray, mask: np.uint64):
+        self.mask = mask
         self.number, self.sizes, self.tokens, self.hashes = number, sizes, tokens.astype(np.int32), hashes
         self.words = len(hashes)
         self.first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
@@ -101,10 +112,10 @@ class Block:
         self.trained = np.repeat(~held, sizes)
 
     @classmethod
-    def of_row(cls, row: dict) -> Block:
+    def of_row(cls, row: dict, mask: np.uint64) -> Block:
         return cls(
             row["block"], unpack(row["sizes"], 8).astype(np.int64), np.array(row["held"], bool),
-            unpack(row["tokens"], 4), np.frombuffer(row["hashes"], "<u8"),
+            unpack(row["tokens"], 4), np.frombuffer(row["hashes"], "<u8"), mask,
         )
 
     def before(self, values: np.ndarray, at_start) -> np.ndarray:
@@ -114,16 +125,16 @@ class Block:
         out[self.first] = at_start
         return out
 
-    def keys(self, n: int, at: np.ndarray) -> np.ndarray:
-        """Keys of the n-grams that end at the tokens at."""
+    def hash(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the n-grams that end at the tokens at."""
         last = self.hashes[self.tokens[at]]
         if n == 1:
             return last
-        start = self.hashes[self.history[at]] if n == 2 else self.keys(n - 1, at - 1)
+        start = self.hashes[self.history[at]] if n == 2 else self.hash(n - 1, at - 1)
         with np.errstate(over="ignore"):
             keys = start * np.uint64(0x9E3779B97F4A7C15) + last
             keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return (keys ^ (keys >> np.uint64(32))) & np.uint64(0xFFFFFFFFFFFFFF00)
+        return keys ^ (keys >> np.uint64(32))
 
     def unigrams(self) -> Grams:
         """The words of the vocabulary but the start, in the order of their hashes."""
@@ -141,7 +152,7 @@ class Block:
         _, one, which = np.unique(code, return_index=True, return_inverse=True)
         del code
         counts = np.bincount(which[self.trained[at]], minlength=len(one))
-        keys = self.keys(n, at[one])
+        keys = self.hash(n, at[one]) & self.mask
         order = np.argsort(keys, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
@@ -167,7 +178,7 @@ class Grams:
         return [
             {
                 "block": block, "bucket": b, "n": n, "keys": pack(np.diff(self.keys[x:y], prepend=np.uint64(0))),
-                "counts": narrow(self.counts[x:y]), "bins": b"" if bins is None else bins[x:y].tobytes(), "stats": None,
+                "counts": narrow(self.counts[x:y]), "bins": b"" if bins is None else pack(bins[x:y]), "stats": None,
             }
             for b, x, y in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(self.keys)])
         ]
@@ -204,7 +215,7 @@ def answer(questions: pa.Table) -> pa.Table:
             stats += (totals > 0).sum(), totals.sum()
         elif asked[0]["bins"]:
             bins = np.zeros(len(totals), np.int64)
-            bins[which] = np.concatenate([np.frombuffer(r["bins"], np.uint8) for r in asked])
+            bins[which] = np.concatenate([unpack(r["bins"], 1) for r in asked])
             np.add.at(stats, bins, totals)
             np.add.at(stats, BINS + bins[totals == 1], 1)
         told = totals[which]
@@ -418,7 +429,8 @@ def score_texts(
         docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(text).alias("text")),
         block_bytes,
     )
-    buckets = int((blocks.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0) // bucket_tokens) + 1
+    size = blocks.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    buckets, mask = size // bucket_tokens + 1, key_mask(size)
     block_rows = blocks.select("block", "held", "sizes", "tokens", "hashes")
 
     def table(rows: list[dict]) -> pa.Table:
@@ -427,7 +439,7 @@ def score_texts(
     def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                block = Block.of_row(batch.slice(i, 1).to_pylist()[0])
+                block = Block.of_row(batch.slice(i, 1).to_pylist()[0], mask)
                 rows = block.unigrams().questions(block.number, 1, buckets)
                 if order > 1:
                     rows += block.grams(2, block.history, np.ones(len(block.tokens), bool)).questions(block.number, 2, buckets)
@@ -439,7 +451,7 @@ def score_texts(
         def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
             if not len(rows):
                 return table([])
-            block = Block.of_row(rows.to_pylist()[0])
+            block = Block.of_row(rows.to_pylist()[0], mask)
             counts = Counts(block, answers, n - 1)
             out = []
             if n == 3:
@@ -472,7 +484,7 @@ def score_texts(
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
             return schema.empty_table()
-        block = Block.of_row(rows.select(["block", "held", "sizes", "tokens", "hashes"]).to_pylist()[0])
+        block = Block.of_row(rows.select(["block", "held", "sizes", "tokens", "hashes"]).to_pylist()[0], mask)
         counts = Counts(block, answers, order)
         automaton = Automaton(counts, smoothing, order)
         add = lambda x: np.add.reduceat(x, block.first)
