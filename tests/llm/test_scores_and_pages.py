@@ -164,6 +164,31 @@ def test_embedding_links_and_recall(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_unrelated_vectors_meet_equally_rarely_at_every_size(spark):
+    rng = np.random.default_rng(9)
+    found = {}
+    for n in (5000, 20000):
+        x = rng.standard_normal((n, 64))
+        frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>").repartition(8)
+        found[n] = embedding_dedup.candidates(frame, embedding_dedup.plan_for(n, 0.9)).count() / n
+    assert found[20000] < 1.5 * max(found[5000], 2) and max(found.values()) < 12
+
+
+@pytest.mark.parametrize("vectors", [2000, 40_000, 1_000_000])
+def test_recall_at_the_threshold(spark, vectors):
+    """Pairs at a cosine of exactly 0.90 under the plan of tables of several sizes."""
+    rng = np.random.default_rng(10)
+    n = 1500
+    u, o = (rng.standard_normal((n, 96)) for _ in range(2))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    o -= (o * u).sum(1, keepdims=True) * u
+    w = 0.9005 * u + math.sqrt(1 - 0.9005**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    rows = [(i, v) for i, v in enumerate([*u.tolist(), *w.tolist()])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    got = embedding_dedup.near_vectors(frame, plan=embedding_dedup.plan_for(vectors, 0.9))
+    assert got.where(f"vec_id >= {n} and component_id = vec_id - {n}").count() >= 0.92 * n
+
+
 def brute_model(docs, held, order=3):
     lower = lambda t: (t or "").encode().lower().split()
     grams = lambda d: ((i, n, tuple([b"\r", *d][i + 2 - n : i + 2])) for i in range(len(d)) for n in range(2, order + 1) if i + 2 - n >= 0)
