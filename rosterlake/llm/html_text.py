@@ -1,13 +1,19 @@
 """Operator 5: main text of HTML pages by composite text density.
 
-A page becomes a tree.  Elements that by their tag, role, class or id are menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles
-leave it first.  Every other node gets a density: characters per tag, adjusted for
-the characters and tags inside links.  A node's sum is the total of its
-children's densities; the node with the largest sum is the centre of the main
-text.  The smallest density on the path from the body to it is the threshold: the
-text grows from the centre to an ancestor as long as what the ancestor adds
-reaches the threshold, and to the <article> or <main> that holds the centre.
+A page becomes a tree.  Every node gets a density: characters per tag, adjusted for
+the characters and tags inside links; tags that only mark words up count as text.  A
+node's sum is the total of its children's densities, and the node with the largest sum
+is the centre of the main text.  The smallest density on the path from the body to it
+is the threshold: the text grows from the centre to an ancestor where the ancestor
+adds children that reach the threshold, from the first to the last such child and
+the headings before it.
+
+Scripts, styles, controls, menus, asides and footers never count.  Elements that by tag,
+role, class or id are headers, sidebars, notices, adverts, forms or comments are left out
+unless they hold most of the page's text in paragraphs, as a wrapper does; where such a name may
+also be the article's own ("related", "notice"), only if the element is less dense
+than the threshold or mostly links.  Names count on containers, not on paragraphs
+and headings, and not after words like has- or no-.
 
 One pass over the pages, no shuffle.
 """
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,14 +38,22 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SILENT = frozenset("script style noscript template iframe object svg canvas audio video math head title map".split())
-APART = frozenset("nav header footer aside form button select textarea input menu dialog".split())
+CONTROLS = frozenset("button select textarea input nav menu dialog datalist option footer aside".split())
+APART = frozenset("header form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
 APART_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored promo promotion banner nav navbar "
-    "navigation menu menus breadcrumb breadcrumbs footer header masthead sidebar aside widget widgets related recommended cookie cookies "
-    "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
-    "comment comments commentlist discussion disqus reply replies respond form search pagination pager skip skiplink toolbar".split()
+    "ad ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored navbar nav navigation menu menus breadcrumb "
+    "breadcrumbs footer masthead sidebar cookie cookies consent gdpr newsletter share sharing social comment comments commentlist discussion disqus".split()
 )
+DOUBTFUL_WORDS = frozenset(
+    "promo promotion banner header aside widget widgets related recommended notice notices notification alert popup modal overlay subscribe "
+    "subscription signup login reply replies respond form search pagination pager skip skiplink toolbar".split()
+)
+#: Words after which the next one says what the rest of the page has.
+MODIFIERS = frozenset("has have with without no not is in under after before".split())
+#: Levels of elements that are kept apart, as in browsers; deeper ones join the last.
+DEEPEST = 512
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -51,36 +66,53 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("tag", "parts", "apart", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """apart: 0 part of the page; 1 left out if sparse or mostly links; 2 left out unless it holds most of the text; 3 left out."""
+
+    __slots__ = ("tag", "parts", "apart", "parent", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, apart: bool):
+    def __init__(self, tag: str, parent: Node | None, apart: int):
         self.tag, self.parent, self.apart = tag, parent, apart
+        self.depth = parent.depth + 1 if parent else 0
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
     def children(self) -> list[Node]:
-        return [p for p in self.parts if isinstance(p, Node) and not p.apart]
+        return [p for p in self.parts if isinstance(p, Node) and p.apart < 2]
+
+    def linked(self) -> bool:
+        return 2 * self.link_chars > self.chars
+
 
+def names_of(value: str) -> set[str]:
+    """The words of a class or id, but for those that a modifier goes before."""
+    found = set()
+    for name in value.split():
+        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        found.update(w for at, w in enumerate(words) if not MODIFIERS.intersection(words[:at]))
+    return found
 
-def set_apart(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    """Whether an element is not part of the main text by what it says of itself."""
-    if tag in SILENT or tag in APART:
-        return True
+
+def set_apart(tag: str, attributes: list[tuple[str, str | None]], in_article: bool) -> int:
+    """How far an element is set apart by what it says of itself."""
+    if tag in SILENT or tag in CONTROLS:
+        return 3
+    if tag in APART and not (tag == "header" and in_article):
+        return 2
     if tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    most = 0
     for name, value in attributes:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value or ""):
+            return 2
         if not value:
-            if name == "hidden":
-                return True
             continue
-        if name in ("class", "id") and not APART_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
         if name == "role" and value.lower() in APART_ROLES:
-            return True
-        if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            most = 2
+        if name in ("class", "id") and tag in BLOCK and tag != "p" and tag not in HEADINGS:
+            names = names_of(value)
+            most = max(most, 2 if names & APART_WORDS else 1 if names & DOUBTFUL_WORDS else 0)
+    return most
 
 
 class TreeBuilder(HTMLParser):
@@ -88,52 +120,118 @@ class TreeBuilder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None, False)
+        self.root = self.at = Node("html", None, 0)
+        self.open: Counter = Counter()
+        self.articles = 0
+        self.body = False
+
+    def parse_marked_section(self, i, report=1):
+        """A section like <![if ...]> is a comment in HTML."""
+        return self.parse_bogus_comment(i)
+
+    def _leave(self, node: Node) -> None:
+        """Close the elements from the one at hand up to and with node."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags: set[str], within: set[str]) -> None:
-        node = self.at
+        if not any(self.open[t] for t in tags):
+            return
+        node, last = self.at, None
         while node.parent is not None and node.tag not in within:
             if node.tag in tags:
-                self.at = node.parent
+                last = node
             node = node.parent
+        if last:
+            self._leave(last)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(p, Node) and p.tag == "body" for p in self.root.parts)):
+        if tag == "html" or tag == "body" and self.body:
             return
         if tag in BLOCK:
             self._close({"p"}, {"body", "td", "th", "div", "article", "section", "main", "li", "blockquote", "button"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag == "body":
-            self.at = self.root
-        node = Node(tag, self.at, set_apart(tag, attrs))
+            self.body = True
+            while self.at is not self.root:
+                self._leave(self.at)
+        node = Node(tag, self.at, set_apart(tag, attrs, self.open["article"] + self.open["main"] > 0))
         self.at.parts.append(node)
-        if tag not in VOID:
+        if tag not in VOID and node.depth < DEEPEST:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag in ("svg", "path", "iframe"):
-            self.at = self.at.parent
+            self._leave(self.at)
 
     def handle_endtag(self, tag):
-        if tag in ("html", "body"):
+        if tag in ("html", "body") or not self.open[tag]:
             return
         node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
+        while node.tag != tag:
             if node.tag in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
                 return
             node = node.parent
+        self._leave(node)
 
     def handle_data(self, data):
         self.at.parts.append(data)
 
 
+_RAW = re.compile(r"<(?:!--|(script|style|textarea|title)\b)", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "textarea", "title")}
+
+
+def without_raw(html: str) -> str:
+    """The page without comments and without elements whose content is no markup; one that is left open reaches to the end."""
+    out, at = [], 0
+    while found := _RAW.search(html, at):
+        out.append(html[at : found.start()])
+        if found[1]:
+            end = _RAW_END[found[1].lower()].search(html, found.end())
+            at = end.end() if end else len(html)
+        elif html.startswith((">", "->"), found.end()):
+            at = html.index(">", found.end()) + 1
+        else:
+            end = html.find("-->", found.end())
+            at = end + 3 if end >= 0 else len(html)
+        out.append(" " if found[1] else "")
+    out.append(html[at:])
+    return "".join(out)
+
+
+def tree(html: str) -> Node:
+    """The page's body, or all of it if it has none.
+
+    A tag that is not closed by the end of the page is left out; the text after its
+    first > is read on, or its end is that of the page.  What the parser cannot read
+    in an odd page is taken as text without its tags.
+    """
+    builder, rest = TreeBuilder(), without_raw(html)
+    for _ in range(50):
+        try:
+            builder.feed(rest)
+            rest = builder.rawdata
+            if not re.match(r"<[a-zA-Z/!?]", rest):
+                builder.close()
+                rest = ""
+        except (AssertionError, ValueError, IndexError):
+            rest = builder.rawdata
+        if not rest or ">" not in rest:
+            break
+        builder.rawdata, rest = "", rest.split(">", 1)[1]
+    else:
+        builder.handle_data(re.sub(r"<[^>]*>?", " ", rest))
+    root = builder.root
+    return next((p for p in root.parts if isinstance(p, Node) and p.tag == "body"), root)
+
+
 def _ordered(root: Node) -> list[Node]:
-    """The nodes below root that are not set apart, parents first."""
+    """The nodes below root that are not left out, parents first."""
     out = [root]
     for node in out:
         out.extend(node.children())
@@ -143,49 +241,98 @@ def _ordered(root: Node) -> list[Node]:
 def measure(root: Node) -> list[Node]:
     """Counts, densities and sums of every node; the nodes, parents first."""
     nodes = _ordered(root)
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
     for node in reversed(nodes):
-        node.chars = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
-        for child in node.children():
-            node.chars += child.chars
-            node.tags += child.tags + 1
-            node.link_chars += child.link_chars
-            node.link_tags += child.link_tags + (child.tag == "a")
+        node.chars += sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
         if node.tag == "a":
             node.link_chars = node.chars
+        if node is not root:
+            parent = node.parent
+            parent.chars += node.chars
+            parent.tags += node.tags + (node.tag in BLOCK or node.tag == "a")
+            parent.link_chars += node.link_chars
+            parent.link_tags += node.link_tags + (node.tag == "a")
     share = root.link_chars / max(root.chars, 1)
     for node in nodes:
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
         if c:
-            base = math.log(c / max(c - node.link_chars, 1) * lc + share * c + math.e)  # above 1.3, as lc is at least 1
-            node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
+            base = math.log(c / max(c - node.link_chars, 1) * lc + share * c + math.e)  # 1 or more, as its argument is e or more
+            node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.3))
     for node in nodes:
-        node.total = sum(c.density for c in node.children())
+        node.total = sum(c.density for c in node.children() if c.tag in BLOCK)
     return nodes
 
 
-def centre(nodes: list[Node]) -> Node:
-    """The subtree of the main text."""
+def settle(root: Node) -> None:
+    """Keep what is set apart by name but holds most of the page's text; leave the rest of it out for good."""
+    held: dict[int, int] = {}
+    written: dict[int, bool] = {}
+    order = [root]
+    for node in order:
+        order.extend(p for p in node.parts if isinstance(p, Node) and p.apart < 3)
+    for node in reversed(order):
+        text = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        below = [p for p in node.parts if isinstance(p, Node) and p.apart < 3]
+        held[id(node)] = 0 if node.tag == "a" else text + sum(held[id(p)] for p in below)
+        written[id(node)] = node.tag in HEADINGS or node.tag in ("p", "article", "main") or any(written[id(p)] for p in below)
+    for node in order:
+        if node.apart and written[id(node)] and 2 * held[id(node)] > held[id(root)]:
+            node.apart = 0
+
+
+def centre(nodes: list[Node]) -> tuple[Node, list[Node | str]]:
+    """The node of the main text and those of its parts that belong to it."""
     body = nodes[0]
     best = max(nodes, key=lambda n: n.total)
     if not best.total:
-        return body
+        return body, body.parts
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    semantic = [n for n in path if n.tag in ("article", "main")]
-    if semantic:
-        return semantic[-1]
     threshold = min(n.density for n in path)
-    for parent in path[1:]:
-        others = [n for n in parent.children() if n is not best and n.chars]
-        if any(n.density < threshold or 2 * n.link_chars > n.chars for n in others):
+    for node in nodes:
+        if node.apart == 1 and (node.density < threshold or node.linked()):
+            node.apart = 3
+
+    def dense(part: Node | str, core: Node | None) -> bool:
+        if isinstance(part, str) or part.apart > 1 or not part.chars:
+            return False
+        if part is core or part.tag == "p":
+            return True
+        return part.density >= threshold and not part.linked()
+
+    def span(node: Node, core: Node | None) -> tuple[int, int]:
+        """The range of a node's parts from the first to the last dense one, with the headings before."""
+        at = [i for i, p in enumerate(node.parts) if dense(p, core)]
+        if not at:
+            return 0, len(node.parts)
+        first, last = at[0], at[-1] + 1
+        before = first - 1
+        while before >= 0 and (isinstance(node.parts[before], str) and not node.parts[before].strip() or isinstance(node.parts[before], Node) and (node.parts[before].tag in HEADINGS or not node.parts[before].chars or node.parts[before].apart > 1)):
+            if isinstance(node.parts[before], Node) and node.parts[before].tag in HEADINGS:
+                first = before
+            before -= 1
+        return first, last
+
+    chosen, parts = best, best.parts
+    if best is body:
+        first, last = span(body, None)
+        parts = body.parts[first:last]
+    for inner, parent in zip(path, path[1:]):
+        first, last = span(parent, inner)
+        added = [p for p in parent.parts[first:last] if isinstance(p, Node) and p is not inner and p.apart < 2 and p.chars]
+        if inner.tag in ("article", "main") or not added:
+            if inner.tag not in ("article", "main") and parent is not body and chosen is inner:
+                continue
             break
-        best = parent
-    return best
+        chosen, parts = parent, parent.parts[first:last]
+    return chosen, parts
 
 
-def blocks(root: Node) -> list[str]:
-    """The text of a subtree by block, white space turned into single spaces."""
+def blocks(node: Node, parts: list[Node | str]) -> list[str]:
+    """The text of a node's parts by block, white space turned into single spaces."""
     out: list[str] = []
     buffer: list[str] = []
 
@@ -194,37 +341,39 @@ def blocks(root: Node) -> list[str]:
             out.append(text)
         buffer.clear()
 
-    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    stack: list[tuple[Node | str, bool]] = [(p, False) for p in reversed(parts)]
     while stack:
         part, left = stack.pop()
         if isinstance(part, str):
             buffer.append(part)
+        elif left:
+            flush()
+        elif part.apart > 1:
+            continue
         elif part.tag == "br":
             buffer.append(" ")
-        elif part.tag in BLOCK:
-            flush()
-            if not left:
-                stack.append((part, True))
-                stack.extend((p, False) for p in reversed(part.parts) if isinstance(p, str) or not p.apart)
         else:
-            stack.extend((p, False) for p in reversed(part.parts) if isinstance(p, str) or not p.apart)
+            if part.tag in BLOCK:
+                flush()
+                stack.append((part, True))
+            stack.extend((p, False) for p in reversed(part.parts))
     flush()
     return out
 
 
 def main_text(html: str) -> str:
     """The main text of one page; empty if it has none."""
-    builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
-    body = next((p for p in builder.root.parts if isinstance(p, Node) and p.tag == "body"), builder.root)
-    return " ".join(blocks(centre(measure(body))))
+    body = tree(html)
+    settle(body)
+    return " ".join(blocks(*centre(measure(body))))
 
 
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The key columns and main_text of every page.
 
-    A null page counts as empty and has an empty text; a page without text too.
+    A null page counts as empty and has an empty text; a page without text too.  Pages of
+    any length are read whole, in time in proportion to their length; no page, however
+    malformed, ends the job (tree says what is done with it).
     Repeated rows are each extracted; an empty table gives an empty result; columns
     other than keys are left out.
     """

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -102,6 +103,9 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><b
         ("<h1>Head&amp;line</h1><p>One <b>bold\n\t  word</b>.<p>Two&nbsp;is<br>here", "Head&line One bold word. Two is here"),
         ("<article><p>A b c.</p><div class=share>Tell</div><section><p>D e f &lt;g&gt;</p></section></article>", "A b c. D e f <g>"),
         ("<p>x<p>y<ul><li>i<li>j</ul><table><tr><td>1<td>2</table>", "x y i j 1 2"),
+        ("<article><header><h1>Title</h1></header><p>A b c d e.</p><p class=reply>So he said.</p><section id=related><h2 id=related-work>Related</h2><p>Text of it, long enough to be dense.</p></section></article>", "Title A b c d e. So he said. Related Text of it, long enough to be dense."),
+        ("<![foo[bar]]><p>One line of text.</p><p>And one more.</p>", "One line of text. And one more."),
+        ("<p>Text before.</p><p>It goes on here.</p><!-- left open <p>no</p>", "Text before. It goes on here."),
         ("<div><p>First part is long enough to count.</p></div><div><p>Second part is also here to stay.</p></div>", "First part is long enough to count. Second part is also here to stay."),
     ],
 )
@@ -109,6 +113,48 @@ def test_main_text(inner, want):
     assert html_text.main_text(PAGE.replace("INNER", inner)) == want
 
 
+ARTICLE = "<h1>Of wind</h1><p>The wind <b>blows<br>from</b> the sea.</p><p>Yes.</p><p>In the morning it turns, and by noon nobody speaks of it any more.</p>"
+TEXT = "Of wind The wind blows from the sea. Yes. In the morning it turns, and by noon nobody speaks of it any more."
+NAV = "<nav><ul><li><a href=/a>Menu</a><li><a href=/b>Two</a></ul></nav><div class=ad>Buy it now.</div>"
+FOOT = "<footer>&copy; 2020 by someone</footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body>{NAV}<div class="site has-sidebar"><div>{ARTICLE}</div></div>{FOOT}</body>',
+        f"<body><form action=/x>{NAV}<div>{ARTICLE}</div><input name=q><button>Go</button>{FOOT}</form></body>",
+        f"<body>{NAV}{ARTICLE}{FOOT}</body>",
+        f"<body>{NAV}<div><section>{ARTICLE}</section></div>{FOOT}",
+        f"<body>{NAV}<div id=content>{ARTICLE}</div><section id=comments><h3>Comments</h3><div class=comment><p>I like it, well written and true.</p></div></section>{FOOT}",
+        f"<body>{NAV}<div>{ARTICLE}</div><div class=related><a href=1>More of this</a> <a href=2>And of that</a></div>{FOOT}",
+        f"<body>{NAV}<div>{ARTICLE}</div>{FOOT}<a href='",
+        f"<!-- a -- b --><!--><body><script>if (a < b) '<!--'</script>{NAV}<div>{ARTICLE}</div>{FOOT}",
+    ],
+)
+def test_density_alone_finds_the_text(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_articles_of_given_pages_without_their_tag(spark, sf):
+    import html
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    wrong = 0
+    for r in rows:
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub("</?b>", "", x).replace("<br>", " ")).split()) for x in re.split("</?(?:p|h1)>", article)]
+        wrong += html_text.main_text(re.sub("<(/?)article>", r"<\1div>", r.html)) != " ".join(x for x in parts if x)
+    assert len(rows) > 200 and wrong == 0
+
+
+@pytest.mark.parametrize("tag", ["</i>", "<i>", "<!--", "<a href='", "<![x[", "<p><div>", "<table><td>", "<p><i><ul>", "</td>", "<", "&amp", "<b x="])
+def test_odd_pages_take_little_time(tag):
+    began = time.time()
+    html_text.main_text("<p>" + "<i>" * 16000 + tag * 16000 + "text" + "</b>" * 16000)
+    assert time.time() - began < 3
+
+
 def test_html_of_pages_and_odd_rows(spark, sf):
     odd = ["", "plain words", "<p>a", "</div></p>b", "<!-- <p>x</p> -->", "<" * 2000, "<div>" * 3000 + "deep" + "</div>" * 3000, "&#x41;&bogus;&am", "<body></body>"]
     pages = spark.createDataFrame([(i, "u", h, "x") for i, h in enumerate([*odd, None, odd[1]])], "page_id long, url string, html string, main_text string")
