@@ -36,6 +36,17 @@ def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame, within: str, keep: list[DataFrame] = ()) -> None:
+    """Delete the tables in the folder within that df reads, but for those that keep reads: nothing reads them any more."""
+    folders = lambda d: {f.rsplit("/", 1)[0] for f in d.inputFiles()}
+    name = within.rstrip("/").rsplit("/", 1)[1]
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders(df) - set().union(*map(folders, keep)):
+        if f"/{name}/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def text_of(column: str | Column) -> Column:
     """The text, a null counted as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -59,33 +70,42 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour list is ever gathered.  Nodes without an edge are not returned.
     """
 
-    def lowest(pairs: DataFrame) -> DataFrame:
-        lows = materialize(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "lows")
-        return pairs.join(lows, "u")
+    folder = f"{shared_dir(edges.sparkSession)}/components-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def lowest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        lows = written(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        return lows, pairs.join(lows, "u")
 
     def state(pairs: DataFrame) -> tuple:
         row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return tuple(row)
 
-    now = materialize(
+    now = written(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
+        .distinct()
     )
     seen = state(now)
     while True:
-        both = materialize(now.union(now.select("v", "u")), "both")
-        large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u > v").distinct(), "large")
-        small = lowest(large)
+        both = written(now.union(now.select("v", "u")))
+        low, joined = lowest(both)
+        large = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u > v").distinct())
+        least, small = lowest(large)
         small = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", F.col("m").alias("v")))
             .where("u > v")
             .distinct()
         )
-        now = materialize(small, "edges")
+        before, now = now, written(small)
+        for table in (before, both, low, large, least):
+            discard(table, folder)
         after = state(now)
         if after == seen:
             break

@@ -39,12 +39,24 @@ def test_exact_row_verdict_with_colliding_digests(spark):
     assert len(found) == 40 and sum(r.kept for r in found) == len({t.replace(" ", "") for _, t in rows})
 
 
-def test_merge_index_resolves_over_two_flushes(spark):
+def test_merge_index_resolves_over_many_flushes(spark):
     rows = [(i, f"{i % 7} text") for i in range(30)] + [(30, "7  text"), (31, "only"), (32, "7 text")]
     docs = frame(spark, rows)
-    index = exact_dedup.MergeIndex(spark)
-    index.flush(docs.where("doc_id % 2 = 0"))
-    index.flush(docs.where("doc_id % 2 = 1"))
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in index.resolve(docs).collect()}
     whole = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
-    assert len(index.runs) == 2 and got == whole and got[29] == (1, 5) and got[32] == (30, 2) and got[31] == (31, 1)
+    index = exact_dedup.MergeIndex(spark, memtable=3, fan_in=2)
+    for part in range(3):
+        index.flush(docs.where(f"doc_id % 3 = {part}"))
+        index.compact()
+    sizes = [r.n_rows for r in index.runs().collect()]
+    assert sum(sizes) == 33 and max(sizes) <= 3 and len(sizes) >= 11
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in index.resolve(docs).collect()}
+    assert got == whole and got[29] == (1, 5) and got[32] == (30, 2) and got[31] == (31, 1)
+
+
+def test_exact_dedup_of_string_and_extreme_ids(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "xy "), (None, "x  y"), ("c", "z")], "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.keep_id, r.kept) for r in exact_dedup.exact_dedup(docs, memtable=1, fan_in=2).collect())
+    assert got == [("", None, True), ("a", None, False), ("b", None, False), ("c", "c", True)]
+    low = -(1 << 63)
+    numbers = spark.createDataFrame([(low, "q"), (5, "q"), (low + 1, "r")], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(numbers).collect()} == {low: low, 5: low, low + 1: low + 1}
