@@ -2,16 +2,17 @@
 
 Voters judge each text: lexicons mined from labelled rows (words, and beginnings
 of words, each dealt to several voters), a small fixed lexicon, patterns, and two
-voters for clean text.  A generative label model is fitted to the counts of all
-vote patterns of all documents by expectation maximisation, in which the labelled
-rows keep their class: it estimates each voter's accuracy in either class, and the
-correlation that remains between voters within a class; where correlated voters
-speak together, each counts for less.  A linear classifier
-then learns the posterior labels from words and beginnings of words, and scores
-every text.
+voters for clean text, which speak where the lexicons are silent; a label, where there
+is one that may be read, is one more voter.  A generative label model is fitted to the
+counts of all vote patterns of all documents by expectation maximisation: it estimates
+each voter's accuracy in either class, the label's too, and the correlation that
+remains between voters within a class; where correlated voters speak together, each
+counts for less.  A linear classifier then learns the posterior labels, and no others,
+from words and beginnings of words, and scores every text.
 
 Two passes over the documents, no shuffle of text.  The number of vote patterns is
-bounded by the voters.  Lexicons and classifier are fitted on bounded samples.
+bounded by the voters.  Lexicons and classifier are fitted on a bounded sample of
+labelled rows.
 """
 
 from __future__ import annotations
@@ -33,10 +34,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from rosterlake.llm.support import materialize, text_of
 
-#: Labelled rows to mine lexicons from at most, half of either label where there are enough.
+#: Labelled rows to mine lexicons from and to fit the classifier on at most, half of either label where there are enough.
 SAMPLE = 20_000
-#: Documents to fit the classifier on at most, half of either posterior label.
-FIT = 12_000
 #: Features of the classifier at most.
 FEATURES = 3_000
 MEMO = 400_000
@@ -83,7 +82,7 @@ def _sample(labels: DataFrame, bound: int) -> DataFrame:
     return half(1).union(half(0))
 
 
-def mine(sample: DataFrame) -> Lexicon:
+def mine(sample: DataFrame, features: int = FEATURES) -> Lexicon:
     """Learn lexicons from rows (text, label) of labelled documents.
 
     Near copies count once, or one document's rare words would look like evidence.
@@ -120,7 +119,7 @@ def mine(sample: DataFrame) -> Lexicon:
     part = lambda x, share: F.when(x > 0, x * F.log(x / ((t + c) * share))).otherwise(0.0)
     counts = counts.withColumn("gain", part(t, base) + part(c, 1 - base)).withColumn("share", t / (t + c))
     # Of features tried by chance alone, about one in all reaches log(tried).
-    best = counts.where(F.col("gain") >= 0.8 * math.log(max(tried, 2))).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
+    best = counts.where(F.col("gain") >= 0.8 * math.log(max(tried, 2))).orderBy(F.desc("gain"), "feature").limit(features).collect()
     toxic = {bytes(r["feature"]): r["gain"] for r in best if r["gain"] >= math.log(max(tried, 2)) and r["share"] > max(0.7, 2 * base)}
     return Lexicon(toxic, tuple(sorted(bytes(r["feature"]) for r in best)))
 
@@ -187,23 +186,24 @@ class LabelModel:
 
 
 def as_votes(patterns: list[str]) -> np.ndarray:
-    return np.array([["-0+".index(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), len(VOTERS))
+    """Rows of votes 0 (clean), 1 (none), 2 (toxic); the last voter is the label."""
+    return np.array([["-0+".index(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), len(VOTERS) + 1)
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 30) -> LabelModel:
-    """Expectation maximisation over vote patterns, their counts and labels (-1: none).
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 30) -> LabelModel:
+    """Expectation maximisation over vote patterns and their counts; the last voter is the label.
 
-    It starts from the voters' majority; labelled rows keep their class throughout, and
-    the class share is theirs (without labels, the majority's): rows without votes say
-    nothing of it.  Correlations are measured on the residuals of votes within the
+    It starts from the label where there is one and else from the voters' majority.  The
+    class share is that of the labels (without labels, the majority's): rows without votes
+    say nothing of it.  Correlations are measured on the residuals of votes within the
     classes.
     """
     n = votes.shape[1]
     lean = (votes == 2).sum(1) - 0.5 * (votes == 0).sum(1)
-    clamp = lambda belief: np.where(labels < 0, belief, labels)
-    belief = clamp(np.where(lean > 0, 0.9, 0.1))
+    told = votes[:, -1] != 1
+    belief = np.where(told, votes[:, -1] / 2, np.where(lean > 0, 0.9, 0.1))
     counts = counts.astype(float)
-    known = counts * (labels >= 0) if (labels >= 0).any() else counts
+    known = counts * told if told.any() else counts
     prior = float(np.clip(((known * belief).sum() + 1) / (known.sum() + 2), 0.001, 0.5))
     for _ in range(rounds):
         shares = np.empty((n, 3, 2))
@@ -222,7 +222,7 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, labels: np.ndarray, r
         correlations = part / np.outer(spread, spread)
         np.fill_diagonal(correlations, 1.0)
         model = LabelModel(prior, shares, correlations)
-        belief = clamp(model.posterior(votes, silence=True))
+        belief = model.posterior(votes, silence=True)
     return model
 
 
@@ -253,21 +253,31 @@ class Classifier:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE
+    docs: DataFrame,
+    labels: DataFrame,
+    held_out,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    bound: int = SAMPLE,
+    features: int = FEATURES,
 ) -> Classifier:
     """Fit on the documents; labels of rows where held_out is true are not read.
 
-    Where an id has two labels, the larger counts; rows with a null id or label are
-    left out.  Without rows of both labels the fixed lexicon and patterns vote alone.
+    bound: labelled rows to learn from at most; features: words and beginnings that the
+    classifier may weigh, at most.  A label above 0 is toxic.  Where an id has two labels,
+    the larger counts; rows with a null id or label are left out.  Without rows of both
+    labels the fixed lexicon and patterns vote alone, and the classifier learns their
+    posterior labels on at most bound documents.  Texts of any length are read whole.
     """
     known = (
         labels.where(~held_out & F.col(doc_id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(doc_id).alias("label_id"))
-        .agg(F.max(label).cast("int").alias("label"))
+        .agg((F.max(label) > 0).cast("int").alias("label"))
     )
     texts = docs.select(F.col(doc_id).alias("label_id"), text_of(text).alias("text"))
     # The sample has at most bound rows of two numbers.
-    lexicon = mine(texts.join(F.broadcast(_sample(known, bound)), "label_id").select("text", "label"))
+    lexicon = mine(texts.join(F.broadcast(_sample(known, bound)), "label_id").select("text", "label"), features)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(lexicon)
@@ -282,29 +292,31 @@ def train(
     )
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), text_of(text).alias("text"))
     voted = materialize(rows.mapInArrow(vote, schema), "votes")
-    told = materialize(voted.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "held", "votes", "label"), "told")
-    patterns = told.groupBy("votes", "label").count().orderBy("votes", "label").collect()
+    spoken = F.coalesce(F.when(F.col("held"), None).when(F.col("label") == 1, "+").when(F.col("label") == 0, "-"), F.lit("0"))
+    joined = voted.join(known, F.col("doc_id") == F.col("label_id"), "left")
+    told = materialize(joined.select("doc_id", F.concat("votes", spoken).alias("votes")), "told")
+    patterns = told.groupBy("votes").count().orderBy("votes").collect()
     if not patterns:
         return Classifier({}, 0.0)
     names = [r["votes"] for r in patterns]
-    labelled = [-1 if r["label"] is None else r["label"] for r in patterns]
-    votes = as_votes(names)
-    model = fit_label_model(votes, np.array([r["count"] for r in patterns]), np.array(labelled))
-    belief = dict(zip(names, model.posterior(votes).tolist()))
-    features = sorted({*lexicon.features, *(b"w" + w.encode() for w in INSULTS)})
-    spark = docs.sparkSession
-    beliefs = spark.createDataFrame(list(belief.items()), "votes string, belief double")
-    # One row per vote pattern; then at most FIT documents.  A label outweighs the votes.
-    judged = told.where("not held and doc_id is not null").join(F.broadcast(beliefs), "votes")
-    judged = judged.withColumn("belief", F.coalesce(F.col("label").cast("double"), "belief"))
-    side = lambda w: judged.where(w).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT // 2)
+    model = fit_label_model(as_votes(names), np.array([r["count"] for r in patterns]))
+    listed = sorted({*lexicon.features, *(b"w" + w.encode() for w in INSULTS)})
+    # Learn from labelled rows with the posterior of their votes; where no label may be read, from any rows.
+    any_label = any(n[-1] != "0" for n in names)
+    learned = told.where("doc_id is not null").where("not endswith(votes, '0')" if any_label else "true")
+
+    def posterior(votes: pa.Array) -> pa.Array:
+        return pa.array(model.posterior(as_votes(votes.to_pylist())), pa.float64())
+
+    judged = learned.withColumn("belief", F.arrow_udf(posterior, T.DoubleType())("votes"))
+    side = lambda w: judged.where(w).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound // 2)
     chosen = side("belief >= 0.5").union(side("belief < 0.5")).groupBy("doc_id").agg(F.max("belief").alias("belief"))
 
     def indices(texts: pa.Array) -> pa.Array:
-        place = {f: i for i, f in enumerate(features)}
+        place = {f: i for i, f in enumerate(listed)}
         out = []
         for t in texts:
-            x = np.zeros(len(features))
+            x = np.zeros(len(listed))
             x[[place[f] for w in set(words_of(t.as_py())) for f in features_of(w) if f in place]] = 1.0
             out.append(x)
         return pa.array(out, pa.list_(pa.float64()))
@@ -318,10 +330,12 @@ def train(
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("belief")).alias("weight")),
     )).alias("s")).select("features", "s.label", "s.weight")
     soft = soft.where("weight > 0.001").persist()
+    if soft.isEmpty():
+        return Classifier({}, math.log(model.prior / (1 - model.prior)))
     linear = LogisticRegression(weightCol="weight", regParam=0.00005, maxIter=100, standardization=False).fit(soft)
     soft.unpersist()
     return Classifier(
-        {f: w for f, w in zip(features, linear.coefficients.toArray().tolist()) if abs(w) > 1e-4}, float(linear.intercept)
+        {f: w for f, w in zip(listed, linear.coefficients.toArray().tolist()) if abs(w) > 1e-4}, float(linear.intercept)
     )
 
 

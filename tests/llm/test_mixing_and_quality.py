@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -75,6 +77,39 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
 
 
+def brute_statistics(text):
+    data = text.encode()
+    words = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", data) if w]
+    if not words:
+        return [0.0] * len(quality.STATISTICS)
+    n, m = len(words), len(data)
+    share = lambda chars: sum(b in chars for b in data) / m
+    lines = [x for x in data.split(b"\n") if x]
+    return [
+        math.log(1 + len(text)), math.log(1 + n), m / n, max(len(w) for w in words), share(range(65, 91)), share(b"0123456789"),
+        share(b".,;:'\"()-"), share(b"#$%&*+=@^~<>\\/_`{}[]"), share(b"!"), share(b"|"), share(b" \t\n\r"), len(lines) / n,
+        len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, max(words.count(w) for w in set(words)) / n,
+        sum(w[-1] in b"#$%&*!@^~|" for w in words) / n, sum(len(w) > 1 and w.isupper() for w in words) / n, len(set(lines)) / len(lines),
+    ]
+
+
+def brute_quality(model, text):
+    stats = brute_statistics(text)
+    total = model.intercept + sum(w * stats[i] for i, w in model.linear)
+    for rule, w in model.rules:
+        if all(stats[i] <= x if below else stats[i] > x for i, below, x in rule.terms):
+            total += w
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_scores_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.quality_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.rules or model.linear
+    for r in quality.score(docs, model).collect():
+        assert r.quality_score == pytest.approx(brute_quality(model, r.text or ""), abs=1e-9)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (None, "a b c"), (5, "x" * 100000)], "doc_id long, text string")
     labels = spark.createDataFrame([(5, 1, 0), (None, 1, 1), (1, None, 1)], "doc_id long, quality int, toxic int")

@@ -41,17 +41,97 @@ def test_toxicity_odd_rows(spark):
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(1)
     y = rng.random(6000) < 0.2
-    votes = np.ones((6000, len(toxicity.VOTERS)), int)
+    votes = np.ones((6000, len(toxicity.VOTERS) + 1), int)
     for j, (hit, wrong) in enumerate([(0.9, 0.02), (0.7, 0.02), (0.6, 0.2)]):
         votes[:, j] = np.where(rng.random(6000) < np.where(y, hit, wrong), 2, 1)
     votes[:, 3] = votes[:, 0]  # says what voter 0 says
     votes[:, 4] = np.where(rng.random(6000) < np.where(y, 0.1, 0.95), 0, 1)
-    model = toxicity.fit_label_model(votes, np.ones(6000), np.where(np.arange(6000) < 300, y, -1))
+    votes[:300, -1] = 2 * y[:300]  # some rows have a label
+    model = toxicity.fit_label_model(votes, np.ones(6000))
     assert abs(model.shares[0, 2, 1] - 0.9) < 0.05 and abs(model.shares[2, 2, 1] - 0.6) < 0.06
     assert model.correlations[0, 3] > 0.95 and abs(model.correlations[0, 1]) < 0.2
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.95
 
 
+def brute_em(votes, counts, rounds=30):
+    """The label model in plain loops."""
+    rows, n = range(len(votes)), len(votes[0])
+    label = [v[-1] for v in votes]
+    lean = [sum(x == 2 for x in v) - 0.5 * sum(x == 0 for x in v) for v in votes]
+    belief = [label[r] / 2 if label[r] != 1 else 0.9 if lean[r] > 0 else 0.1 for r in rows]
+    known = [counts[r] if label[r] != 1 or all(x == 1 for x in label) else 0 for r in rows]
+    prior = min(max((sum(known[r] * belief[r] for r in rows) + 1) / (sum(known) + 2), 0.001), 0.5)
+
+    def posterior(v, silence):
+        odds = math.log(prior / (1 - prior))
+        for j in range(n):
+            evidence = math.log(share[j][v[j]][1] / share[j][v[j]][0])
+            if v[j] != 1:
+                odds += evidence / max(sum(max(corr[k][j], 0) for k in range(n) if v[k] != 1), 1)
+            elif silence:
+                odds += evidence / sum(max(corr[j][k], 0) for k in range(n))
+        return 1 / (1 + math.exp(-min(max(odds, -50), 50)))
+
+    for _ in range(rounds):
+        share = []
+        for j in range(n):
+            sums = [[sum(counts[r] * (belief[r] if c else 1 - belief[r]) for r in rows if votes[r][j] == v) for c in (0, 1)] for v in range(3)]
+            share.append([[(sums[v][c] + 0.3) / (sum(s[c] for s in sums) + 0.9) for c in (0, 1)] for v in range(3)])
+        cov = [[0.0] * n for _ in range(n)]
+        for r in rows:
+            for c in (0, 1):
+                rest = [votes[r][j] - 1 - (share[j][2][c] - share[j][0][c]) for j in range(n)]
+                weight = counts[r] * (belief[r] if c else 1 - belief[r])
+                for j in range(n):
+                    for k in range(n):
+                        cov[j][k] += weight * rest[j] * rest[k]
+        corr = [[1.0 if j == k else cov[j][k] / math.sqrt(max(cov[j][j], 1e-9) * max(cov[k][k], 1e-9)) for k in range(n)] for j in range(n)]
+        belief = [posterior(v, True) for v in votes]
+    return [posterior(v, False) for v in votes]
+
+
+def test_label_model_equals_brute_force():
+    rng = random.Random(8)
+    votes = [[rng.choice([0, 1, 1, 2]) for _ in range(4)] + [rng.choice([0, 1, 1, 2])] for _ in range(25)]
+    counts = [rng.randrange(1, 50) for _ in votes]
+    model = toxicity.fit_label_model(np.array(votes), np.array(counts))
+    assert model.posterior(np.array(votes)) == pytest.approx(brute_em(votes, counts), abs=1e-6)
+
+
+def brute_features(text):
+    for p in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
+        text = text.replace(p, " ")
+    words = {w for w in re.split("[\x00-\x20]+", text.lower()) if w}
+    return {b"w" + w.encode() for w in words} | {f"{n}{w[:n]}".encode() for w in words for n in (4, 5, 6, 7) if len(w) > n}
+
+
+def test_votes_and_scores_equal_brute_force(spark):
+    toxic = {b"wmud": 9.0, b"4slim": 8.0, b"wbogus": 7.0, b"5grimy": 6.0}
+    texts = ["", "mud", "All is MUD, mud; mud!", "slimy things", "you are a mud", "GRIMY GRIMYEST SHOUT of mud", "fine words only", "idiot", "a " * 300 + "mud slimes bogus"]
+    voters = toxicity.Voters(toxicity.Lexicon(toxic, ()))
+    for text in texts:
+        words = toxicity.words_of(text)
+        fired = Counter()
+        for w in words:
+            hit = {zlib.crc32(f) % 4 if f[:1] == b"w" else 4 + zlib.crc32(f) % 2 for f in brute_features(w.decode()) if f in toxic}
+            fired.update(hit | ({6} if w.decode() in toxicity.INSULTS else set()))
+        total = sum(fired.values())
+        want = ["+" if fired[i] else "0" for i in range(7)]
+        want.append("+" if words and total >= max(3, 0.01 * len(words)) else "0")
+        want.append("+" if "you are a mud" in text else "0")
+        want.append("+" if total and sum(w.isupper() for w in text.split()) * 3 > len(words) else "0")
+        want.append("-" if not any(fired[i] for i in (0, 1, 2, 3, 6)) else "0")
+        want.append("-" if not fired[4] + fired[5] else "0")
+        assert voters.vote(text) == "".join(want), text
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.train(docs, labels, fold("doc_id", 5) == 0)
+    given = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        odds = model.intercept + sum(model.weights.get(f, 0.0) for f in brute_features(given[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-min(max(odds, -40), 40))))
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://EXAMPLE.org", "http://example.org/", "https://a.example.org/en/1299?x=1", "http://example.org/en/2",
     "ftp://x.y.example.org/es/", "http://badexample.org/es/", "http://example.org/es", "http://q.com/fr/1#t", "http://q.com/de/", "http://com/de/x",
