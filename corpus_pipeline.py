@@ -3,11 +3,17 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame that run() writes as Parquet and reads again as the next stage's docs.
 All stages but the last return the columns of documents.
+
+Every stage takes null ids, texts and sources, empty and very long texts, repeated rows
+and ids, and columns of any further names, which it hands on untouched; an empty table
+gives an empty one.  A row is judged by itself: what becomes of one row of an id says
+nothing of the others.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +25,14 @@ from rosterlake.llm.queries import VOCABULARY, quality_model
 
 #: The column of row numbers inside a stage.
 ROW = "pipeline_row"
+#: The columns that stages read.
+READ = ("doc_id", "text", "source")
+
+
+def covered(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with neutral names for the columns that no stage reads, so that none clashes, and what gives the names back."""
+    names = {c: f"further_{i}" for i, c in enumerate(docs.columns) if c not in READ}
+    return docs.withColumnsRenamed(names), lambda df: df.select([F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -26,36 +40,56 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """numbered rows without those whose number is dropped's row, and without the number."""
-    return rows.join(dropped.select(F.col("row").alias(ROW)), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
+def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """numbered rows without those whose number is dropped's row."""
+    return rows.join(dropped.select(F.col("row").alias(ROW)), ROW, "left_anti")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: the documents that the classifier accepts."""
-    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
-    return scored.where("quality_predicted = 1").select(docs.columns)
+    """Operator 7: the documents that the classifier accepts.
+
+    A null text is scored like an empty one.  Without labels every score is the same,
+    0.5, and all documents stay.
+    """
+    rows, restored = covered(docs)
+    scored = quality.score(rows, quality_model(rows, table(spark, sf_dir, "labels")))
+    return restored(scored.where("quality_predicted = 1"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of equal texts one stays."""
-    rows = numbered(docs)
-    return drop_rows(rows, exact_dedup.exact_dedup(rows, row=ROW).where("not kept"))
+    """Operator 6: of equal texts one row stays: that with the most code points, then the smallest id (null last).
+
+    A null text equals the empty one.
+    """
+    rows, restored = covered(docs)
+    rows = numbered(rows)
+    return restored(without_rows(rows, exact_dedup.exact_dedup(rows, row=ROW).where("not kept")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each component one document stays, that with its smallest id."""
-    rows = numbered(docs)
-    return drop_rows(rows, simhash.near_duplicates(rows, row=ROW).where("row <> first_row"))
+    """Operator 3: of each component one row stays, that with its smallest id (null last).
+
+    Texts without words are one component.
+    """
+    rows, restored = covered(docs)
+    rows = numbered(rows)
+    return restored(without_rows(rows, simhash.near_duplicates(rows, row=ROW).where("row <> first_row")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: each document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    """Operator 4: each row as often as the mix takes it.
+
+    A null source is a source of its own.
+    """
+    rows, restored = covered(docs)
+    return restored(mixing.emit(mixing.mix(rows)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: token ids of each row, with the digests of ids and decoded bytes."""
+    """Operator 10: token ids of each row, with the digests of ids and decoded bytes.
+
+    A null text has no tokens.  Further columns end here.
+    """
     encoded = byte_bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return byte_bpe.digests(encoded)
 
