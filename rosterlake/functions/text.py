@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# Letters with marks and their plain letters, lower case.
-ACCENTED = "άέήίόύώϊϋΐΰàáâãäåèéêëìíîïòóôõöùúûüýÿñç"
-PLAIN = "αεηιουωιυιυaaaaaaeeeeiiiiooooouuuuyync"
+def marked_letters() -> tuple[str, str]:
+    """Lower-case letters that decompose into one letter and marks, and those letters, by the Unicode tables."""
+    plain = {}
+    for point in range(0x80, sys.maxunicode + 1):
+        letter = chr(point)
+        parts = unicodedata.normalize("NFD", letter)
+        if parts != letter and letter == letter.lower():
+            bare = "".join(c for c in parts if unicodedata.category(c) != "Mn")
+            if len(bare) == 1:
+                plain[letter] = bare
+    return "".join(plain), "".join(plain.values())
+
+
+ACCENTED, PLAIN = marked_letters()
+
+
+def unmarked(c: Column) -> Column:
+    """Lower-case text without the marks of its letters, whether they are part of the letter or follow it."""
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def normalise(c: Column) -> Column:
-    """Lower case, trimmed, without accents; empty for null; a final sigma is kept."""
-    return F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), ACCENTED, PLAIN)
+    """Lower case, trimmed, without marks; empty for null; a final sigma is kept."""
+    return unmarked(F.lower(F.trim(F.coalesce(c, F.lit("")))))
 
 
 def normalise_name(c: Column) -> Column:

@@ -11,16 +11,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rosterlake.functions import temporal
+
 
 @dataclass(frozen=True)
 class Field:
-    """A column of the base table, of a child (table, key), or a sum over a child."""
+    """A column of the base table, of a child (table, key), a sum over a child, or an age in years on a day."""
 
     column: str
     child: str | None = None
     key: str | None = None
     total: bool = False
     divisor: float = 1.0
+    as_of: str | None = None
 
 
 COMPARE = {
@@ -76,7 +79,10 @@ def apply_filters(
             continue
         field = fields[name]
         if field.child is None:
-            out = out.where(predicate(F.col(field.column), operator, value))
+            column = F.col(field.column)
+            if field.as_of:
+                column = temporal.age_years(column.cast("date"), F.lit(field.as_of).cast("date"))
+            out = out.where(predicate(column, operator, value))
             continue
         child = tables[field.child].withColumnRenamed(field.key, key).select(key, field.column)
         if field.total:

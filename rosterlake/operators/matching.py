@@ -17,10 +17,13 @@ def strings(values) -> Column:
 
 def match_relaxed(
     people: DataFrame, key: str, role: str | None, years: float | None, software: list[str], languages: list[str], certificates: list[str],
-    categories: DataFrame | None = None, implied: DataFrame | None = None, limit: int = 20,
+    categories: DataFrame | None = None, implied: DataFrame | None = None, limit: int = 20, flags: bool = False,
 ) -> DataFrame:
     """People with score, level and rank, best first; those without any match are left out.
 
+    flags: a boolean column too for each of role, years, software, category, languages
+    and certificates: whether that criterion counted.
+
     people: key, roles, years, software, languages, certificates (arrays of strings).
     categories (category, name): where software asked for is a category, software of
     that category gives a little less.  implied (certificate, name): software that a
@@ -28,9 +31,9 @@ def match_relaxed(
     """
     rows = people
     if implied is not None:
-        held = people.select(key, F.explode("certificates").alias("c")).join(
-            F.broadcast(implied), F.contains(F.lower("c"), F.lower("certificate"))
-        )
+        named = people.select(key, F.explode("certificates").alias("c")).withColumn("c", F.lower("c"))
+        rules = implied.select(F.lower("certificate").alias("rule"), "name")
+        held = named.join(containing(named, "c", rules, "rule"), "c").join(rules, "rule")
         rows = rows.join(held.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("extra")), key, "left")
         rows = rows.withColumn("software", F.array_distinct(F.concat("software", F.coalesce("extra", F.array().cast("array<string>"))))).drop("extra")
     tier = F.lit(False)
@@ -46,28 +49,64 @@ def match_relaxed(
         when(F.arrays_overlap("languages", strings(languages)), WEIGHTS["languages"]) if languages else F.lit(0.0),
         when(nested.contains_either_way(F.col("certificates"), strings(certificates)), WEIGHTS["certificates"]) if certificates else F.lit(0.0),
     ]
+    names_ = ["role", "years", "software", "category", "languages", "certificates"]
+    if flags:
+        software_part = parts[2]
+        counted = [parts[0] > 0, parts[1] > 0, software_part == WEIGHTS["software"], software_part == WEIGHTS["category"], parts[3] > 0, parts[4] > 0]
+        rows = rows.withColumns({f"{n}_matched": F.coalesce(c, F.lit(False)) for n, c in zip(names_, counted)})
     scored = rows.withColumn("score", F.round(sum(parts[1:], parts[0]), 4)).where("score > 0")
     best = scored.orderBy(F.desc("score"), F.desc("years"), key).limit(limit)
     place = Window.orderBy(F.desc("score"), F.desc("years"), key)  # over at most limit rows
-    return best.select(key, "years", "score", scoring.level(F.col("score"), scoring.MATCH, "low").alias("level"), F.row_number().over(place).alias("rank"))
+    return best.select(key, "years", "score", scoring.level(F.col("score"), scoring.MATCH, "low").alias("level"), F.row_number().over(place).alias("rank"), *([f"{n}_matched" for n in names_] if flags else []))
 
 
 def trigram_matches(items: DataFrame, item: str, names: DataFrame, name: str, threshold: float) -> DataFrame:
     """Pairs of distinct texts with a trigram similarity of threshold or more: item, name, similarity.
 
-    An equi-join on trigrams counts the shared ones; sizes give the rest.  Where one
-    side has so many trigrams more that the threshold is out of reach, pairs go
-    before they are counted.
+    Each text's trigrams are put in order, rarest first.  Two texts as similar as asked
+    share one of the first few of each, so only these meet in an equi-join: a trigram
+    that many texts have hardly ever brings two of them together.
     """
-    spread = lambda df, c, n, t: (
-        df.select(F.col(c).alias(c)).where(F.col(c).isNotNull()).distinct().withColumn("grams", text.trigrams(F.col(c)))
-        .select(c, F.size("grams").alias(n), F.explode("grams").alias(t))
-    )
-    left, right = spread(items, item, "size_a", "gram"), spread(names, name, "size_b", "gram")
-    near = left.join(right, "gram").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold)
-    shared = near.groupBy(item, name, "size_a", "size_b").count()
-    similarity = F.col("count") / (F.col("size_a") + F.col("size_b") - F.col("count"))
-    return shared.select(item, name, similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+
+    def distinct(df: DataFrame, c: str) -> DataFrame:
+        return df.select(F.col(c).alias(c)).where(F.col(c).isNotNull()).distinct().withColumn("grams", text.trigrams(F.col(c))).where(F.size("grams") > 0)
+
+    left, right = distinct(items, item), distinct(names, name)
+    counts = left.select(F.explode("grams").alias("gram")).union(right.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def first(df: DataFrame, c: str, grams: str) -> DataFrame:
+        """c, all trigrams in order, and a row for each of the first ones."""
+        ranked = df.select(c, F.explode("grams").alias("gram")).join(counts, "gram").groupBy(c).agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("o"))
+        ordered = ranked.select(c, F.col("o.gram").alias(grams))
+        most = F.size(grams) - F.ceil(F.size(grams) * threshold - 1e-9) + 1
+        return ordered.select(c, grams, F.explode(F.slice(F.col(grams), F.lit(1), most.cast("int"))).alias("gram"))
+
+    near = first(left, item, "grams_a").join(first(right, name, "grams_b"), "gram")
+    sizes = F.size("grams_a"), F.size("grams_b")
+    near = near.where(F.least(*sizes) >= F.greatest(*sizes) * threshold)
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    found = near.select(item, name, (shared / (sizes[0] + sizes[1] - shared)).alias("similarity"))
+    return found.where(F.col("similarity") >= threshold).distinct()
+
+
+def containing(longer: DataFrame, a: str, shorter: DataFrame, b: str) -> DataFrame:
+    """Pairs of distinct texts (a, b) where a contains b; an empty b is in none.
+
+    b meets only the texts that have its rarest piece of three characters (or b itself,
+    if shorter), in an equi-join.
+    """
+
+    def pieces(c: str, n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(F.col(c), i, F.lit(n)))
+        return F.when(F.length(c) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    long = longer.select(F.col(a).alias(a)).where(F.col(a).isNotNull()).distinct()
+    short = shorter.select(F.col(b).alias(b)).where(F.length(b) > 0).distinct()
+    held = long.select(a, F.explode(F.array_distinct(F.concat(*[pieces(a, n) for n in (1, 2, 3)]))).alias("piece"))
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    asked = short.select(b, F.explode(F.when(F.length(b) < 3, F.array(b)).otherwise(pieces(b, 3))).alias("piece"))
+    rarest = asked.join(counts, "piece").groupBy(b).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return rarest.join(held, "piece").where(F.contains(a, b)).select(a, b)
 
 
 def cascade(
@@ -87,8 +126,9 @@ def cascade(
     pick = lambda df, order: df.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where("place = 1")
     exact = pick(distinct.join(vocabulary, F.col("plain") == F.col("plain_name")), ["name"]).select("item", "name", F.lit("exact").alias("method"), F.lit(1.0).alias("similarity"))
     rest = distinct.join(exact, "item", "left_anti").where("plain <> ''")
-    # Substrings have no equi-key; the vocabulary is the small side and Spark decides by its size.
-    inside = rest.join(vocabulary, F.contains("plain", "plain_name") | F.contains("plain_name", "plain"))
+    parts = containing(rest, "plain", vocabulary, "plain_name")
+    wholes = containing(vocabulary, "plain_name", rest, "plain").select("plain", "plain_name")
+    inside = rest.join(parts.union(wholes).distinct(), "plain").join(vocabulary, "plain_name")
     substring = pick(inside, [F.desc(F.length("plain_name")), "name"]).select("item", "name", F.lit("substring").alias("method"), F.lit(0.9).alias("similarity"))
     rest = rest.join(substring, "item", "left_anti")
     close = trigram_matches(rest, "plain", vocabulary, "plain_name", suggested)

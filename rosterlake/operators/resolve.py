@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rosterlake.operators import matching
+
 
 def similar_entities(left: DataFrame, right: DataFrame, key: str, keyed: dict[str, tuple[Column, float]]) -> DataFrame:
     """Pairs of records that agree in one of several keys: key, other, score, reason.
@@ -24,6 +26,28 @@ def similar_entities(left: DataFrame, right: DataFrame, key: str, keyed: dict[st
     return found.select(key, "other", "best.score", "best.reason")
 
 
+def find_duplicates(rows: DataFrame, key: str, exact: list[tuple[str, Column, float]], name: Column, threshold: float = 0.8) -> DataFrame:
+    """For each row the first older one (of a smaller key) that is the same: key, other, score, reason.
+
+    exact: (reason, key expression, score), in order of precedence; an empty or null key
+    agrees with none.  Where none agrees, names decide: the most similar one of threshold
+    or more in trigrams, its oldest row.  Each key and each name is first reduced to its
+    oldest row, so that no group of equal rows becomes pairs.
+    """
+    listed = rows.select(key, *[e.alias(f"k{i}") for i, (_, e, _) in enumerate(exact)], name.alias("the_name"))
+    found = []
+    for i, (reason, _, score) in enumerate(exact):
+        filled = listed.where(f"k{i} is not null and k{i} <> ''")
+        oldest = filled.groupBy(f"k{i}").agg(F.min(key).alias("other"))
+        found.append(filled.join(oldest, f"k{i}").where(F.col("other") < F.col(key)).select(key, "other", F.lit(score).alias("score"), F.lit(reason).alias("reason"), F.lit(i).alias("turn")))
+    oldest = listed.where("the_name is not null").groupBy(F.col("the_name").alias("its_name")).agg(F.min(key).alias("other"))
+    alike = matching.trigram_matches(oldest, "its_name", oldest.select(F.col("its_name").alias("near_name")), "near_name", threshold)
+    alike = alike.join(oldest.withColumnRenamed("its_name", "near_name"), "near_name")
+    named = listed.join(alike, F.col("the_name") == F.col("its_name")).where(F.col("other") < F.col(key))
+    found.append(named.select(key, "other", F.col("similarity").alias("score"), F.lit("name").alias("reason"), F.lit(len(exact)).alias("turn")))
+    return first_match(reduce(DataFrame.union, found), key, [F.col("turn"), F.desc("score"), F.col("other")]).drop("turn")
+
+
 def first_match(pairs: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first pair of each key in the given order."""
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("place = 1").drop("place")

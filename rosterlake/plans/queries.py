@@ -180,10 +180,15 @@ def job_summary(t):
 SELECT p_brand, count(DISTINCT o_custkey) AS people, count(DISTINCT p_type) AS kinds, count(*) FILTER (WHERE p_type LIKE 'P%') AS p_kinds,
   list_aggregate(list_sort(list(DISTINCT p_type)), 'string_agg', ',') AS type_list FROM {HELD} GROUP BY p_brand""")
 def skills_report(t):
-    return held_parts(t).groupBy("p_brand").agg(
-        F.count_distinct("o_custkey").alias("people"), F.count_distinct("p_type").alias("kinds"), F.count_if(F.col("p_type").startswith("P")).alias("p_kinds"),
+    """Each distinct count goes over rows that are distinct already, not over copies of all rows."""
+    held = held_parts(t)
+    people = held.select("p_brand", "o_custkey").distinct().groupBy("p_brand").agg(F.count("*").alias("people"))
+    by_type = held.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    kinds = by_type.groupBy("p_brand").agg(
+        F.count("p_type").alias("kinds"), F.sum(F.when(F.col("p_type").startswith("P"), F.col("n")).otherwise(0)).alias("p_kinds"),
         F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("type_list"),
     )
+    return people.join(kinds, "p_brand")
 
 
 @query("""
@@ -241,9 +246,10 @@ def top_per_nation(t):
 
 @query("""SELECT s_suppkey, c_custkey, r AS place FROM (SELECT s_suppkey, c_custkey, rank() OVER (PARTITION BY s_suppkey ORDER BY round(c_acctbal, -2) DESC) r FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE r <= 2""")
 def stored_rank(t):
-    pairs = t("supplier").join(t("customer"), F.col("s_nationkey") == F.col("c_nationkey"))
-    place = F.rank().over(Window.partitionBy("s_suppkey").orderBy(F.round("c_acctbal", -2).desc()))
-    return pairs.select("s_suppkey", "c_custkey", place.alias("place")).where("place <= 2")
+    """All suppliers of a nation rank the same customers, so these are ranked once a nation."""
+    place = F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.round("c_acctbal", -2).desc()))
+    best = t("customer").select("c_custkey", "c_nationkey", place.alias("place")).where("place <= 2")
+    return t("supplier").join(best, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey", "place")
 
 
 @query("""SELECT * FROM (SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events)""")
@@ -437,11 +443,15 @@ SELECT l_suppkey, p_type, count(*) AS missing FROM (SELECT DISTINCT l_suppkey, p
 JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > 5000
 WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part p ON l_partkey = p.p_partkey WHERE o_custkey = c_custkey AND p.p_type = r.p_type) GROUP BY 1, 2""")
 def gap_analysis(t):
+    """Who lacks a type are the customers of the nation less those who hold it: both are counted by nation, no pair is formed."""
     needs = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_type").distinct()
-    pairs = t("supplier").join(t("customer").where("c_acctbal > 5000"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "c_custkey")
-    held = held_parts(t).select(F.col("o_custkey").alias("c_custkey"), "p_type").distinct()
-    missing = pairs.join(needs, "l_suppkey").join(held, ["c_custkey", "p_type"], "left_anti")
-    return missing.groupBy("l_suppkey", "p_type").agg(F.count("*").alias("missing"))
+    asked = t("customer").where("c_acctbal > 5000").select("c_custkey", "c_nationkey")
+    people = asked.groupBy("c_nationkey").agg(F.count("*").alias("people"))
+    held = held_parts(t).select(F.col("o_custkey").alias("c_custkey"), "p_type").distinct().join(asked, "c_custkey")
+    holders = held.groupBy(F.col("c_nationkey").alias("h_nation"), F.col("p_type").alias("h_type")).agg(F.count("*").alias("holders"))
+    rows = needs.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(people, F.col("s_nationkey") == F.col("c_nationkey"))
+    counted = rows.join(holders, (F.col("s_nationkey") == F.col("h_nation")) & (F.col("p_type") == F.col("h_type")), "left")
+    return counted.select("l_suppkey", "p_type", (F.col("people") - F.coalesce("holders", F.lit(0))).alias("missing")).where("missing > 0")
 
 
 @query("""SELECT coalesce(a.lang, b.lang) AS lang, a.n AS expected, coalesce(b.n, 0) AS actual, round(least(coalesce(b.n, 0) / a.n, 1), 4) AS ratio, CASE WHEN coalesce(b.n, 0) = a.n THEN 'ok' ELSE 'missing' END AS status
