@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rosterlake.operators import matching
 from rosterlake.functions import nested, text
 from rosterlake.functions.synonyms import unmarked_greek
 
@@ -99,13 +100,11 @@ def tag(rows: DataFrame, key: str, body: str, aliases: DataFrame) -> DataFrame:
 
 
 def implied(names: DataFrame, name: str, rules: DataFrame, rule: str, variants: str, gives: str) -> DataFrame:
-    """name, gives: what the first rule (by name) gives whose own name or variant occurs in a name.
-
-    rules is a small vocabulary; distinct names meet it.
-    """
-    distinct = names.select(F.col(name).alias("held")).where("held is not null").distinct()
+    """name, gives: what the first rule (by name) gives whose own name or variant occurs in a name."""
+    held = names.select(F.col(name).alias("held")).where("held is not null").distinct().withColumn("low", F.lower("held"))
     wanted = F.array_union(F.array(F.col(rule)), F.coalesce(F.col(variants), F.array().cast("array<string>")))
-    hits = distinct.join(rules, F.exists(wanted, lambda v: (v != "") & F.contains(F.lower("held"), F.lower(v))))
+    terms = rules.select(rule, gives, F.explode(wanted).alias("term")).withColumn("term", F.lower("term")).where("term <> ''")
+    hits = held.join(matching.containing(held, "low", terms, "term"), "low").join(terms, "term")
     first = hits.withColumn("place", F.row_number().over(Window.partitionBy("held").orderBy(rule))).where("place = 1")
     return first.select(F.col("held").alias(name), gives)
 

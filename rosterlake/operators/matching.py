@@ -119,23 +119,22 @@ def cascade(
     wins), else the best trigram match: trigram from confident on, suggested below.
     vectors: (item, vector) and (name, vector); what is still open takes the nearest
     name by cosine: vector from near on, vector_suggested from maybe on.
-    Each tier sees what those before left; without a match the method is none.
+    An item's first tier counts; without a match the method is none.  The first three
+    tiers are equi-joins over distinct texts, each run once, of which a window keeps the
+    best: a chain of anti joins would run the early tiers again for every later one.
     """
     distinct = items.select(F.col(item).alias("item")).where(F.col(item).isNotNull()).distinct().withColumn("plain", text.normalise(F.col("item")))
     vocabulary = names.select(F.col(name).alias("name")).distinct().withColumn("plain_name", text.normalise(F.col("name"))).where("plain_name <> ''")
-    pick = lambda df, order: df.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where("place = 1")
-    exact = pick(distinct.join(vocabulary, F.col("plain") == F.col("plain_name")), ["name"]).select("item", "name", F.lit("exact").alias("method"), F.lit(1.0).alias("similarity"))
-    rest = distinct.join(exact, "item", "left_anti").where("plain <> ''")
-    parts = containing(rest, "plain", vocabulary, "plain_name")
-    wholes = containing(vocabulary, "plain_name", rest, "plain").select("plain", "plain_name")
-    inside = rest.join(parts.union(wholes).distinct(), "plain").join(vocabulary, "plain_name")
-    substring = pick(inside, [F.desc(F.length("plain_name")), "name"]).select("item", "name", F.lit("substring").alias("method"), F.lit(0.9).alias("similarity"))
-    rest = rest.join(substring, "item", "left_anti")
-    close = trigram_matches(rest, "plain", vocabulary, "plain_name", suggested)
-    close = rest.join(close, "plain").join(vocabulary, "plain_name")
-    method = F.when(F.col("similarity") >= confident, "trigram").otherwise("suggested")
-    trigram = pick(close, [F.desc("similarity"), "name"]).select("item", "name", method.alias("method"), "similarity")
-    found = exact.union(substring).union(trigram)
+    filled = distinct.where("plain <> ''")
+    equal = filled.select("plain", F.col("plain").alias("plain_name"), F.lit(0).alias("tier"), F.lit(1.0).alias("similarity"))
+    parts = containing(filled, "plain", vocabulary, "plain_name").union(containing(vocabulary, "plain_name", filled, "plain").select("plain", "plain_name"))
+    inside = parts.select("plain", "plain_name", F.lit(1), F.lit(0.9))
+    close = trigram_matches(filled, "plain", vocabulary, "plain_name", suggested).select("plain", "plain_name", F.lit(2), "similarity")
+    best = F.when(F.col("tier") == 1, -F.length("plain_name")).otherwise(-F.col("similarity"))
+    place = Window.partitionBy("item").orderBy("tier", best, "name")
+    met = filled.join(equal.union(inside).union(close), "plain").join(vocabulary, "plain_name").withColumn("place", F.row_number().over(place)).where("place = 1")
+    method = F.when(F.col("tier") == 0, "exact").when(F.col("tier") == 1, "substring").when(F.col("similarity") >= confident, "trigram").otherwise("suggested")
+    found = met.select("item", "name", method.alias("method"), "similarity")
     if vectors is not None:
         asked = vectors[0].join(distinct.join(found, "item", "left_anti"), "item", "left_semi")
         best = retrieval.nearest(vectors[1], "name", "vector", asked.withColumnRenamed("vector", "asked"), "item", "asked", 1).where(F.col("score") >= maybe)
