@@ -25,6 +25,8 @@ from rosterlake.llm.queries import VOCABULARY, quality_model
 
 #: The column of row numbers inside a stage.
 ROW = "pipeline_row"
+#: Row numbers to a bitmap, and bytes of bitmaps up to which every task gets them all.
+PIECE, WHOLE = 32768, 64 << 20
 #: The columns that stages read.
 READ = ("doc_id", "text", "source")
 
@@ -41,8 +43,19 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """numbered rows without those whose number is dropped's row."""
-    return rows.join(dropped.select(F.col("row").alias(ROW)), ROW, "left_anti")
+    """numbered rows without those whose number is dropped's row.
+
+    The dropped numbers become bitmaps, one for each range of PIECE numbers, so that the
+    texts need not be shuffled: all bitmaps go to every task while they are small.
+    """
+    bitmaps = dropped.groupBy(F.floor(F.col("row") / PIECE).alias("piece")).agg(F.bitmap_construct_agg(F.col("row") % PIECE).alias("bits"))
+    bitmaps = materialize(bitmaps, "dropped")
+    whole = bitmaps.count() * PIECE // 8 <= WHOLE
+    placed = rows.withColumns({"piece": F.floor(F.col(ROW) / PIECE), "bit": F.col(ROW) % PIECE})
+    found = placed.join(F.broadcast(bitmaps) if whole else bitmaps, "piece", "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(F.col("bit") / 8) + 1).cast("int"), 1)), 16, 10).cast("long")
+    gone = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
+    return found.where(~F.coalesce(gone, F.lit(False))).select(rows.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
