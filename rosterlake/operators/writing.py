@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlake.functions.contact import without_nuls
+from rosterlake.functions.text import normalise
 
 #: How a column changes where a key is in both states.
 RULES = {
@@ -64,6 +65,26 @@ def write_version(tables: dict[str, DataFrame], path: str, version: str, by: dic
     return folders
 
 
+def on_write(rows: DataFrame, now: Column, normalised: dict[str, str], stamp: str = "updated_at") -> DataFrame:
+    """rows with what every write sets: stamp as now, and for each column of normalised its plain text under the given name."""
+    return rows.withColumns({new: normalise(F.col(c)) for c, new in normalised.items()} | {stamp: now})
+
+
+def indexed(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The documents of an index after new ones came: one row per key, of several new ones the last by order.
+
+    A document without a key is left out, as nothing could replace it.
+    """
+    rest = [c for c in new.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
+    return replace_children(old, new.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "last.*"), new, key)
+
+
+def write_index(docs: DataFrame, path: str, key: str, batch: int = 500) -> None:
+    """JSON files of at most batch documents; all documents of a key lie in one partition."""
+    docs.repartition(F.col(key)).write.option("maxRecordsPerFile", batch).mode("overwrite").json(path)
+
+
 def unmapped(records: DataFrame, key: str, column: str) -> DataFrame:
     """key, field, value, normalised: one row for each entry of a map of fields that no table has."""
     return records.select(key, F.explode(column).alias("field", "value")).where("value is not null").withColumn("normalised", F.lower(F.trim("value")))

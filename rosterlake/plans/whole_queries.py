@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rosterlake.functions import records as R
-from rosterlake.operators import filters, matching, reports, resolve, retrieval
+from rosterlake.operators import filters, matching, reports, resolve, retrieval, writing
 from rosterlake.operators.filters import Field
 from rosterlake.plans.queries import HELD, TRIGRAMS, held_parts, query
 from rosterlake.sources import files
@@ -352,3 +352,26 @@ def full_summary(t):
     rows = reports.with_totals(t("customer").select("c_custkey", "c_name"), "c_custkey", lists, [])
     parts = [("Skills: ", "skills", 20, ", "), ("", "jobs", 5, " | "), ("Schools: ", "schools", 3, ", "), ("Languages: ", "languages", 5, ", "), ("Certificates: ", "certificates", 5, ", "), ("Trainings: ", "trainings", 5, ", ")]
     return rows.select("c_custkey", R.summary_text(F.col("c_name"), [(label, F.col(c), most, sep) for label, c, most, sep in parts]).alias("summary"))
+
+
+@query("""
+WITH new AS (SELECT o_custkey AS k, o_orderpriority AS label, o_orderdate AS day, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+old AS (SELECT c_custkey AS k, c_mktsegment AS label FROM customer)
+SELECT k, label, day, id FROM new UNION ALL SELECT k, label, NULL, NULL FROM old WHERE k NOT IN (SELECT k FROM new)""")
+def index_upsert(t):
+    """An index of all customers by key, in which the last open order of each replaces the customer's own row."""
+    new = t("orders").where("o_orderstatus <> 'F'").select(
+        F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("label"), F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("id")
+    )
+    return writing.indexed(t("customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("label")), new, "k", ["day", "id"]).select("k", "label", "day", "id")
+
+
+@query("""
+WITH last AS (SELECT o_custkey AS k, max(o_orderdate) AS day FROM orders GROUP BY 1)
+SELECT c_custkey AS k, CASE WHEN day IS NULL THEN c_name ELSE lower(trim(c_name)) END AS plain, coalesce(day, DATE '1990-01-01') AS updated_at FROM customer LEFT JOIN last ON k = c_custkey""")
+def triggered_upsert(t):
+    """Customers with orders are written again: their names are made plain and their stamp is the last order's day."""
+    people = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("plain"), F.expr("DATE '1990-01-01'").alias("updated_at"))
+    last = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("day"))
+    again = writing.on_write(people.select("k", "plain").join(last, "k"), F.col("day"), {"plain": "plain"})
+    return writing.upsert(people, again, ["k"], {"plain": "replace", "updated_at": "replace"})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 
 def uploads(spark: SparkSession, path: str, pattern: str = "*.{pdf,docx,txt}", most_bytes: int = 10 * 1024 * 1024, stream: bool = False) -> DataFrame:
-    """Uploaded files up to a size: path, length, modificationTime, content."""
+    """Uploaded files up to a size: path, length, modificationTime, content.  Spark's file source gives no row for an empty file."""
     reader = spark.readStream if stream else spark.read
     files = reader.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     if stream:

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.functions import nested, temporal, text
-from rosterlake.operators import filters, matching
+from rosterlake.operators import filters, matching, writing
 from rosterlake.sources import files
-from rosterlake.streaming import state
+from rosterlake.streaming import intake, state
 
 
 def one(spark, column, **values):
@@ -122,3 +122,32 @@ def test_stream_intake_once(spark, tmp_path):
     stream = spark.readStream.schema("id int, ts timestamp").parquet(str(tmp_path / "in"))
     got = state.run_available(state.once(stream, "id", "ts", "1 hour"), "once", "append", str(tmp_path / "c"))
     assert sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_intake_hands_texts_over_once(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name, content in {"a.txt": "γεια", "b.pdf": "%PDF", "c.odt": "?", "empty.txt": ""}.items():
+        (inbox / name).write_text(content, encoding="utf-8")
+    got = []
+    parse = lambda rows, batch: got.extend((r.path.rsplit("/", 1)[1], r.text) for r in rows.collect())
+    run = lambda: intake.hand_over(files.uploads(spark, str(inbox), "*", stream=True), str(tmp_path / "q"), str(tmp_path / "c"), parse)
+    run()
+    assert got == [("a.txt", "γεια")]
+    (inbox / "d.TXT").write_text("late")
+    run()
+    assert got == [("a.txt", "γεια"), ("d.TXT", "late")]
+    steps = {r.path.rsplit("/", 1)[1]: r.next_step for r in spark.read.parquet(str(tmp_path / "q")).collect()}
+    assert steps == {"a.txt": "parse", "b.pdf": "read_image", "c.odt": "failed", "d.TXT": "parse"}
+
+
+def test_index_keeps_one_document_per_key(spark, tmp_path):
+    old = spark.createDataFrame([(1, "old", 0), (2, "old", 0)], "k int, v string, n int")
+    new = spark.createDataFrame([(2, "first", 1), (2, "last", 2), (3, None, 1), (None, "lost", 1)], "k int, v string, n int")
+    state = writing.indexed(old, new, "k", ["n"])
+    assert sorted((r.k, r.v) for r in state.collect()) == [(1, "old"), (2, "last"), (3, None)]
+    writing.write_index(spark.range(1300).withColumnRenamed("id", "k"), str(tmp_path / "i"), "k")
+    parts = [len(p.read_text().splitlines()) for p in (tmp_path / "i").glob("*.json")]
+    assert sum(parts) == 1300 and max(parts) <= 500
+    written = writing.on_write(spark.createDataFrame([(" Ánna ",), (None,)], "name string"), F.lit("now"), {"name": "plain"}).collect()
+    assert [(r.plain, r.updated_at) for r in written] == [("anna", "now"), ("", "now")]
