@@ -17,14 +17,17 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rosterlake.llm.support import text_of
 
-#: Pre-tokens that a worker remembers before it starts its memo anew.
-MEMO = 200_000
+#: Bytes of pre-tokens and their ids that a worker remembers before it starts its memo anew, and those that an entry takes by itself.
+MEMO, ENTRY = 48 << 20, 200
+#: Characters up to which a text is split at once, and pre-tokens of a longer one that are looked up at a time.
+AT_ONCE, PART = 1 << 20, 1 << 16
 
 
 def byte_characters() -> list[str]:
@@ -90,27 +93,41 @@ class Codec:
         import sentencepiece
 
         self.tokens = tokens
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.to_char = byte_characters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, pre_tokens: set[str]) -> None:
-        if len(self.memo) > MEMO:
+        if self.held > MEMO:
             self.memo.clear()
+            self.held = 0
         new = [p for p in pre_tokens if p not in self.memo]
         mapped = ["".join(map(self.to_char.__getitem__, p.encode())) for p in new]
         for p, ids in zip(new, self.model.encode(mapped, num_threads=1)):
-            self.memo[p] = struct.pack(f"<{len(ids)}I", *ids)
+            self.memo[p] = packed = struct.pack(f"<{len(ids)}I", *ids)
+            self.held += ENTRY + 2 * len(p) + len(packed)
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text in order, those of a long one in lists of at most PART."""
+        if len(text) <= AT_ONCE:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
+        while part := [m[0] for m in islice(found, PART)]:
+            yield part
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        pre_tokens = self.find(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, pre_tokens))
-        except KeyError:
-            self.learn(set(pre_tokens))
-            return b"".join(map(self.memo.__getitem__, pre_tokens))
+        out = []
+        for pre_tokens in self.parts(text):
+            try:
+                out.append(b"".join(map(self.memo.__getitem__, pre_tokens)))
+            except KeyError:
+                self.learn(set(pre_tokens))
+                out.append(b"".join(map(self.memo.__getitem__, pre_tokens)))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -133,7 +150,9 @@ def encode_decode(
     Returns doc_id, token_ids (binary, little-endian unsigned 32-bit integers, the
     usual token shard layout), decoded (binary).  A null text counts as empty and
     has no tokens; repeated rows are each encoded; an empty table gives an empty
-    result; other columns of docs are ignored.
+    result; other columns of docs are ignored.  A very long text is split in parts, so
+    that a worker holds its ids and a bounded number of its pre-tokens; what is
+    remembered of pre-tokens is bounded in bytes.
     """
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType(

@@ -55,6 +55,20 @@ def test_bpe_equals_library_on_documents(spark, sf, library):
         assert tuple(r)[1:] == expected_tokens(library, texts[r.doc_id])
 
 
+def test_bpe_of_long_texts_in_parts_with_a_full_memo(library, monkeypatch):
+    for name, value in {"MEMO": 2000, "AT_ONCE": 50, "PART": 7}.items():
+        monkeypatch.setattr(byte_bpe, name, value)
+    with open(PATH, "rb") as f:
+        codec = byte_bpe.Codec(byte_bpe.read_ranks(f.read()), public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["the", " of", " x", "\n", "é", "7", " 🙂", "'s", "q" * 300]) for _ in range(rng.randrange(400)))
+        ids = library.encode_ordinary(text)
+        packed = codec.encode(text)
+        assert packed == struct.pack(f"<{len(ids)}I", *ids) and codec.decode(packed) == text.encode()
+        assert codec.held <= 2000 + 7 * (200 + 2 * 300 + 4 * 300) + 50 * 300
+
+
 def test_bpe_empty_table(spark):
     assert byte_bpe.encode_decode(frame(spark, ["a"]).limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
