@@ -39,6 +39,11 @@ def _hash(column: Column, digits: int = 8) -> Column:
 SIZE_CLASS = "length(bin(mix_size)) * 4 + if(mix_size >= 4, shiftright(mix_size, length(bin(mix_size)) - 3) & 3L, 0L)"
 
 
+def words(text: str | Column) -> Column:
+    """The size of a text: its number of words, 0 for null."""
+    return F.regexp_count(text_of(text), F.lit(WORD_REGEX)).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """source, source_size -> with target: a share of the total by weight, at most limit times the size.
 
@@ -72,6 +77,7 @@ def mix(
     weights: tuple = WEIGHTS,
     limit: int = LIMIT,
     seed: str = "mix",
+    size: str | None = None,
 ) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_copies of each row.
 
@@ -80,12 +86,12 @@ def mix(
     Repeated rows are rows of their own, each with its copies; ties of size are
     ordered by the hash of the id, then by id.  Reruns agree: all draws come from
     hashes of ids and of seed.  An empty table gives an empty result.  Columns of
-    docs named mix_* are replaced.
+    docs named mix_* are replaced.  A very long text is counted like any other.
+    size: a column that holds the sizes already (long, not null); then no text is read.
     """
-    size = F.regexp_count(text_of(text), F.lit(WORD_REGEX)).cast("long")
     buckets = max(1, docs.select(doc_id).count() // PER_BUCKET)
     keys = {
-        "mix_size": size,
+        "mix_size": F.col(size) if size else words(text),
         "mix_class": F.expr(SIZE_CLASS),
         "mix_hash": _hash(F.col(doc_id)),
         "mix_source": F.col(source),

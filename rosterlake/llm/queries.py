@@ -20,7 +20,7 @@ from rosterlake.llm import (
     url_filter,
 )
 from rosterlake.llm.url_filter import UrlRule
-from rosterlake.llm.support import fold, table
+from rosterlake.llm.support import fold, materialize, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -59,7 +59,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    """Texts are read once, for their sizes; ids, sources and sizes are all that is mixed."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words("text").alias("size"))
+    mixed = mixing.mix(materialize(sized, "sizes"), size="size")
     return mixed.select(
         "doc_id",
         F.col("mix_size").alias("size"),

@@ -59,6 +59,14 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_mix_by_given_sizes_equals_mix_by_texts(spark):
+    rows = [(i % 40, "w " * (i * 7 % 23), (None, "a", "b")[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)
+    kept = lambda df: sorted(map(str, df.select("doc_id", "source", "mix_size", "mix_target", "mix_copies").collect()))
+    sized = docs.withColumn("size", mixing.words("text")).drop("text")
+    assert kept(mixing.mix(sized, size="size")) == kept(mixing.mix(docs))
+
+
 def test_mix_equals_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
