@@ -12,15 +12,18 @@ from rosterlake.llm import (
     embedding_dedup,
     exact_dedup,
     html_text,
+    language_id,
     language_model,
     mixing,
+    periodic_runs,
     quality,
     simhash,
     toxicity,
     url_filter,
+    whitening,
 )
 from rosterlake.llm.url_filter import UrlRule
-from rosterlake.llm.support import fold, materialize, table
+from rosterlake.llm.support import WORD_REGEX, fold, materialize, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -108,6 +111,51 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) mod 10 = 0, the words from a place on repeat with a period, both of which the crc gives.
+
+    A null id leaves the text as it is.
+    """
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(crc % 10 == 0, F.regexp_extract_all("text", F.lit(WORD_REGEX), F.lit(0)))
+    numbered = docs.select("doc_id", "text", words.alias("words"), F.floor(crc / 10).alias("g"))
+    n = F.size("words")
+    placed = numbered.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    again = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", a + (i - a) % p)))
+    return placed.select("doc_id", F.when(a.isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.withColumn("longest", longest)
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.before")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.shorter")).alias("period"),
+        F.expr("1000 * longest.length div -longest.shorter").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with crc32(doc_id) mod 3 = 1 are never learned from."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
+    found = language_id.predict(docs, language_id.train(docs.where(~held_out)), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where a long does not hold it."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -120,6 +168,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_model": op9_language_model,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_language_id": op12_language_id,
+        "op13_whitening": op13_whitening,
     }
 
 
