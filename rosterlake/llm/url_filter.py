@@ -1,8 +1,9 @@
 """Operator 2: URL filters by hashed host-suffix and path-prefix expressions.
 
 A rule is a host and a path.  Each distinct URL is expanded into expressions:
-every suffix of its host at a label border, with every prefix of its path as long
-as some rule's path.  Expressions meet the rules in an equi-join on the first hex
+the suffixes of its host with as many labels as some rule's host, with the prefixes of
+its path as long as some rule's path, so that what a URL of any length costs follows
+from the rules.  Expressions meet the rules in an equi-join on the first hex
 digits of their SHA-256; the full digests then confirm the match, and of the
 confirmed rules the longest decides.  Only built-in functions run.
 """
@@ -49,7 +50,8 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], url: str = "url", defaul
     The longest rule (host and path together) wins, of equally long ones that with
     the longer host, then the first in code point order; of rules for the same host
     and path, block wins.  Without a rule the verdict is default.  A URL that is null
-    or has no :// has an empty host and path.  Repeated rows are all returned; an
+    or has no :// has an empty host and path.  A URL of any length, or with any number of
+    labels, is judged whole, in time in proportion to its length.  Repeated rows are all returned; an
     empty table gives an empty result; columns of pages named url_host, url_path,
     url_rule and url_verdict are replaced.
     """
@@ -66,10 +68,9 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], url: str = "url", defaul
     lengths = sorted({len(r.path) for r in rules}) or [0]
     parts = pages.select(F.col(url).alias("url")).where("url is not null").distinct()
     parts = parts.select("url", host_of("url").alias("host"), path_of("url").alias("path"))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    counts = sorted({r.host.count(".") + 1 for r in rules}) or [1]
+    # A host with fewer labels gives itself, which fits no rule of that many labels.
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in counts]))
     prefixes = F.filter(
         F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths]), lambda p: p.isNotNull()
     )
