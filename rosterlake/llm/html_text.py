@@ -10,10 +10,14 @@ the headings before it.
 
 Scripts, styles, controls, menus, asides and footers never count.  Elements that by tag,
 role, class or id are headers, sidebars, notices, adverts, forms or comments are left out
-unless they hold most of the page's text in paragraphs, as a wrapper does; where such a name may
-also be the article's own ("related", "notice"), only if the element is less dense
-than the threshold or mostly links.  Names count on containers, not on paragraphs
-and headings, and not after words like has- or no-.
+unless they are wrappers: they hold most of the page's text in paragraphs, and no other
+paragraph or article of the page shows that the text is elsewhere.  Where such a name may
+also be the article's own ("related", "notice"), the element is no centre while there is
+another one, and leaves if it is less dense than the threshold or mostly links.  A section
+of an article that has a heading of its own and paragraphs, but no links and no controls,
+is the article's whatever its name, unless that names adverts, sidebars, notices or
+comments.  Names count on containers, not on paragraphs and headings, and not after
+words like has- or no-.
 
 One pass over the pages, no shuffle.
 """
@@ -50,6 +54,13 @@ DOUBTFUL_WORDS = frozenset(
     "promo promotion banner header aside widget widgets related recommended notice notices notification alert popup modal overlay subscribe "
     "subscription signup login reply replies respond form search pagination pager skip skiplink toolbar".split()
 )
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored sidebar cookie cookies consent gdpr newsletter "
+    "comment comments commentlist discussion disqus notice notices notification reply replies respond".split()
+)
+#: Elements whose text shows where the page's text is, and elements that only a form has.
+WRITTEN = frozenset("p article main pre blockquote".split())
+FORM_PARTS = frozenset("form button select textarea input".split())
 #: Words after which the next one says what the rest of the page has.
 MODIFIERS = frozenset("has have with without no not is in under after before".split())
 #: Levels of elements that are kept apart, as in browsers; deeper ones join the last.
@@ -66,12 +77,12 @@ CLOSES = {
 
 
 class Node:
-    """apart: 0 part of the page; 1 left out if sparse or mostly links; 2 left out unless it holds most of the text; 3 left out."""
+    """apart: 0 part of the page; 1 left out if sparse or mostly links; 2 left out unless it is a wrapper; 3 left out.  foreign: by name never the article's."""
 
-    __slots__ = ("tag", "parts", "apart", "parent", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "apart", "parent", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total", "foreign")
 
-    def __init__(self, tag: str, parent: Node | None, apart: int):
-        self.tag, self.parent, self.apart = tag, parent, apart
+    def __init__(self, tag: str, parent: Node | None, apart: int, foreign: bool = False):
+        self.tag, self.parent, self.apart, self.foreign = tag, parent, apart, foreign
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -157,7 +168,9 @@ class TreeBuilder(HTMLParser):
             self.body = True
             while self.at is not self.root:
                 self._leave(self.at)
-        node = Node(tag, self.at, set_apart(tag, attrs, self.open["article"] + self.open["main"] > 0))
+        apart = set_apart(tag, attrs, self.open["article"] + self.open["main"] > 0)
+        foreign = bool(apart) and any(v and not FOREIGN_WORDS.isdisjoint(names_of(v)) for k, v in attrs if k in ("class", "id"))
+        node = Node(tag, self.at, apart, foreign)
         self.at.parts.append(node)
         if tag not in VOID and node.depth < DEEPEST:
             self.at = node
@@ -266,26 +279,65 @@ def measure(root: Node) -> list[Node]:
 
 
 def settle(root: Node) -> None:
-    """Keep what is set apart by name but holds most of the page's text; leave the rest of it out for good."""
-    held: dict[int, int] = {}
-    written: dict[int, bool] = {}
+    """Keep what is set apart by name but wraps the page's text, or is a section of the article; leave the rest of it out for good."""
     order = [root]
     for node in order:
         order.extend(p for p in node.parts if isinstance(p, Node) and p.apart < 3)
+    # Of each node and what is below it: text outside links, text in paragraphs, whether it has links, controls, main and article elements.
+    held, told, linked, controls, holds = {}, {}, {}, {}, {}
     for node in reversed(order):
+        key = id(node)
         text = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
-        below = [p for p in node.parts if isinstance(p, Node) and p.apart < 3]
-        held[id(node)] = 0 if node.tag == "a" else text + sum(held[id(p)] for p in below)
-        written[id(node)] = node.tag in HEADINGS or node.tag in ("p", "article", "main") or any(written[id(p)] for p in below)
+        nodes = [p for p in node.parts if isinstance(p, Node)]
+        below = [id(p) for p in nodes if p.apart < 3]
+        held[key] = 0 if node.tag == "a" else text + sum(held[i] for i in below)
+        told[key] = held[key] if node.tag in WRITTEN else sum(told[i] for i in below)
+        linked[key] = node.tag == "a" and text > 0 or any(linked[i] for i in below)
+        controls[key] = any(p.tag in FORM_PARTS for p in nodes) or any(controls[i] for i in below)
+        holds[key] = {node.tag} & {"main", "article"} | set().union(*(holds[i] for i in below))
+    inside = {id(root): False}
+    for node in order[1:]:
+        inside[id(node)] = inside[id(node.parent)] or node.parent.tag in ("article", "main")
+        headed = any(isinstance(p, Node) and p.tag in HEADINGS for p in node.parts)
+        if node.apart in (1, 2) and not node.foreign and inside[id(node)] and node.tag in ("section", "div"):
+            if headed and told[id(node)] and not linked[id(node)] and not controls[id(node)]:
+                node.apart = 0
+
+    def open_below(top: Node) -> tuple[int, set[str]]:
+        """Text in paragraphs that is not set apart, and the main and article elements that hold it, below top."""
+        text, tags, stack = 0, set(), [top]
+        while stack:
+            node = stack.pop()
+            if node.tag in WRITTEN:
+                text += told[id(node)]
+                tags |= {node.tag} & {"main", "article"}
+            stack.extend(p for p in node.parts if isinstance(p, Node) and not p.apart)
+        return text, tags
+
+    text, tags = open_below(root)
     for node in order:
-        if node.apart and written[id(node)] and 2 * held[id(node)] > held[id(root)]:
+        key = id(node)
+        if not node.apart or 2 * held[key] <= held[id(root)] or not (told[key] or holds[key]):
+            continue
+        if not text or not node.foreign and (holds[key] if not tags else "main" in holds[key] and "main" not in tags):
             node.apart = 0
+            more = open_below(node)
+            text, tags = text + more[0], tags | more[1]
+    for node in order:
+        if node.apart == 1 and node.foreign and text and not inside[id(node)]:
+            node.apart = 2
 
 
 def centre(nodes: list[Node]) -> tuple[Node, list[Node | str]]:
     """The node of the main text and those of its parts that belong to it."""
     body = nodes[0]
-    best = max(nodes, key=lambda n: n.total)
+    doubted: set[int] = set()
+    for node in nodes[1:]:
+        if node.apart or id(node.parent) in doubted:
+            doubted.add(id(node))
+    best = max((n for n in nodes if id(n) not in doubted), key=lambda n: n.total)
+    if not best.total:
+        best = max(nodes, key=lambda n: n.total)
     if not best.total:
         return body, body.parts
     path = [best]

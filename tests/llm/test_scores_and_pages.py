@@ -164,6 +164,18 @@ def test_url_filter_equals_brute_force(spark):
     assert url_filter.filter_urls(pages, []).where("url_verdict = 'allow'").count() == len(URLS) + 3
 
 
+def test_url_filter_takes_long_urls(spark):
+    host = "a." * 100_000 + "example.org"
+    urls = [f"http://{host}/es/x", f"http://example.org/{'en/' * 100_000}", "x" * 200_000 + "://org/", f"http://{'o' * 200_000}.org/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    url_filter.filter_urls(pages.limit(1), queries.URL_RULES).collect()
+    began = time.time()
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, queries.URL_RULES).collect()}
+    assert time.time() - began < 10
+    assert [(got[i].url_rule, got[i].url_verdict) for i in range(4)] == [("example.org/es/", "block"), ("org/", "allow"), ("org/", "allow"), ("org/", "allow")]
+    assert got[0].url_host == host
+
+
 def test_url_filter_equals_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
@@ -216,6 +228,33 @@ def test_density_alone_finds_the_text(page):
     assert html_text.main_text(page) == TEXT
 
 
+def sentences(word, n):
+    return "".join(f"<p>The {word} goes on at {i} with enough of a sentence to be read.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("tag", ["section id=comments", "ol class=commentlist", "div class=sidebar", "div class=cookie-notice", "div class=notice", "section id=discussion"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>"])
+@pytest.mark.parametrize("own", ["<article>{}</article>", "<div class=content>{}</div>", "{}"])
+def test_the_article_wins_over_longer_comments_and_notices(tag, inner, own):
+    page = f"<body>{NAV}{own.format(sentences('article', 3))}<{tag}>{inner.format(sentences('other', 12))}</{tag.split()[0]}>{FOOT}</body>"
+    found = html_text.main_text(page)
+    assert found.count("article") == 3 and "other" not in found
+
+
+def test_sections_of_an_article_stay_whatever_their_name():
+    own = '<section class="social-history"><h2>Social history</h2>' + sentences("social", 2) + '</section><section id=related><h2>Related work</h2>' + sentences("related", 2) + "</section>"
+    other = "<section id=comments><h2>Comments</h2>" + sentences("other", 2) + "</section><section class=newsletter><h2>Letter</h2><p>Mail</p><input></section><div class=related><h3>More</h3><a href=1>That</a><p>other</p></div>"
+    found = html_text.main_text(f"<body>{NAV}<article>{sentences('article', 3)}{own}{sentences('article', 1)}{other}</article>{FOOT}</body>")
+    assert [found.count(w) for w in ("article", "social", "related", "other", "Letter")] == [4, 2, 2, 0, 0]
+
+
+def test_wrappers_stay():
+    article = f"<article>{sentences('article', 3)}</article>"
+    for page in (f"<form>{article}</form>", f"<div id=social-wrapper>{article}<section id=comments>{sentences('other', 9)}</section></div><p>Copyright</p>", f"<div class=notice>{sentences('article', 3)}</div>"):
+        found = html_text.main_text(f"<body>{NAV}{page}{FOOT}</body>")
+        assert found.count("article") == 3 and "other" not in found and "Copyright" not in found
+
+
 def test_articles_of_given_pages_without_their_tag(spark, sf):
     import html
 
