@@ -74,6 +74,11 @@ def has_greek(c: Column) -> Column:
     return F.coalesce(c.rlike(r"[Ͱ-Ͽἀ-῿]"), F.lit(False))
 
 
+def tokens(c: Column) -> Column:
+    """The lower-cased runs of letters and digits, in order; null for null."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def cache_key(c: Column) -> Column:
     """The first 16 hex digits of the SHA-256 of the lower-cased text."""
     return F.substring(F.sha2(F.lower(c), 256), 1, 16)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rosterlake.functions import scoring
+from rosterlake.functions.text import tokens
+from rosterlake.sources.shared import kept
 
 
 def bm25(
@@ -20,20 +22,21 @@ def bm25(
 
     A token's weight in a document is worked out once, before queries meet it.  The
     documents of each token are spread over salts, so that a frequent token is no
-    single task; only the queries' tokens are repeated for each salt.
+    single task; only the queries' tokens are repeated for each salt.  Counts are written
+    once to a shared folder.  For many searches over the same documents see text_index.
     """
-    tokens = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    kept = [] if where is None else ["is_open"]
-    sized = docs.select(doc_id, tokens(F.col(text)).alias("tokens"), *[where.alias(c) for c in kept]).withColumn("n", F.size("tokens"))
+    more = [] if where is None else ["is_open"]
+    sized = docs.select(doc_id, tokens(F.col(text)).alias("tokens"), *[where.alias(c) for c in more]).withColumn("n", F.size("tokens"))
     whole = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("token"))
     # Only tokens that some query has are counted.
     wanted = asked.select("token").distinct()
-    counts = sized.select(doc_id, "n", *kept, F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy(doc_id, "n", *kept, "token").agg(F.count("*").alias("tf"))
+    counts = sized.select(doc_id, "n", *more, F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy(doc_id, "n", *more, "token").agg(F.count("*").alias("tf"))
+    counts = kept(counts, "counts")
     frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    weights = counts.where("is_open") if kept else counts
+    weights = counts.where("is_open") if more else counts
     weights = weights.join(frequency, "token").crossJoin(F.broadcast(whole))  # whole: one row
     weights = weights.select(doc_id, "token", part.alias("part"), F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int").alias("salt"))
     spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -101,7 +104,7 @@ def fuse(first: DataFrame, second: DataFrame, keys: list[str], weights: tuple[fl
 
 def hybrid(
     docs: DataFrame, doc_id: str, text: str, vector: str, queries: DataFrame, query_id: str, query: str, query_vector: str, k: int = 20,
-    weights: tuple[float, float] = (0.6, 0.4), where: Column | None = None, rank_constant: int = 60,
+    weights: tuple[float, float] = (0.6, 0.4), where: Column | None = None, rank_constant: int = 60, texts: DataFrame | None = None,
 ) -> DataFrame:
     """The k best documents of each query by both searches: query_id, doc_id, score, rank, vector_rank, text_rank.
 
@@ -109,12 +112,14 @@ def hybrid(
     weights for (vector, text), then cut to k; ties by doc_id.  A document needs to be
     in one list only; its rank in the other is null.  A document or a query without a
     vector has no part in the vector list.  where: both lists hold only documents for
-    which it is true.
+    which it is true.  texts: the 2k best texts (query_id, doc_id, rank), where an index
+    has found them already.
     """
     held = (docs if where is None else docs.where(where)).where(F.col(vector).isNotNull())
     asked = queries.where(F.col(query_vector).isNotNull())
     vectors = nearest(held, doc_id, vector, asked, query_id, query_vector, 2 * k)
-    texts = bm25(docs, doc_id, text, queries, query_id, query, 2 * k, where=where)
+    if texts is None:
+        texts = bm25(docs, doc_id, text, queries, query_id, query, 2 * k, where=where)
     place = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     ranked = fused(vectors, texts, [query_id, doc_id], weights, rank_constant).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select(query_id, doc_id, F.round("score", 6).alias("score"), "rank", F.col("rank_a").alias("vector_rank"), F.col("rank_b").alias("text_rank"))
