@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.operators import retrieval
+from rosterlake.operators import retrieval, vector_index
 from rosterlake.operators.text_index import TextIndex
 
 WORDS = "sun moon star wind rain snow leaf root stone river".split()
@@ -89,3 +90,43 @@ def test_folder_of_a_cluster_must_be_given(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(Session, "x")
+
+
+def vectors_of(spark, x, name):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, {name}_v array<double>")
+
+
+@pytest.mark.parametrize("spread", [0.25, None])
+def test_recall_of_approximate_neighbours(spark, spread):
+    """Vectors around centres, and vectors in any direction, which are the hardest."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 32))
+    if spread:
+        x = rng.standard_normal((60, 32))[rng.integers(0, 60, 4000)] + spread * x
+    rows, asked = vectors_of(spark, x, "r"), vectors_of(spark, x[::20], "q")
+    index = vector_index.build(rows, "r", "r_v")
+    found = vector_index.search(index, asked, "q", "q_v", 10, "r")
+    exact = vector_index.exact(rows, "r", "r_v", asked, "q", "q_v", 10)
+    told = vector_index.recall(found, exact, "q", "r").agg(F.sum("found"), F.sum("wanted")).first()
+    assert told[1] == 2000 and told[0] >= 0.9 * told[1]
+    share = vector_index.compared(index, asked, "q", "q_v") / (200 * 4000)
+    assert share < (0.15 if spread else 0.75), share
+    whole = vector_index.search(index, asked, "q", "q_v", 10, "r", probes=10**6, rerank=400)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.select("q", "r", "score", "rank").collect()))
+
+
+def test_vector_index_odd_rows(spark, monkeypatch):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [0.0, 2.0]), (6, [0.0, 2.0]), (7, [None, 1.0])], "id long, v array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], "q long, w array<double>")
+    index = vector_index.build(rows, "id", "v")
+    assert [tuple(r) for r in vector_index.search(index, asked, "q", "w", 2, "id").orderBy("rank").collect()] == [(1, 5, 1.0, 1), (1, 6, 1.0, 2)]
+    assert vector_index.search(vector_index.build(rows.limit(0), "id", "v"), asked, "q", "w", 2, "id").count() == 0
+    monkeypatch.setattr(vector_index, "PART", 100)
+    x = np.random.default_rng(5).standard_normal((1000, 8)) + 3  # one hot direction, few lists: all are cut in parts
+    rows, asked = vectors_of(spark, x, "r"), vectors_of(spark, x[:10], "q")
+    index = vector_index.build(rows, "r", "r_v", lists=3, probes=3)
+    assert index.parts.max() > 2
+    found = vector_index.search(index, asked, "q", "q_v", 5, "r", rerank=50)
+    exact = vector_index.exact(rows, "r", "r_v", asked, "q", "q_v", 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.select("q", "r", "score", "rank").collect()))
