@@ -3,8 +3,8 @@
 The index is a folder of Parquet tables.  Every update is a segment with a number of its
 own, in a folder of its own:
 
-terms     a row per document and distinct token: what a later update needs to take a document out
-docs      a row per document: its number of tokens
+docs      a row per document: its number of tokens, its distinct tokens and their counts, which is
+          what a later update needs to take it out
 postings  a row per token and block of documents: sorted ids, and the tokens' counts and the
           documents' sizes beside them, as arrays; the greatest count and the least size bound
           what any document of the block can score
@@ -13,8 +13,11 @@ dead      documents of earlier segments that this one replaced or removed
 commits   one row, written last: a segment without it does not exist for a reader
 
 A segment that is written again after a failure overwrites its own folders, so an update
-can be replayed.  An update reads the terms of the documents that it replaces, and nothing
-else of what is there; postings of other documents stay as they are.
+can be replayed.  An update reads the ids of what is there and the tokens of the documents
+that it replaces; postings of other documents stay as they are.
+
+Texts are never shuffled.  A document's tokens are counted in its own row; rows of distinct
+tokens go to their block, where lists are made in place, and the lists go to their folder.
 """
 
 from __future__ import annotations
@@ -34,13 +37,12 @@ class TextIndex:
     for documents and searches.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, per_block: int = 256, analyse: Callable[[Column], Column] = tokens):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, per_block: int = 256, analyse: Callable[[Column], Column] = tokens):
         self.spark, self.path, self.buckets, self.per_block, self.analyse = spark, path.rstrip("/"), buckets, per_block, analyse
 
     def _schema(self, name: str, kind: str) -> str:
         columns = {
-            "terms": f"doc_id {kind}, n int, token string, tf int, slot int",
-            "docs": f"doc_id {kind}, n int",
+            "docs": f"doc_id {kind}, n int, terms array<string>, tfs array<int>",
             "postings": f"token string, block long, ids array<{kind}>, tfs array<int>, sizes array<int>, docs int, most int, least int, bucket int",
             "counts": "token string, df long, bucket int",
             "dead": f"doc_id {kind}, of_segment long",
@@ -76,25 +78,20 @@ class TextIndex:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _slot(self) -> Column:
-        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int").alias("slot")
-
-    def _living(self, segments: list[int], kind: str, ids: DataFrame) -> DataFrame:
-        """doc_id, n, segment of the documents of ids that are in the index."""
-        held = self._read("docs", segments, kind).join(ids, "doc_id", "left_semi")
-        dead = self._read("dead", segments, kind).select("doc_id", F.col("of_segment").alias("segment"))
-        return held.join(dead, ["doc_id", "segment"], "left_anti")
+    def _dead(self, segments: list[int], kind: str) -> DataFrame:
+        return self._read("dead", segments, kind).select("doc_id", F.col("of_segment").alias("segment"))
 
     def _invert(self, segment: int, kind: str, base: bool, changes: DataFrame | None, gone: tuple[int, int]) -> None:
-        """Docs, postings, counts and the commit of a segment from its terms; changes: token and df to count off, gone: documents and tokens."""
-        terms = self._read("terms", [segment], kind)
-        self._write(terms.groupBy("doc_id").agg(F.max("n").alias("n")), "docs", segment)
-        docs, words = self._read("docs", [segment], kind).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        """Postings, counts and the commit of a segment from its docs; changes: token and df to count off, gone: documents and tokens."""
+        held = self._read("docs", [segment], kind)
+        docs, words = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         blocks = max(1, -(-docs // self.per_block))
-        found = terms.where("token is not null").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+        # Rows of a block come together; grouping by token and block then needs no further shuffle.
+        placed = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition("block")
+        each = placed.select("block", "doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("block", F.col("t.terms").alias("token"), "doc_id", F.col("t.tfs").alias("tf"), "n")
         # A group is one token of one block, about per_block documents at most.
         entries = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
-        lists = found.groupBy("token", "block").agg(entries.alias("e"), F.max("tf").alias("most"), F.min("n").alias("least"))
+        lists = each.groupBy("token", "block").agg(entries.alias("e"), F.max("tf").alias("most"), F.min("n").alias("least"))
         lists = lists.select("token", "block", F.col("e.doc_id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.n").alias("sizes"), F.size("e").alias("docs"), "most", "least", self._bucket())
         self._write(lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block"), "postings", segment, "bucket")
         df = self._read("postings", [segment], kind).select("token", F.col("docs").cast("long").alias("df"))
@@ -113,33 +110,34 @@ class TextIndex:
         null or empty text is a document without tokens.
         """
         kind = docs.schema[doc_id].dataType.simpleString()
-        fresh = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.coalesce(self.analyse(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-        each = fresh.select("doc_id", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
-        terms = each.groupBy("doc_id", "n", "token").agg(F.count("token").cast("int").alias("tf")).withColumn("slot", self._slot())
-        self._write(terms.hint("rebalance", "slot"), "terms", segment, "slot")
+        fresh = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.sort_array(F.coalesce(self.analyse(F.col(text)), F.array().cast("array<string>"))).alias("s"))
+        # Equal tokens stand together: each begins where its left neighbour is another one.
+        begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+        fresh = fresh.withColumn("b", F.when(F.size("s") > 0, begins).otherwise(F.array().cast("array<int>")))
+        terms = F.transform("b", lambda i: F.get("s", i))
+        tfs = F.transform("b", lambda i, j: F.coalesce(F.get("b", j + 1), F.size("s")) - i)
+        self._write(fresh.select("doc_id", F.size("s").alias("n"), terms.alias("terms"), tfs.alias("tfs")), "docs", segment)
         segments, _, _, _ = self.state(before=segment)
         changes, gone = None, (0, 0)
-        ids = self._read("terms", [segment], kind).select("doc_id").distinct()
+        ids = self._read("docs", [segment], kind).select("doc_id")
         if removed is not None:
-            ids = ids.union(removed.select(F.col(doc_id).alias("doc_id"))).distinct()
+            ids = ids.union(removed.select(F.col(doc_id).alias("doc_id")))
         if segments:
-            dead = self._living(segments, kind, ids).select("doc_id", F.col("segment").alias("of_segment"))
-            self._write(dead, "dead", segment)
-            dead = self._read("dead", [segment], kind).select("doc_id", F.col("of_segment").alias("segment"), self._slot())
-            gone = dead.join(self._read("docs", segments, kind), ["doc_id", "segment"]).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-            lost = self._read("terms", segments, kind).where("token is not null").join(dead, ["segment", "slot", "doc_id"], "left_semi")
-            changes = lost.groupBy("token").agg(F.count("*").alias("df"))
+            living = self._read("docs", segments, kind).select("doc_id", "segment").join(self._dead(segments, kind), ["doc_id", "segment"], "left_anti")
+            self._write(living.join(ids, "doc_id", "left_semi").select("doc_id", F.col("segment").alias("of_segment")), "dead", segment)
+            lost = self._read("docs", segments, kind).join(self._dead([segment], kind), ["doc_id", "segment"], "left_semi")
+            gone = lost.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+            changes = lost.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
         else:
             self._write(ids.select("doc_id", F.lit(0).cast("long").alias("of_segment")).limit(0), "dead", segment)
         self._invert(segment, kind, not segments, changes, tuple(gone))
 
     def compact(self, segment: int) -> None:
-        """Write all living documents as one segment, from their terms; no text is read."""
+        """Write all living documents as one segment, from their tokens; no text is read."""
         segments, kind, _, _ = self.state(before=segment)
-        dead = self._read("dead", segments, kind).select("doc_id", F.col("of_segment").alias("segment"))
-        terms = self._read("terms", segments, kind).join(dead, ["doc_id", "segment"], "left_anti").drop("segment")
-        self._write(terms.hint("rebalance", "slot"), "terms", segment, "slot")
-        self._write(dead.select("doc_id", F.col("segment").alias("of_segment")).limit(0), "dead", segment)
+        living = self._read("docs", segments, kind).join(self._dead(segments, kind), ["doc_id", "segment"], "left_anti")
+        self._write(living.drop("segment"), "docs", segment)
+        self._write(living.select("doc_id", F.col("segment").alias("of_segment")).limit(0), "dead", segment)
         self._invert(segment, kind, True, None, (0, 0))
 
     def bounds(self, queries: DataFrame, query_id: str, query: str, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
@@ -158,14 +156,14 @@ class TextIndex:
     def _scored(self, asked: DataFrame, chosen: DataFrame, among: DataFrame | None, k1: float, b: float) -> DataFrame:
         """query, doc_id, score of the living documents in the chosen blocks (query, segment, block)."""
         segments, kind, docs, words = self.state()
-        lists = self._read("postings", segments, kind).select("segment", "bucket", "token", "block", F.arrays_zip("ids", "tfs", "sizes").alias("e"))
-        # Blocks that no search has chosen are left out before their lists are opened.
+        # Lists of tokens that nobody asks for, and of blocks that no search has chosen, are not opened.
+        lists = self._read("postings", segments, kind).join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
         lists = lists.join(chosen.select("segment", "block").distinct(), ["segment", "block"], "left_semi")
-        met = lists.join(asked, ["bucket", "token"]).join(chosen, ["query", "segment", "block"])
+        lists = lists.select("segment", "bucket", "token", "block", F.arrays_zip("ids", "tfs", "sizes").alias("e"))
+        met = lists.join(asked.join(chosen, "query"), ["bucket", "token", "segment", "block"])
         rows = met.select("query", "segment", "idf", F.explode("e").alias("e")).select("query", "segment", F.col("e.ids").alias("doc_id"), (F.col("idf") * weight(F.col("e.tfs"), F.col("e.sizes"), words / max(docs, 1), k1, b)).alias("part"))
         scores = rows.groupBy("query", "segment", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-        dead = self._read("dead", segments, kind).select("doc_id", F.col("of_segment").alias("segment"))
-        scores = scores.join(dead, ["doc_id", "segment"], "left_anti")
+        scores = scores.join(self._dead(segments, kind), ["doc_id", "segment"], "left_anti")
         return (scores if among is None else scores.join(among, "doc_id", "left_semi")).select("query", "doc_id", "score")
 
     def search(
