@@ -6,8 +6,8 @@ own, in a folder of its own:
 docs      a row per document: its number of tokens, its distinct tokens and their counts, which is
           what a later update needs to take it out
 postings  a row per token and block of documents: sorted ids, and the tokens' counts and the
-          documents' sizes beside them, as arrays; the greatest count and the least size bound
-          what any document of the block can score
+          documents' sizes beside them, as arrays; and the most that the token adds to the score
+          of any document of the block, but for its rarity
 counts    by how much a segment changes the number of documents of a token
 dead      documents of earlier segments that this one replaced or removed
 commits   one row, written last: a segment without it does not exist for a reader
@@ -24,9 +24,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rosterlake.functions.text import tokens
+from rosterlake.sources.shared import kept
+
+
+#: Queries that one task scores against a block at once.
+ASKED = 1000
 
 
 class TextIndex:
@@ -34,19 +41,21 @@ class TextIndex:
 
     buckets: folders by hash of the token, so that a search opens those of its tokens only.
     per_block: documents of a block, on average.  analyse: text to array of tokens, the same
-    for documents and searches.
+    for documents and searches.  k1, b: how a token's count and a document's size weigh.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, per_block: int = 256, analyse: Callable[[Column], Column] = tokens):
-        self.spark, self.path, self.buckets, self.per_block, self.analyse = spark, path.rstrip("/"), buckets, per_block, analyse
+    def __init__(
+        self, spark: SparkSession, path: str, buckets: int = 16, per_block: int = 256, analyse: Callable[[Column], Column] = tokens, k1: float = 1.2, b: float = 0.75
+    ):
+        self.spark, self.path, self.buckets, self.per_block, self.analyse, self.k1, self.b = spark, path.rstrip("/"), buckets, per_block, analyse, k1, b
 
     def _schema(self, name: str, kind: str) -> str:
         columns = {
             "docs": f"doc_id {kind}, n int, terms array<string>, tfs array<int>",
-            "postings": f"token string, block long, ids array<{kind}>, tfs array<int>, sizes array<int>, docs int, most int, least int, bucket int",
+            "postings": f"token string, block long, ids array<{kind}>, tfs array<int>, sizes array<int>, docs int, most double, bucket int",
             "counts": "token string, df long, bucket int",
             "dead": f"doc_id {kind}, of_segment long",
-            "commits": "docs long, words long, base boolean, id_type string",
+            "commits": "docs long, words long, blocks long, mean double, base boolean, id_type string",
         }
         return f"{columns[name]}, segment long"
 
@@ -59,18 +68,17 @@ class TextIndex:
         files = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         return self.spark.read.schema(self._schema("commits", "")).parquet(f"{self.path}/commits") if files.exists(folder) else None
 
-    def state(self, before: int | None = None) -> tuple[list[int], str, int, int]:
-        """The segments that count (below before), the type of ids, and the numbers of documents and tokens.
-
-        Segments older than the last compaction do not count.  The list has a number for
-        each update since then.
-        """
-        commits = self._commits()
-        rows = commits.collect() if commits is not None else []
-        rows = [r for r in rows if before is None or r.segment < before]
+    def commits(self, before: int | None = None) -> list:
+        """The commits that count (below the segment before), in order: a row for each update since the last compaction."""
+        told = self._commits()
+        rows = [] if told is None else [r for r in told.collect() if before is None or r.segment < before]
         first = max((r.segment for r in rows if r.base), default=0)
-        rows = [r for r in rows if r.segment >= first]
-        return sorted(r.segment for r in rows), rows[0].id_type if rows else "", sum(r.docs for r in rows), sum(r.words for r in rows)
+        return sorted((r for r in rows if r.segment >= first), key=lambda r: r.segment)
+
+    def state(self, before: int | None = None) -> tuple[list[int], str, int, int]:
+        """The segments that count, the type of ids, and the numbers of documents and tokens."""
+        rows = self.commits(before)
+        return [r.segment for r in rows], rows[0].id_type if rows else "", sum(r.docs for r in rows), sum(r.words for r in rows)
 
     def _read(self, name: str, segments: list[int], kind: str) -> DataFrame:
         return self.spark.read.schema(self._schema(name, kind)).parquet(f"{self.path}/{name}").where(F.col("segment").isin(segments))
@@ -86,20 +94,23 @@ class TextIndex:
         held = self._read("docs", [segment], kind)
         docs, words = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         blocks = max(1, -(-docs // self.per_block))
+        _, _, all_docs, all_words = ([], "", 0, 0) if base else self.state(before=segment)
+        mean = (all_words + words - gone[1]) / max(all_docs + docs - gone[0], 1)
         # Rows of a block come together; grouping by token and block then needs no further shuffle.
         placed = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition("block")
         each = placed.select("block", "doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("block", F.col("t.terms").alias("token"), "doc_id", F.col("t.tfs").alias("tf"), "n")
         # A group is one token of one block, about per_block documents at most.
         entries = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
-        lists = each.groupBy("token", "block").agg(entries.alias("e"), F.max("tf").alias("most"), F.min("n").alias("least"))
-        lists = lists.select("token", "block", F.col("e.doc_id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.n").alias("sizes"), F.size("e").alias("docs"), "most", "least", self._bucket())
+        most = F.max(weight(F.col("tf"), F.col("n"), mean, self.k1, self.b))
+        lists = each.groupBy("token", "block").agg(entries.alias("e"), most.alias("most"))
+        lists = lists.select("token", "block", F.col("e.doc_id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.n").alias("sizes"), F.size("e").alias("docs"), "most", self._bucket())
         self._write(lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block"), "postings", segment, "bucket")
         df = self._read("postings", [segment], kind).select("token", F.col("docs").cast("long").alias("df"))
         if changes is not None:
             df = df.unionByName(changes.select("token", (-F.col("df")).alias("df")))
         counts = df.groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("bucket", self._bucket())
         self._write(counts.hint("rebalance", "bucket"), "counts", segment, "bucket")
-        row = self.spark.createDataFrame([(docs - gone[0], words - gone[1], base, kind)], "docs long, words long, base boolean, id_type string")
+        row = self.spark.createDataFrame([(docs - gone[0], words - gone[1], blocks, mean, base, kind)], "docs long, words long, blocks long, mean double, base boolean, id_type string")
         self._write(row.coalesce(1), "commits", segment)
 
     def update(self, docs: DataFrame, segment: int, doc_id: str = "doc_id", text: str = "text", removed: DataFrame | None = None) -> None:
@@ -140,53 +151,100 @@ class TextIndex:
         self._write(living.select("doc_id", F.col("segment").alias("of_segment")).limit(0), "dead", segment)
         self._invert(segment, kind, True, None, (0, 0))
 
-    def bounds(self, queries: DataFrame, query_id: str, query: str, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
-        """query, token, idf, mean, bucket of what is asked; and query, segment, block, bound: what a document of the block can score at most."""
+    def bounds(self, queries: DataFrame, query_id: str, query: str) -> tuple[DataFrame, DataFrame]:
+        """query, token, idf, bucket of what is asked; and query, segment, block, bound: what a document of the block can score at most."""
+        commits = self.commits()
         segments, kind, docs, words = self.state()
         asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(self.analyse(F.col(query)))).alias("token")).withColumn("bucket", self._bucket())
         wanted = asked.select("token", "bucket").distinct()
         df = self._read("counts", segments, kind).join(wanted, ["bucket", "token"], "left_semi").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
         idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         asked = asked.join(df, "token").select("query", "token", "bucket", idf.alias("idf"))
-        heads = self._read("postings", segments, kind).select("segment", "bucket", "token", "block", "most", "least")
-        part = F.col("idf") * weight(F.col("most"), F.col("least"), words / max(docs, 1), k1, b)
+        heads = self._read("postings", segments, kind).select("segment", "bucket", "token", "block", "most")
+        # With a mean m times as large as when the segment was written, a weight is m times as large at most.
+        grown = F.create_map(*[F.lit(x) for r in commits for x in (r.segment, max(1.0, words / max(docs, 1) / r.mean) if r.mean else 1.0)])
+        part = F.col("idf") * F.col("most") * F.element_at(grown, F.col("segment"))
         found = heads.join(asked, ["bucket", "token"]).groupBy("query", "segment", "block").agg(F.sum(part).alias("bound"))
         return asked, found
 
-    def _scored(self, asked: DataFrame, chosen: DataFrame, among: DataFrame | None, k1: float, b: float) -> DataFrame:
-        """query, doc_id, score of the living documents in the chosen blocks (query, segment, block)."""
+    def _closed(self, among: DataFrame | None) -> DataFrame:
+        """segment, block, ids of documents that no search may find: dead ones, and those not among the given."""
+        commits = self.commits()
+        segments, kind, _, _ = self.state()
+        closed = self._dead(segments, kind).select("segment", "doc_id")
+        if among is not None:
+            closed = closed.union(self._read("docs", segments, kind).join(among, "doc_id", "left_anti").select("segment", "doc_id"))
+        blocks = F.element_at(F.create_map(*[F.lit(x) for r in commits for x in (r.segment, r.blocks)]), F.col("segment"))
+        placed = closed.where(F.col("segment").isin(segments)).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
+        return placed.groupBy("segment", "block").agg(F.collect_set("doc_id").alias("ids"))
+
+    def _scored(self, asked: DataFrame, chosen: DataFrame, among: DataFrame | None, k: int) -> DataFrame:
+        """query, doc_id, score of the k best open documents of each chosen block (query, segment, block)."""
         segments, kind, docs, words = self.state()
+        mean, k1, b = words / max(docs, 1) or 1.0, self.k1, self.b
+        query_kind = asked.schema["query"].dataType.simpleString()
         # Lists of tokens that nobody asks for, and of blocks that no search has chosen, are not opened.
         lists = self._read("postings", segments, kind).join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
+        lists = lists.select("segment", "block", "token", "ids", "tfs", "sizes")
+        none = F.lit(None).cast("array<int>")
+        lists = lists.unionByName(self._closed(among).select("segment", "block", F.lit(None).cast("string").alias("token"), "ids", none.alias("tfs"), none.alias("sizes")))
         lists = lists.join(chosen.select("segment", "block").distinct(), ["segment", "block"], "left_semi")
-        lists = lists.select("segment", "bucket", "token", "block", F.arrays_zip("ids", "tfs", "sizes").alias("e"))
-        met = lists.join(asked.join(chosen, "query"), ["bucket", "token", "segment", "block"])
-        rows = met.select("query", "segment", "idf", F.explode("e").alias("e")).select("query", "segment", F.col("e.ids").alias("doc_id"), (F.col("idf") * weight(F.col("e.tfs"), F.col("e.sizes"), words / max(docs, 1), k1, b)).alias("part"))
-        scores = rows.groupBy("query", "segment", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-        scores = scores.join(self._dead(segments, kind), ["doc_id", "segment"], "left_anti")
-        return (scores if among is None else scores.join(among, "doc_id", "left_semi")).select("query", "doc_id", "score")
-
-    def search(
-        self, queries: DataFrame, query_id: str, query: str, k: int, doc_id: str = "doc_id", among: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, seeds: int = 2
-    ) -> DataFrame:
+        parts = max(1, -(-asked.select("query").distinct().count() // ASKED))
+        by_query = asked.groupBy("query").agg(F.collect_list("token").alias("tokens"), F.collect_list("idf").alias("idfs"))
+        right = chosen.join(by_query, "query").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+        left = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def best(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+            """Of one block: each query's lists added up, and its k best documents."""
+            out = []
+            closed = held.loc[held["token"].isna(), "ids"]
+            held = held[held["token"].notna()]
+            if len(held) and len(wanted):
+                ids, place = np.unique(np.concatenate(held["ids"].to_list()), return_inverse=True)
+                tf, n = (np.concatenate(held[c].to_list()).astype(float) for c in ("tfs", "sizes"))
+                adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+                cuts = np.cumsum(held["ids"].map(len).to_numpy())[:-1]
+                list_of = dict(zip(held["token"], zip(np.split(place, cuts), np.split(adds, cuts))))
+                usable = np.ones(len(ids), bool)
+                for gone in closed:
+                    usable &= ~np.isin(ids, gone)
+                for query, tokens, idfs in zip(wanted["query"], wanted["tokens"], wanted["idfs"]):
+                    total, met = np.zeros(len(ids)), np.zeros(len(ids), bool)
+                    for token, idf in zip(tokens, idfs):
+                        if token in list_of:
+                            at, add = list_of[token]
+                            total[at] += idf * add
+                            met[at] = True
+                    at = np.flatnonzero(met & usable)
+                    at = at[np.argsort(-np.round(total[at], 6), kind="stable")[:k]]  # ids are in order, so ties are too
+                    out.append(pd.DataFrame({"query": [query] * len(at), "doc_id": ids[at], "score": total[at]}))
+            return pd.concat(out) if out else pd.DataFrame({"query": [], "doc_id": [], "score": []})
+
+        found = left.groupBy("segment", "block", "part").cogroup(right.groupBy("segment", "block", "part"))
+        scores = found.applyInPandas(best, f"query {query_kind}, doc_id {kind}, score double")
+        return scores.withColumn("score", F.round("score", 6))
+
+    def search(self, queries: DataFrame, query_id: str, query: str, k: int, doc_id: str = "doc_id", among: DataFrame | None = None, seeds: int = 2) -> DataFrame:
         """The k best documents of each query: query_id, doc_id, score, rank (ties by id); the same as retrieval.bm25 gives.
 
         among: a table whose column doc_id lists the documents that may be found.  The seeds
         blocks of the highest bounds are scored first; their k-th best score is the least
         that counts, and of the other blocks only those whose bound reaches it are opened.
         """
-        segments, *_ = self.state()
+        segments, kind, *_ = self.state()
         if not segments:
             return queries.select(query_id, F.lit(None).cast("long").alias(doc_id), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
         listed = None if among is None else among.select(F.col(doc_id).alias("doc_id"))
-        asked, bounds = self.bounds(queries, query_id, query, k1, b)
+        asked, bounds = self.bounds(queries, query_id, query)
         best = Window.partitionBy("query").orderBy(F.desc("bound"), "segment", "block")
-        first = bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= seeds).select("query", "segment", "block")
+        bounds = kept(bounds.withColumn("r", F.row_number().over(best)), "bounds")
         place = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
-        least = self._scored(asked, first, listed, k1, b).withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select("query", F.col("score").alias("least"))
+        top = lambda scores: scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+        first = kept(top(self._scored(asked, bounds.where(F.col("r") <= seeds).select("query", "segment", "block"), listed, k)), "best-so-far")
+        least = first.where(F.col("rank") == k).select("query", F.col("score").alias("least"))
         # Scores are rounded to six digits, so a bound may be lower than a score by half a unit of the last one.
-        chosen = bounds.join(least, "query", "left").where("least is null or bound >= least - 0.000001").select("query", "segment", "block")
-        found = self._scored(asked, chosen, listed, k1, b).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+        rest = bounds.where(F.col("r") > seeds).join(least, "query", "left").where("least is null or bound >= least - 0.000001").select("query", "segment", "block")
+        found = top(first.drop("rank").unionByName(self._scored(asked, rest, listed, k)))
         return found.select(F.col("query").alias(query_id), F.col("doc_id").alias(doc_id), "score", "rank")
 
 

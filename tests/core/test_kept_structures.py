@@ -73,7 +73,7 @@ def test_bounds_hold_and_leave_blocks_unopened(spark, tmp_path):
     asked = spark.createDataFrame([(1, "quartz onyx jade sun")], "q_id long, q string")
     index = TextIndex(spark, str(tmp_path), buckets=4, per_block=16)
     index.update(docs, 1)
-    _, bounds = index.bounds(asked, "q_id", "q", 1.2, 0.75)
+    _, bounds = index.bounds(asked, "q_id", "q")
     found = index.search(asked, "q_id", "q", 4).collect()
     least = min(r.score for r in found)
     every = bounds.collect()
