@@ -6,11 +6,14 @@ offset is added, and a document is emitted once for each integer that the sum
 crosses at it.  Sums are kept as integers (2^-24 of a copy), so that they do not
 depend on the order of additions.
 
-The prefix sum runs in two levels.  Documents are dealt to blocks (source, size
+The prefix sum runs in three levels.  Documents are dealt to blocks (source, size
 class, hash bucket); the number of buckets follows the number of documents, so
-that a block stays small even if one source holds a third of all rows.  Block
-counts are summed along each source, and inside a block the rank is a window.  As
-size classes come in order, a source's sample has nearly the sizes of the source.
+that a block stays small even if one source holds a third of all rows, but there are
+many blocks: up to half as many as documents, where sources and classes are many.  So
+SPAN buckets of a class make a span.  Counts of spans are summed along each source,
+those of blocks inside a span, and inside a block the rank is a window: no window has
+more than a five-hundredth of the rows of its source.  As size classes come in order, a
+source's sample has nearly the sizes of the source.
 
 Only built-in functions run.
 """
@@ -26,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 #: Documents for each hash bucket, of all sources together.
 PER_BUCKET = 2048
+#: Buckets of a span.
+SPAN = 1024
 #: Parts of a copy.
 UNIT = 1 << 24
 
@@ -102,8 +107,14 @@ def mix(
     rows = rows.withColumn("mix_bucket", F.col("mix_hash") % buckets)
     block = ["mix_source", "mix_class", "mix_bucket"]
     counts = rows.groupBy(*block).agg(F.count("*").alias("n"), F.sum("mix_size").alias("block_size"))
-    along = Window.partitionBy("mix_source").orderBy("mix_class", "mix_bucket")
-    offsets = counts.withColumn("mix_before", F.sum("n").over(along) - F.col("n"))
+    counts = counts.withColumn("span", F.floor(F.col("mix_bucket") / SPAN))
+    along = Window.partitionBy("span_source").orderBy("span_class", "span_of")
+    spans = counts.groupBy(F.col("mix_source").alias("span_source"), F.col("mix_class").alias("span_class"), F.col("span").alias("span_of")).agg(F.sum("n").alias("span_n"))
+    spans = spans.withColumn("span_before", F.sum("span_n").over(along) - F.col("span_n"))
+    within = Window.partitionBy("mix_source", "mix_class", "span").orderBy("mix_bucket")
+    inner = counts.withColumn("inner_before", F.sum("n").over(within) - F.col("n"))
+    same = inner["mix_source"].eqNullSafe(spans["span_source"]) & (inner["mix_class"] == spans["span_class"]) & (inner["span"] == spans["span_of"])
+    offsets = inner.join(spans, same).withColumn("mix_before", F.col("span_before") + F.col("inner_before"))
     per_source = counts.groupBy(F.col("mix_source").alias("source")).agg(F.sum("block_size").alias("source_size"))
     aims = targets(per_source, weights, limit)
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0)
