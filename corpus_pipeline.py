@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -58,6 +59,29 @@ def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return found.where(~F.coalesce(gone, F.lit(False))).select(rows.columns)
 
 
+def repeated_rows(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """numbered rows as often as copies (row, copies) says, those that it lacks not at all.
+
+    The binary digits of the copies become bitmaps, as for dropped rows, so that the texts
+    need not be shuffled.
+    """
+    most = copies.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0]
+    digits = range(max(int(most).bit_length(), 1))
+    set_bit = lambda d: F.when(F.shiftright("copies", d).bitwiseAND(F.lit(1)) == 1, F.col("row") % PIECE)
+    bitmaps = copies.groupBy(F.floor(F.col("row") / PIECE).alias("piece")).agg(*[F.bitmap_construct_agg(set_bit(d)).alias(f"bits_{d}") for d in digits])
+    bitmaps = materialize(bitmaps, "copies")
+    whole = bitmaps.count() * len(digits) * PIECE // 8 <= WHOLE
+    placed = rows.withColumns({"piece": F.floor(F.col(ROW) / PIECE), "bit": F.col(ROW) % PIECE})
+    found = placed.join(F.broadcast(bitmaps) if whole else bitmaps, "piece")
+
+    def digit(d: int):
+        byte = F.conv(F.hex(F.substring(F.col(f"bits_{d}"), (F.floor(F.col("bit") / 8) + 1).cast("int"), 1)), 16, 10).cast("long")
+        return F.getbit(byte, (F.col("bit") % 8).cast("int")).cast("int") * (1 << d)
+
+    counted = found.withColumn("copies", reduce(lambda a, b: a + b, map(digit, digits))).where("copies > 0")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(rows.columns)
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: the documents that the classifier accepts.
 
@@ -95,7 +119,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own.
     """
     rows, restored = covered(docs)
-    return restored(mixing.emit(mixing.mix(rows)))
+    rows = numbered(rows)
+    sized = materialize(rows.select(F.col(ROW).alias("row"), "doc_id", "source", mixing.words("text").alias("size")), "sizes")
+    mixed = mixing.mix(sized, size="size").where("mix_copies > 0")
+    return restored(repeated_rows(rows, materialize(mixed.select("row", F.col("mix_copies").alias("copies")), "mixed")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
