@@ -17,7 +17,7 @@ can be replayed.  An update reads the ids of what is there and the tokens of the
 that it replaces; postings of other documents stay as they are.
 
 Texts are never shuffled.  A document's tokens are counted in its own row; rows of distinct
-tokens go to their block, where lists are made in place, and the lists go to their folder.
+tokens go to their block, where lists are made and written in place.
 """
 
 from __future__ import annotations
@@ -104,12 +104,13 @@ class TextIndex:
         most = F.max(weight(F.col("tf"), F.col("n"), mean, self.k1, self.b))
         lists = each.groupBy("token", "block").agg(entries.alias("e"), most.alias("most"))
         lists = lists.select("token", "block", F.col("e.doc_id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.n").alias("sizes"), F.size("e").alias("docs"), "most", self._bucket())
-        self._write(lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block"), "postings", segment, "bucket")
+        # A task writes a file to each bucket at most.
+        self._write(lists.sortWithinPartitions("bucket", "token", "block"), "postings", segment, "bucket")
         df = self._read("postings", [segment], kind).select("token", F.col("docs").cast("long").alias("df"))
         if changes is not None:
             df = df.unionByName(changes.select("token", (-F.col("df")).alias("df")))
         counts = df.groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("bucket", self._bucket())
-        self._write(counts.hint("rebalance", "bucket"), "counts", segment, "bucket")
+        self._write(counts, "counts", segment, "bucket")
         row = self.spark.createDataFrame([(docs - gone[0], words - gone[1], blocks, mean, base, kind)], "docs long, words long, blocks long, mean double, base boolean, id_type string")
         self._write(row.coalesce(1), "commits", segment)
 
