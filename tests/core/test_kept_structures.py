@@ -1,10 +1,11 @@
+import json
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.operators import retrieval, vector_index
+from rosterlake.operators import percolate, retrieval, vector_index
 from rosterlake.operators.text_index import TextIndex
 
 WORDS = "sun moon star wind rain snow leaf root stone river".split()
@@ -130,3 +131,41 @@ def test_vector_index_odd_rows(spark, monkeypatch):
     found = vector_index.search(index, asked, "q", "q_v", 5, "r", rerank=50)
     exact = vector_index.exact(rows, "r", "r_v", asked, "q", "q_v", 5)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.select("q", "r", "score", "rank").collect()))
+
+
+def test_percolation_equals_running_each_search(spark):
+    rng = random.Random(8)
+    docs = [(i, rng.choice(["red", "green", "Blue 50%", None]), rng.choice([None, 1.0, 2.5, 7.0, 40.0]), f"2024-0{rng.randrange(1, 9)}-1{rng.randrange(10)}") for i in range(200)]
+    rows = spark.createDataFrame(docs, "id long, colour string, size double, day string")
+    fields = {"colour": F.col("colour"), "size": F.col("size"), "day": F.col("day").cast("date")}
+    columns = {"colour": "colour", "size": "size", "day": "cast(day as date)"}
+    values = {"colour": ["'red'", "'green'", "'Blue 50%'", "'none'"], "size": ["1.0", "2.5", "3.0", "40.0"], "day": ["date'2024-03-11'", "date'2024-05-19'", "date'2024-08-10'"]}
+    plain = lambda v: v.removeprefix("date").strip("'")
+    searches, tests = [], {}
+    signs = {"eq": "=", "ne": "<>", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
+    for n in range(120):
+        parts, sql = {}, ["true"]
+        for f in rng.sample(list(fields), rng.randrange(0, 3)):
+            op = rng.choice([*signs, "between", "in", "any", "not_in", "is_null", "is_not_null", "contains", "strange"])
+            a, b = sorted(rng.choices(values[f], k=2), key=lambda v: float(v) if f == "size" else v)
+            c = columns[f]
+            if op in signs or op == "strange":
+                parts[f], test = {"operator": op, "value": plain(a)}, f"{c} {signs.get(op, '=')} {a}"
+            elif op == "between":
+                parts[f], test = {"operator": op, "value": [plain(a), plain(b)]}, f"{c} between {a} and {b}"
+            elif op in ("in", "any", "not_in"):
+                parts[f], test = {"operator": op, "value": [plain(a), plain(b)]}, f"{c} {'not ' * (op == 'not_in')}in ({a}, {b})"
+            elif op == "contains":
+                part = rng.choice(["ee", "RED", "lue_50", "1"])
+                parts[f], test = {"operator": op, "value": part}, f"cast({c} as string) ilike '%{part}%'"
+            else:
+                parts[f], test = {"operator": op}, f"{c} {op.replace('_', ' ')}"
+            sql.append(test)
+        searches.append((n, json.dumps(parts | {"unknown": 3} | ({"size": None} if "size" not in parts else {}))))
+        tests[n] = " and ".join(sql)
+    stored = percolate.clauses(spark.createDataFrame(searches, "sid long, filters string"), "sid", "filters", fields)
+    got = {tuple(r) for r in percolate.percolate(rows, "id", fields, stored).collect()}
+    want = {(n, r.id) for n, test in tests.items() for r in rows.where(test).select("id").collect()}
+    assert got == want and 500 < len(got) < 120 * 200
+    told = percolate.alerts(percolate.percolate(rows, "id", fields, stored), stored, F.lit("2024-09-01")).collect()
+    assert len(told) == 120 and sum(r.new_matches for r in told) == len(got)
