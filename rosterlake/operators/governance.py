@@ -63,3 +63,27 @@ def retention(rows: DataFrame, stamp: str, kind: str, policies: dict[str, tuple[
         old = F.col(stamp) < F.expr(f"timestamp_ntz '{as_of}' - INTERVAL {days} DAYS")
         action = F.when((F.col(kind) == name) & old, what).otherwise(action)
     return rows.withColumn("action", action)
+
+
+def hidden(column: Column, salt: str) -> Column:
+    """A digest in place of a value that must not be read: equal values stay equal; null stays null."""
+    return F.sha2(F.concat(F.lit(salt), column.cast("string")), 256)
+
+
+def enforce(judged: DataFrame, key: str, personal: list[str], salt: str, action: str = "action") -> dict[str, DataFrame]:
+    """What becomes of rows that retention() judged: kept, archived, anonymised, and the keys of the deleted.
+
+    kept: rows as they are, and anonymised ones in their place with digests in the
+    personal columns; archived: rows that leave the table for the archive; deleted: keys
+    alone, so that the rows can be taken out elsewhere too (erase).  An action that is none of
+    archive, delete and anonymise keeps the row, so no row is lost.
+    """
+    plain = [c for c in judged.columns if c != action]
+    masked = judged.where(F.col(action) == "anonymise").select(*[hidden(F.col(c), salt).alias(c) if c in personal else F.col(c) for c in plain])
+    stay = judged.where(F.col(action).isNull() | ~F.col(action).isin("archive", "delete", "anonymise")).select(*[F.col(c).cast("string").alias(c) if c in personal else F.col(c) for c in plain])
+    return {
+        "kept": stay.unionByName(masked),
+        "archived": judged.where(F.col(action) == "archive").select(plain),
+        "anonymised": masked,
+        "deleted": judged.where(F.col(action) == "delete").select(key),
+    }
