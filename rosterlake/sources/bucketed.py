@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rosterlake.operators.writing import upsert
 
@@ -59,6 +59,13 @@ class BucketedTable:
         columns = self.spark.createDataFrame([], self.schema).columns
         self._put(upsert(held, new, self.keys, rules).select(columns), touched, batch)
 
+    def merge(self, new: DataFrame, columns: dict[str, Column], batch: int) -> None:
+        """What the table has and new, which may repeat a key, grouped by key; columns: name -> aggregate over both."""
+        touched = self._bucketed(new).select("bucket").distinct()
+        held = self.read(before=batch, only=[r.bucket for r in touched.collect()])
+        made = held.unionByName(new.select(held.columns)).groupBy(*self.keys).agg(*[c.alias(n) for n, c in columns.items()])
+        self._put(made.select(held.columns), touched, batch)
+
     def replace(self, parents: DataFrame, new: DataFrame, key: str, batch: int) -> None:
         """The rows of new in place of all that the table has of the parents' keys; key alone decides the bucket (keys = [key])."""
         touched = self._bucketed(parents.select(key).union(new.select(key))).select("bucket").distinct()

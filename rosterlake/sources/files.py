@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from rosterlake.sources.shared import kept
 
 
 def uploads(spark: SparkSession, path: str, pattern: str = "*.{pdf,docx,txt}", most_bytes: int = 10 * 1024 * 1024, stream: bool = False) -> DataFrame:
@@ -51,6 +53,27 @@ def nest(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[
     return out
 
 
+def nest_pages(child: DataFrame, key: str, order: list[str], size: int, name: str = "items", parts: int | None = None) -> DataFrame:
+    """key, page (from 0) and an array of at most size structs: each key's rows in the given order, cut in pages.
+
+    For parents whose children are too many for one row.  Rows are dealt out in ranges of
+    key and order, so that a key with most of the rows fills many tasks; each range counts
+    its rows of a key, the counts give the number of rows before it, and no task sorts
+    more than a range.  Rows without a key are left out.
+    """
+    fields = [*order, *[c for c in child.columns if c != key and c not in order]]
+    rows = child.where(F.col(key).isNotNull()).select(key, *fields)
+    dealt = rows.repartitionByRange(parts, key, *fields) if parts else rows.repartitionByRange(key, *fields)
+    dealt = kept(dealt.withColumn("page_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(key, "page_range").agg(F.count("*").alias("n"))
+    along = Window.partitionBy(key).orderBy("page_range")  # a row for each range that has the key
+    before = counts.select(key, "page_range", (F.sum("n").over(along) - F.col("n")).alias("page_before"))
+    place = F.row_number().over(Window.partitionBy(key, "page_range").orderBy(*fields)) - 1
+    placed = dealt.withColumn("page_place", place).join(before, [key, "page_range"])
+    page = F.floor((F.col("page_before") + F.col("page_place")) / size).alias("page")
+    return placed.select(key, page, F.struct(*fields).alias("item")).groupBy(key, "page").agg(F.sort_array(F.collect_list("item")).alias(name))
+
+
 def unnest(nested: DataFrame, key: str, name: str) -> DataFrame:
     """The rows of one array of structs, with the key."""
     return nested.select(key, F.inline(name))

@@ -4,7 +4,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from rosterlake.operators.rollups import DailyRollup
 from rosterlake.operators.writing import upsert
+from rosterlake.sources import files
 from rosterlake.sources.bucketed import BucketedTable
 from rosterlake.streaming import tracking
 
@@ -139,3 +141,38 @@ def test_stream_into_a_bucketed_table(rocks, tmp_path):
     states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     want = {k: (kind, ts) for _, k, kind, ts in sorted(rows, key=lambda r: (r[3], r[0]))}
     assert {r.key: r.status for r in table.read().collect()} == {k: v[0] for k, v in want.items()}
+
+
+def test_rollup_with_increments_and_late_rows(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), START + timedelta(days=rng.randrange(40), hours=rng.randrange(24)), rng.choice([None, 1.5, 2.25, 10.0]), rng.randrange(70_000)) for i in range(600)]
+    frame = lambda some: spark.createDataFrame(some, "id long, kind string, ts timestamp, value double, user long")
+    rollup = DailyRollup(spark, str(tmp_path), ["kind"], buckets=4)
+    rng.shuffle(rows)  # every batch is late for days of the one before
+    done = []
+    for batch in range(3):
+        part = rows[batch * 200 : batch * 200 + 200] + done[:20] * (batch == 2)  # members that come again count once
+        done += part
+        for _ in range(1 + (batch == 1)):  # one batch runs twice
+            rollup.add(frame(part), F.col("ts"), {"value": F.col("value")}, {"user": F.col("user")}, batch)
+        for days in (7, 30):
+            last = (START + timedelta(days=35)).date()
+            here = [r for r in done if last - timedelta(days=days) < r[2].date() <= last]
+            got = {(r.kind, r.measure): (r.n, r.total, r.members) for r in rollup.window(str(last), days).collect()}
+            for kind in {r[1] for r in here}:
+                own = [r for r in here if r[1] == kind]
+                values = [r[3] for r in own if r[3] is not None]
+                assert got[kind, "value"] == (len(values), sum(values), None)
+                assert got[kind, "user"] == (len(own), 0, len({r[4] for r in own}))
+
+
+def test_a_hot_parent_is_cut_in_pages(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id") % 100 + 2).alias("parent"), (F.col("id") * 7919 % n).alias("turn"), F.lit("x").alias("note"))
+    rows = rows.union(spark.createDataFrame([(None, 1, "y")], rows.schema))
+    pages = files.nest_pages(rows, "parent", ["turn"], 1000, parts=16)
+    told = pages.select("parent", "page", F.size("items").alias("n"), F.get("items", F.lit(0))["turn"].alias("first"), F.element_at("items", -1)["turn"].alias("last")).collect()
+    hot = sorted((r.page, r.n, r.first, r.last) for r in told if r.parent == 1)
+    assert sum(r.n for r in told) == n and max(r.n for r in told) == 1000
+    assert [h[0] for h in hot] == list(range(160)) and all(h[1] == 1000 for h in hot)
+    assert all(a[3] < b[2] for a, b in zip(hot, hot[1:]))
