@@ -68,6 +68,16 @@ def search_document(name: Column, jobs: Column, skills: Column, raw: Column, mos
     )
 
 
+def whole_search_document(name: Column, jobs: Column, skills: Column, education: Column, levels: list[str], lists: dict[str, Column], raw: Column, most: int = 10000) -> Column:
+    """search_document with the highest education, by the order of levels (the last is the highest), and further flat lists of names."""
+    base = search_document(name, jobs, skills, raw, most)
+    rank = lambda e: F.array_position(F.array(*map(F.lit, levels)), e["level"])
+    ranked = F.transform(education, lambda e: F.struct(rank(e).alias("rank"), e["level"].alias("level")))
+    fields = ("full_name", "plain_name", "total_months", "total_years", "current_title", "current_company", "skills", "text")
+    more = [F.coalesce(a, F.array().cast("array<string>")).alias(n) for n, a in lists.items()]
+    return F.struct(*[base[f].alias(f) for f in fields], F.array_max(ranked)["level"].alias("highest_education"), F.size(jobs).alias("n_jobs"), *more)
+
+
 def list_row(name: Column, jobs: Column, skills: Column) -> Column:
     """struct(name, role, n_jobs, n_skills) for a list; the role is that of the first job, or Unknown Role."""
     role = F.coalesce(F.nullif(F.get(jobs, F.lit(0))["title"], F.lit("")), F.lit("Unknown Role"))

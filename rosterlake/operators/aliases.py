@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rosterlake.operators import matching
-from rosterlake.functions import nested, text
+from rosterlake.functions import nested, spotting, text
 from rosterlake.functions.synonyms import unmarked_greek
 
 #: Confidence of a name, an abbreviation and an alias.
@@ -47,7 +47,7 @@ def weighted_tokens(rows: DataFrame, key: str, columns: dict[str, str]) -> DataF
 
 
 def analysed(c: Column, stop: list[str], compound: bool = False) -> Column:
-    """Tokens for an index: Greek accents folded, lower case, without stop words, not stemmed.
+    """Tokens for an index: Greek accents folded, lower case, without stop words; stemming.english cuts English ones to stems.
 
     compound: words also fall apart where letters meet digits and at a change to upper
     case; the whole word stays, too.
@@ -71,22 +71,32 @@ def spoken(plain: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
 
 
-def tag(rows: DataFrame, key: str, body: str, aliases: DataFrame) -> DataFrame:
+def terms_in_words(plain: DataFrame, key: str, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, term) of the aliases that a text has as whole words, and (term, alias_key, source)."""
+    known = aliases.select(spoken(F.col("term")).alias("words"), "key", "source").where(F.size("words") > 0)
+    lengths = known.agg(F.array_sort(F.collect_set(F.size("words"))).alias("lengths"))
+    known = known.select(F.array_join("words", " ").alias("term"), F.col("key").alias("alias_key"), "source").distinct()
+    fits = F.filter("lengths", lambda n: n <= F.size("words"))
+    sized = plain.select(key, spoken(F.col("plain")).alias("words")).crossJoin(F.broadcast(lengths)).select(key, "words", F.explode(fits).alias("n_words"))  # lengths: one row
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n_words") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n_words")), " "))
+    return sized.select(key, F.explode(F.array_distinct(runs)).alias("term")), known
+
+
+def tag(rows: DataFrame, key: str, body: str, aliases: DataFrame, inside: bool = False) -> DataFrame:
     """key and one struct of filters per text: years, license, ids (per source a sorted array), confidence, kind.
 
     aliases: as alias_table gives them.  Aliases fall into words as texts do, so an
     alias counts as whole words, whatever stands between them.  A text's runs of as
     many words as some alias has meet the aliases in an equi-join, so no text is
-    compared with every alias.
+    compared with every alias.  inside: an alias counts wherever its letters stand, in
+    other words too; then one automaton of all aliases reads each text once.
     """
     plain = rows.select(key, text.normalise(F.col(body)).alias("plain"))
-    known = aliases.select(spoken(F.col("term")).alias("words"), "key", "source").where(F.size("words") > 0)
-    lengths = known.agg(F.array_sort(F.collect_set(F.size("words"))).alias("lengths"))
-    known = known.select(F.array_join("words", " ").alias("term"), F.col("key").alias("alias_key"), "source").distinct()
-    fits = F.filter("lengths", lambda n: n <= F.size("words"))
-    sized = plain.select(key, spoken(F.col("plain")).alias("words")).crossJoin(F.broadcast(lengths)).select(key, "words", F.explode(fits).alias("n_words"))  # lengths: one row
-    runs = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n_words") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n_words")), " "))
-    terms = sized.select(key, F.explode(F.array_distinct(runs)).alias("term"))
+    if inside:
+        known = aliases.select("term", F.col("key").alias("alias_key"), "source").distinct()
+        terms = spotting.spot(plain, key, "plain", aliases, "term").select(key, "term").distinct()
+    else:
+        terms, known = terms_in_words(plain, key, aliases)
     per_source = terms.join(known, "term").groupBy(key, "source").agg(F.array_sort(F.collect_set("alias_key")).alias("ids"))
     ids = per_source.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "ids")))).alias("ids"))
     years = F.regexp_extract("plain", r"(\d+)\+?\s*(?:χρονια|years?|ετ[ωη])", 1).try_cast("int")

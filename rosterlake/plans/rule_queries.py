@@ -6,11 +6,12 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from rosterlake.functions import nested, synonyms, text
-from rosterlake.operators import filters, governance, writing
+from rosterlake.functions import contact, nested, records as R, stemming, synonyms, text
+from rosterlake.operators import aliases, filters, governance, writing
 from rosterlake.operators.filters import Field
 from rosterlake.plans.queries import FIELDS, HELD, held_parts, query
 from rosterlake.plans.record_queries import people
+from rosterlake.sources import files
 
 LINES = "(SELECT o_custkey, l.* FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)"
 NINETEEN = FIELDS | {
@@ -153,3 +154,87 @@ def retention_acted(t):
     rows = lambda name: done[name].select(F.lit(name).alias("outcome"), "event_id", F.col("user_id").cast("string").alias("user_id"), "value")
     gone = done["deleted"].select(F.lit("deleted").alias("outcome"), "event_id", F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("double").alias("value"))
     return rows("kept").union(rows("archived")).union(gone)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS ws FROM documents WHERE lang = 'en')
+SELECT doc_id, len(ws) AS n, md5(array_to_string({stemming.english_sql("ws")}, ' ')) AS stems FROM d""")
+def stemmed_texts(t):
+    """The stems of all English texts."""
+    rows = t("documents").where("lang = 'en'").select("doc_id", text.tokens(F.col("text")).alias("ws"))
+    return rows.select("doc_id", F.size("ws").cast("long").alias("n"), F.md5(F.array_join(stemming.english(F.col("ws")), " ")).alias("stems"))
+
+
+LEVELS = ["SMALL", "MEDIUM", "LARGE", "STANDARD", "ECONOMY", "PROMO"]
+
+
+@query(f"""
+WITH j AS (SELECT o_custkey k, count(*) n, sum(floor(o_totalprice / 1000))::BIGINT m, min_by(o_orderpriority, struct_pack(d := o_orderdate, o := o_orderkey)) FILTER (WHERE o_orderstatus = 'O') AS title FROM orders GROUP BY 1),
+s AS (SELECT o_custkey k, md5(array_to_string(list(DISTINCT p_type ORDER BY p_type), '|')) skills, max(list_position({LEVELS}, p_type)) AS best, md5(array_to_string(list(DISTINCT p_brand ORDER BY p_brand), '|')) brands FROM {HELD} GROUP BY 1),
+e AS (SELECT user_id k, array_to_string(list(DISTINCT event_type ORDER BY event_type), '|') kinds FROM events GROUP BY 1)
+SELECT c_custkey, lower(c_name) AS plain_name, coalesce(n, 0) AS n_jobs, coalesce(m, 0) AS total_months, round(coalesce(m, 0) / 12, 4) AS total_years, title AS current_title, CASE WHEN title IS NOT NULL THEN 'O' END AS current_company,
+  coalesce(skills, md5('')) AS skills, {LEVELS}[best] AS highest_education, coalesce(brands, md5('')) AS brands, coalesce(kinds, '') AS kinds, left(text, 10000) AS text
+FROM customer LEFT JOIN j ON j.k = c_custkey LEFT JOIN s ON s.k = c_custkey LEFT JOIN e ON e.k = c_custkey LEFT JOIN documents ON doc_id = c_custkey""")
+def search_documents_whole(t):
+    """Every part of a search document in one row: totals, current job, highest education, flat lists, the text cut at 10,000 characters."""
+    held = held_parts(t)
+    level = held.select(F.col("o_custkey").alias("c_custkey"), F.col("p_type").alias("level")).distinct()
+    names = lambda df, key, column, out: df.groupBy(F.col(key).alias("c_custkey")).agg(F.array_sort(F.collect_set(column)).alias(out))
+    base = files.nest(people(t), "c_custkey", {"education": (level, ["level"])})
+    base = base.join(names(held, "o_custkey", "p_brand", "brands"), "c_custkey", "left").join(names(t("events"), "user_id", "event_type", "kinds"), "c_custkey", "left")
+    base = base.join(t("documents").select(F.col("doc_id").alias("c_custkey"), "text"), "c_custkey", "left")
+    made = R.whole_search_document(F.col("name"), F.col("jobs"), F.col("skills"), F.col("education"), LEVELS, {"brands": F.col("brands"), "kinds": F.col("kinds")}, F.col("text"))
+    d = base.select("c_custkey", made.alias("d"))
+    digest = lambda c: F.md5(F.array_join(f"d.{c}", "|")).alias(c)
+    return d.select(
+        "c_custkey", "d.plain_name", F.col("d.n_jobs").cast("long").alias("n_jobs"), "d.total_months", F.round("d.total_years", 4).alias("total_years"), "d.current_title", "d.current_company",
+        digest("skills"), "d.highest_education", digest("brands"), F.array_join("d.kinds", "|").alias("kinds"), "d.text",
+    )
+
+
+@query(r"""
+WITH n AS (SELECT DISTINCT lower(n_name) AS term FROM nation UNION SELECT DISTINCT lower(r_name) FROM region UNION SELECT unnest(['er', 'the', 'ch', 'ion'])),
+d AS (SELECT doc_id, strip_accents(lower(trim(text))) AS plain FROM documents), h AS (SELECT doc_id, string_agg(term, ',' ORDER BY term) AS ids, count(*) AS n FROM d JOIN n ON contains(plain, term) GROUP BY 1)
+SELECT doc_id, ids FROM h""")
+def inner_tags(t):
+    """Aliases found as parts of words in all documents."""
+    names = t("nation").select(F.lower("n_name").alias("name")).union(t("region").select(F.lower("r_name"))).union(t("region").select(F.explode(F.array(*map(F.lit, ["er", "the", "ch", "ion"])))))
+    known = aliases.alias_table({"words": names.distinct().withColumn("id", F.col("name"))}, "id", {"name": "name"})
+    made = aliases.tag(t("documents"), "doc_id", "text", known, inside=True)
+    return made.select("doc_id", F.array_join(F.try_element_at("ids", F.lit("words")), ",").alias("ids")).where("ids is not null")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, lang, text, CASE doc_id % 3 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.txt' ELSE 'c.xls' END AS path FROM documents)
+SELECT doc_id, CASE WHEN path = 'c.xls' THEN 'unsupported' WHEN path = 'b.txt' OR length(trim(text)) >= 100 THEN 'text' ELSE 'image' END AS kind, lang AS tag,
+  CASE WHEN doc_id % 2 = 0 THEN upper(left(source, 1)) || 'x' ELSE 'Anna' END AS first, CASE WHEN doc_id % 2 = 0 THEN 'Unknown' ELSE 'Maria Smith' END AS last, lang || source AS clean FROM d""")
+def document_rules(t):
+    """Type by extension and text, a tag's value, a name from given ones or from lines, JSON without NULs."""
+    c = F.col
+    path = F.when(c("doc_id") % 3 == 0, "a.PDF").when(c("doc_id") % 3 == 1, "b.txt").otherwise("c.xls")
+    given = F.when(c("doc_id") % 2 == 0, F.concat(F.upper(F.left("source", F.lit(1))), F.lit("x")))
+    named = contact.person_name(given, F.lit(None).cast("string"), F.lit("Page 1\n\n Anna   Maria Smith \nb"))
+    tags = F.array(F.concat(F.lit("kind:"), c("source")), F.concat(F.lit("lang:"), c("lang")), F.lit("lang:zz"))
+    parsed = F.get_json_object(contact.without_nuls(F.concat(F.lit('{"a": "'), c("lang"), F.lit('\\u0000'), c("source"), F.lit('"}'))), "$.a")
+    return t("documents").select(
+        "doc_id", files.document_type(path, c("text")).alias("kind"), text.tag_value(tags, "lang").alias("tag"), named["first"].alias("first"), named["last"].alias("last"), parsed.alias("clean")
+    )
+
+
+@query("""SELECT event_id, 'k' AS field, (props ->> '$.k') AS value, lower(trim(props ->> '$.k')) AS normalised FROM events UNION ALL SELECT event_id, 'kind', '  ' || upper(event_type), event_type FROM events WHERE event_type <> 'error'""")
+def unmapped_fields(t):
+    """The fields of the events' own JSON that no table has."""
+    more = F.when(F.col("event_type") != "error", F.concat(F.lit("  "), F.upper("event_type")))
+    fields = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("kind"), more))
+    return writing.unmapped(t("events").select("event_id", fields.alias("m")), "event_id", "m")
+
+
+@query("""SELECT o_orderkey AS k, o_orderstatus AS status, round(o_totalprice, 2) AS price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS day, 'é' || o_orderpriority AS bytes, NULL AS nothing FROM orders""")
+def output_json(t):
+    """Rows written as JSON, read back field by field: decimals as numbers, bytes as text, times in ISO, nulls written."""
+    rows = t("orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").alias("day"),
+        F.encode(F.concat(F.lit("é"), "o_orderpriority"), "UTF-8").alias("bytes"), F.lit(None).cast("string").alias("nothing"),
+    )
+    of = lambda f: F.get_json_object("value", f"$.{f}")
+    return files.output_rows(rows).select(of("k").cast("long").alias("k"), of("status").alias("status"), of("price").cast("double").alias("price"), of("day").alias("day"), of("bytes").alias("bytes"), F.nullif(of("nothing"), F.lit("null")).alias("nothing"))
