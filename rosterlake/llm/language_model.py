@@ -44,6 +44,8 @@ ORDER = 3
 BLOCK_BYTES = 8_000_000
 #: Tokens of the corpus for each bucket of the key space, about.
 BUCKET_TOKENS = 1_500_000
+#: Blocks that ask a bucket by themselves; more of them ask in pools of about so many.
+POOL = 4096
 #: Added to each unigram count.
 ADD = 0.1
 #: Histories fall into bins by the power of two of their count.
@@ -184,6 +186,41 @@ class Grams:
         ]
 
 
+def _together(asked: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with keys: each row's keys, all distinct keys in order, their counts added up, and their bins (empty without)."""
+    keys = [np.cumsum(unpack(r["keys"], 8), dtype=np.uint64) for r in asked]
+    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.zeros(len(every), np.int64)
+    np.add.at(totals, which, np.concatenate([widen(r["counts"], len(k)) for r, k in zip(asked, keys)]))
+    bins = np.zeros(0, np.int64)
+    if asked[0]["bins"]:
+        bins = np.zeros(len(every), np.int64)
+        bins[which] = np.concatenate([unpack(r["bins"], 1) for r in asked])
+    return keys, every, totals, bins
+
+
+def pooled(questions: pa.Table) -> pa.Table:
+    """The questions of a pool of blocks to one bucket as one row, which asks in the pool's name."""
+    rows = questions.to_pylist()
+    asked, given = [r for r in rows if r["keys"]], [np.array(r["stats"]) for r in rows if r["stats"] is not None]
+    row = {"block": rows[0]["pool"], "bucket": rows[0]["bucket"], "n": rows[0]["n"], "keys": b"", "counts": b"", "bins": b"", "stats": sum(given).tolist() if given else None}
+    if asked:
+        _, every, totals, bins = _together(asked)
+        row |= {"keys": pack(np.diff(every, prepend=np.uint64(0))), "counts": narrow(totals), "bins": pack(bins.astype(np.uint8)) if len(bins) else b""}
+    return pa.Table.from_pylist([row], schema=_QUESTION)
+
+
+def handed(questions: pa.Table, told: pa.Table) -> pa.Table:
+    """What a pool was told, for each of its blocks."""
+    asked, out = [r for r in questions.to_pylist() if r["keys"]], []
+    if asked:
+        keys, every, _, _ = _together(asked)
+        totals = widen(told.to_pylist()[0]["totals"], len(every))
+        for r, k in zip(asked, keys):
+            out.append({"block": r["block"], "bucket": r["bucket"], "n": r["n"], "totals": narrow(totals[np.searchsorted(every, k)]), "stats": [len(k)]})
+    return pa.Table.from_pylist(out, schema=_ANSWER)
+
+
 def answer(questions: pa.Table) -> pa.Table:
     """Adds up the counts of each key over all blocks and tells every block its keys' totals.
 
@@ -431,6 +468,7 @@ def score_texts(
     )
     size = blocks.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     buckets, mask = size // bucket_tokens + 1, key_mask(size)
+    pools = -(-blocks.count() // POOL) or 1
     block_rows = blocks.select("block", "held", "sizes", "tokens", "hashes")
 
     def table(rows: list[dict]) -> pa.Table:
@@ -465,7 +503,16 @@ def score_texts(
         return run
 
     def answered(questions: DataFrame, name: str) -> DataFrame:
-        return materialize(questions.groupBy("n", "bucket").applyInArrow(answer, ANSWER), f"answers-{name}")
+        """Many blocks ask in pools, so that no task reads a row of every block, however common a word is; totals are the same."""
+        if pools == 1:
+            return materialize(questions.groupBy("n", "bucket").applyInArrow(answer, ANSWER), f"answers-{name}")
+        by = ["n", "bucket", "pool"]
+        asked = materialize(questions.withColumn("pool", F.pmod("block", F.lit(pools)).cast("long")), f"questions-{name}")
+        one = asked.groupBy(*by).applyInArrow(pooled, QUESTION)
+        told = materialize(one.groupBy("n", "bucket").applyInArrow(answer, ANSWER), f"pools-{name}")
+        to_pools = told.where("block >= 0").withColumnRenamed("block", "pool")
+        each = asked.groupBy(*by).cogroup(to_pools.groupBy(*by)).applyInArrow(handed, ANSWER)
+        return materialize(told.where("block = -1").union(each), f"answers-{name}")
 
     found = answered(block_rows.mapInArrow(ask_first, QUESTION), "first")
     # The statistics of pairs need the counts of words, so pairs alone take a round more.

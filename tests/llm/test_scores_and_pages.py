@@ -387,8 +387,13 @@ def brute_model(docs, held, order=3):
     return out
 
 
-@pytest.mark.parametrize("order, size, tokens", [(3, language_model.BLOCK_BYTES, language_model.BUCKET_TOKENS), (3, 500, 200), (4, 900, 300), (2, 500, 200), (1, 500, 500)])
-def test_language_model_equals_brute_force(spark, order, size, tokens):
+@pytest.mark.parametrize(
+    "order, size, tokens, pool",
+    [(3, language_model.BLOCK_BYTES, language_model.BUCKET_TOKENS, 4096), (3, 500, 200, 4096), (4, 900, 300, 2), (2, 500, 200, 3), (1, 500, 500, 4), (3, 500, 200, 3)],
+)
+def test_language_model_equals_brute_force(spark, monkeypatch, order, size, tokens, pool):
+    """pool: blocks that ask together; their totals are those of single blocks."""
+    monkeypatch.setattr(language_model, "POOL", pool)
     rng = random.Random(6)
     words = ["The", "the", "cat", "sat", "É", "on", "a", "mat.", "zig"] + [f"w{k}" for k in range(60)]
     docs = [(i, " ".join(rng.choice(words[: rng.choice([5, 69])]) for _ in range(rng.randrange(40)))) for i in range(150)]
@@ -402,6 +407,18 @@ def test_language_model_equals_brute_force(spark, order, size, tokens):
         assert r.held_out == h and tuple(r)[2:5] == w[1:4] and (r.doc_id, r.base_score, r.score) == (w[0], pytest.approx(w[4]), pytest.approx(w[5]))
 
 
+def test_a_pool_asks_in_one_row_and_hands_on():
+    keys = np.array([3, 9, 1 << 63], np.uint64)
+    grams = lambda at, counts: language_model.Grams(np.zeros(0, int), keys[at], np.array(counts), np.zeros(2, int))
+    asked = [r | {"pool": 7} for block, at, counts in ((1, [0, 2], [5, 1]), (2, [1, 2], [2, 0])) for r in grams(at, counts).questions(block, 2, 1, np.array([4, 6], np.uint8))]
+    rows = pa.Table.from_pylist(asked, schema=language_model._QUESTION.append(pa.field("pool", pa.int64())))
+    (one,) = language_model.pooled(rows).to_pylist()
+    assert one["block"] == 7 and language_model.widen(one["counts"], 3).tolist() == [5, 2, 1] and language_model.unpack(one["bins"], 1).tolist() == [4, 4, 6]
+    told = pa.Table.from_pylist([{"block": 7, "bucket": 0, "n": 2, "totals": language_model.narrow(np.array([50, 20, 10])), "stats": [3]}], schema=language_model._ANSWER)
+    got = {r["block"]: language_model.widen(r["totals"], 2).tolist() for r in language_model.handed(rows, told).to_pylist()}
+    assert got == {1: [50, 10], 2: [20, 10]}
+
+
 def test_counts_above_four_bytes_are_whole():
     keys = np.array([5, 1 << 63], np.uint64)
     grams = language_model.Grams(np.zeros(0, int), keys, np.array([3_000_000_000, 1 << 60]), np.zeros(2, int))
