@@ -34,10 +34,3 @@ def monitor(events: DataFrame, status: str, stamp: str, width: str) -> DataFrame
     """Rows by status and tumbling window."""
     counted = events.groupBy(F.col(status).alias("status"), F.window(stamp, width)).agg(F.count("*").alias("n"))
     return counted.select("status", F.col("window.start").alias("window_start"), "n")
-
-
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a streaming frame over what is available now into a memory table; for small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)

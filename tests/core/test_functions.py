@@ -14,6 +14,12 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first().x
 
 
+def run_available(stream, name, mode, checkpoint):
+    """What a stream gives for all that is there now, from a table in memory."""
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 @pytest.mark.parametrize("given, want", [("Λογιστής", "λογιστης"), ("ΜΗΧΑΝΙΚΌΣ", "μηχανικος"), ("  Ϊόνιο ", "ιονιο"), ("Café", "cafe"), (None, ""), ("", "")])
 def test_normalise(spark, given, want):
     assert one(spark, text.normalise(F.lit(given).cast("string"))).replace("ς", "σ") == want.replace("ς", "σ")
@@ -111,7 +117,7 @@ def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    got = state.run_available(state.latest_state(stream, "user_id", "event_type", "ts", "event_id"), "latest", "complete", str(tmp_path / "c"))
+    got = run_available(state.latest_state(stream, "user_id", "event_type", "ts", "event_id"), "latest", "complete", str(tmp_path / "c"))
     want = state.latest_state(events, "user_id", "event_type", "ts", "event_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -120,7 +126,7 @@ def test_stream_intake_once(spark, tmp_path):
     rows = [(i % 5, datetime.datetime(2024, 1, 1, 0, i)) for i in range(20)]
     spark.createDataFrame(rows, "id int, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, ts timestamp").parquet(str(tmp_path / "in"))
-    got = state.run_available(state.once(stream, "id", "ts", "1 hour"), "once", "append", str(tmp_path / "c"))
+    got = run_available(state.once(stream, "id", "ts", "1 hour"), "once", "append", str(tmp_path / "c"))
     assert sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 4]
 
 
