@@ -176,7 +176,8 @@ def exact_dedup(
     stays, then the smallest doc_id; ids are numbers or strings.  Rows that share the id that stays are all
     marked kept (an id names one document); a null id counts as larger than all
     others, and where only null ids exist keep_id is null and the rows are kept.
-    An empty table gives an empty result; other columns are ignored.  row: a column
+    A text of any length is compared whole.  An empty table gives an empty result;
+    other columns are ignored.  row: a column
     of unique numbers; the result then has row, too, and exactly one row of equal
     texts is kept, of rows with the same id that with the smallest number.
     """

@@ -163,12 +163,12 @@ def train(
     """Fit on the documents that labels name (at most bound of them).
 
     Rows with a null id or label are left out; where an id has two labels, the
-    smaller counts.
+    smaller counts; a label over 0 counts as 1, any other as 0.
     """
     known = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(doc_id).alias("label_id"))
-        .agg(F.min(label).alias("label"))
+        .agg((F.min(label) > 0).cast("int").alias("label"))
     )
     known = sample_of(known, "label_id", bound)
     texts = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text"))
@@ -181,9 +181,10 @@ def score(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame
     """docs with quality_score and quality_predicted (1 from 0.5 on).
 
     Null and empty texts have zero statistics and are scored like any other;
-    repeated rows score alike; an empty table gives an empty result.  Columns of
-    docs with these two names are replaced.
+    repeated rows score alike; a text of any length is read whole; an empty table gives
+    an empty result.  Columns of docs with these two names are replaced, all others stay.
     """
-    rows = with_statistics(docs, text, "quality_stats")
-    rows = rows.withColumn("quality_score", model.score("quality_stats")).drop("quality_stats")
+    stats = next(n for n in map("quality_stats_{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = with_statistics(docs, text, stats)
+    rows = rows.withColumn("quality_score", model.score(stats)).drop(stats)
     return rows.withColumn("quality_predicted", (F.col("quality_score") >= 0.5).cast("int"))

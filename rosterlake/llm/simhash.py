@@ -146,8 +146,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     as empty and, like every text without words, has fingerprint 0, which links
     like any other.  Rows with a null doc_id take part, and get the smallest id of
     their component (null if it has none).  Repeated rows are returned as often as
-    given.  An empty table gives an empty result; other columns are ignored.
-    row: a column of unique numbers; the result then has row and first_row, that of
+    given.  A text of any length is read whole, its shingles some at a time.  An empty
+    table gives an empty result; other columns are ignored.  row: a column of unique numbers; the result then has row and first_row, that of
     the component's row with the smallest id (null ids last), then the smallest number.
     """
     rows = materialize(fingerprints(docs, doc_id, text, row=row), "fingerprints")

@@ -342,8 +342,8 @@ def train(
 def score(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score of every row; a null text counts as empty and has the intercept's score.
 
-    Repeated rows score alike; an empty table gives an empty result; other columns are
-    left out.
+    Repeated rows score alike; a text of any length is read whole; an empty table gives an
+    empty result; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

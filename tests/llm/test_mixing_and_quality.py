@@ -126,3 +126,11 @@ def test_quality_odd_rows(spark):
     assert len(rows) == 5 and all(0 <= r.quality_score <= 1 for r in rows)
     assert quality.score(docs.limit(0), model).count() == 0
     assert docs.where(fold("doc_id", 3) >= 0).count() == 5
+
+
+def test_quality_keeps_every_other_column_and_reads_long_texts(spark):
+    docs = spark.createDataFrame([(1, "a fine day. " * 200_000, 7, 8), (2, None, 9, 10)], "doc_id long, text string, quality_stats long, quality_stats_0 long")
+    labels = spark.createDataFrame([(1, 3), (2, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    rows = quality.score(docs, model).orderBy("doc_id").collect()
+    assert [(r.quality_stats, r.quality_stats_0) for r in rows] == [(7, 8), (9, 10)] and all(0 <= r.quality_score <= 1 for r in rows)

@@ -186,3 +186,23 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002)], "a long, b long")
     roots = {r.node: r.root for r in components(edges).collect()}
     assert roots == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_very_long_texts(spark):
+    """Texts beyond every bound of a piece, and one that differs in its last word."""
+    rng = random.Random(9)
+    long = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=200_000))
+    texts = [long, long.replace(" ", "\n"), long[:-1] + "!", "x" * 2_000_000, None]
+    docs = frame(spark, texts)
+    kept = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert kept == {0: (0, 2), 1: (0, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1)}
+    found = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    words = long.split()
+    counts = [0] * 64
+    for i in range(len(words) - 2):
+        h = xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    want = sum(1 << b for b in range(64) if 2 * counts[b] > len(words) - 2)
+    assert found[0][0] % (1 << 64) == found[1][0] % (1 << 64) == want and found[0][1] == found[1][1] == 0
+    assert found[4] == (0, 4)
