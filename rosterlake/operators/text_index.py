@@ -26,6 +26,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rosterlake.functions.text import tokens
@@ -96,14 +98,33 @@ class TextIndex:
         blocks = max(1, -(-docs // self.per_block))
         _, _, all_docs, all_words = ([], "", 0, 0) if base else self.state(before=segment)
         mean = (all_words + words - gone[1]) / max(all_docs + docs - gone[0], 1)
-        # Rows of a block come together; grouping by token and block then needs no further shuffle.
-        placed = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition("block")
-        each = placed.select("block", "doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("block", F.col("t.terms").alias("token"), "doc_id", F.col("t.tfs").alias("tf"), "n")
-        # A group is one token of one block, about per_block documents at most.
-        entries = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
-        most = F.max(weight(F.col("tf"), F.col("n"), mean, self.k1, self.b))
-        lists = each.groupBy("token", "block").agg(entries.alias("e"), most.alias("most"))
-        lists = lists.select("token", "block", F.col("e.doc_id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.n").alias("sizes"), F.size("e").alias("docs"), "most", self._bucket())
+        k1, b = self.k1, self.b
+
+        def lists_of(rows: pa.Table) -> pa.Table:
+            """The lists of one block: its documents' tokens, sorted by token and then id."""
+            rows = rows.take(pc.sort_indices(rows["doc_id"]))
+            held, ids = rows["terms"].combine_chunks(), rows["doc_id"].combine_chunks()
+            doc = np.repeat(np.arange(len(rows)), np.asarray(held.value_lengths()))
+            flat = held.flatten().dictionary_encode()
+            codes = np.asarray(flat.indices)
+            order = np.argsort(codes, kind="stable")
+            doc, codes = doc[order], codes[order]
+            tf = np.asarray(rows["tfs"].combine_chunks().flatten())[order]
+            n = np.asarray(rows["n"])[doc]
+            begins = np.flatnonzero(np.diff(codes, prepend=-1))
+            offsets = pa.array(np.append(begins, len(codes)), pa.int32())
+            adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / (mean or 1.0)))
+            as_list = lambda x: pa.ListArray.from_arrays(offsets, x)
+            return pa.table({
+                "token": flat.dictionary.take(pa.array(codes[begins])), "block": pa.array(np.full(len(begins), rows["block"][0].as_py() if len(rows) else 0)),
+                "ids": as_list(ids.take(pa.array(doc))), "tfs": as_list(pa.array(tf.astype(np.int32))), "sizes": as_list(pa.array(n.astype(np.int32))),
+                "docs": pa.array(np.diff(np.append(begins, len(codes))).astype(np.int32)), "most": pa.array(np.maximum.reduceat(adds, begins) if len(begins) else np.zeros(0)),
+            })
+
+        # A group is a block, about per_block documents.
+        placed = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).select("block", "doc_id", "n", "terms", "tfs")
+        lists = placed.groupBy("block").applyInArrow(lists_of, f"token string, block long, ids array<{kind}>, tfs array<int>, sizes array<int>, docs int, most double")
+        lists = lists.select("*", self._bucket())
         # A task writes a file to each bucket at most.
         self._write(lists.sortWithinPartitions("bucket", "token", "block"), "postings", segment, "bucket")
         df = self._read("postings", [segment], kind).select("token", F.col("docs").cast("long").alias("df"))
