@@ -36,6 +36,8 @@ from rosterlake.sources.shared import kept
 
 #: Queries that one task scores against a block at once.
 ASKED = 1000
+#: Tokens of all queries up to which every task gets them all, some ten bytes each; more of them meet the lists in a shuffle.
+WANTED = 200_000
 
 
 class TextIndex:
@@ -82,6 +84,11 @@ class TextIndex:
         rows = self.commits(before)
         return [r.segment for r in rows], rows[0].id_type if rows else "", sum(r.docs for r in rows), sum(r.words for r in rows)
 
+    def _asked_for(self, lists: DataFrame, asked: DataFrame) -> DataFrame:
+        """The rows of lists (bucket, token ...) whose token some query has."""
+        wanted = asked.select("bucket", "token").distinct()
+        return lists.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, ["bucket", "token"], "left_semi")
+
     def _read(self, name: str, segments: list[int], kind: str) -> DataFrame:
         return self.spark.read.schema(self._schema(name, kind)).parquet(f"{self.path}/{name}").where(F.col("segment").isin(segments))
 
@@ -178,11 +185,10 @@ class TextIndex:
         commits = self.commits()
         segments, kind, docs, words = self.state()
         asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(self.analyse(F.col(query)))).alias("token")).withColumn("bucket", self._bucket())
-        wanted = asked.select("token", "bucket").distinct()
-        df = self._read("counts", segments, kind).join(wanted, ["bucket", "token"], "left_semi").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+        df = self._asked_for(self._read("counts", segments, kind), asked).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
         idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        asked = asked.join(df, "token").select("query", "token", "bucket", idf.alias("idf"))
-        heads = self._read("postings", segments, kind).select("segment", "bucket", "token", "block", "most")
+        asked = kept(asked.join(df, "token").select("query", "token", "bucket", idf.alias("idf")), "asked")
+        heads = self._asked_for(self._read("postings", segments, kind).select("segment", "bucket", "token", "block", "most"), asked)
         # With a mean m times as large as when the segment was written, a weight is m times as large at most.
         grown = F.create_map(*[F.lit(x) for r in commits for x in (r.segment, max(1.0, words / max(docs, 1) / r.mean) if r.mean else 1.0)])
         part = F.col("idf") * F.col("most") * F.element_at(grown, F.col("segment"))
@@ -206,8 +212,7 @@ class TextIndex:
         mean, k1, b = words / max(docs, 1) or 1.0, self.k1, self.b
         query_kind = asked.schema["query"].dataType.simpleString()
         # Lists of tokens that nobody asks for, and of blocks that no search has chosen, are not opened.
-        lists = self._read("postings", segments, kind).join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
-        lists = lists.select("segment", "block", "token", "ids", "tfs", "sizes")
+        lists = self._asked_for(self._read("postings", segments, kind), asked).select("segment", "block", "token", "ids", "tfs", "sizes")
         none = F.lit(None).cast("array<int>")
         lists = lists.unionByName(self._closed(among).select("segment", "block", F.lit(None).cast("string").alias("token"), "ids", none.alias("tfs"), none.alias("sizes")))
         lists = lists.join(chosen.select("segment", "block").distinct(), ["segment", "block"], "left_semi")
