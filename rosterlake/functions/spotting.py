@@ -21,7 +21,7 @@ NODE = 40
 
 
 class Automaton(NamedTuple):
-    """Edges sorted by (node, letter): start of each node's edges, letters and goals; failure, the longest term that ends at a node (-1: none), and the next node of a shorter one; terms' numbers and lengths."""
+    """Edges sorted by (node, letter): start of each node's edges, letters and goals; failure, the longest term that ends at a node (-1: none), and the next node of a shorter one; the terms' lengths."""
 
     first: np.ndarray
     letters: np.ndarray
@@ -29,18 +29,16 @@ class Automaton(NamedTuple):
     failure: np.ndarray
     term: np.ndarray
     shorter: np.ndarray
-    number: np.ndarray
     length: np.ndarray
 
 
 def build(terms: list[str]) -> Automaton:
     """An automaton of distinct terms that are not empty; a term's number is its place in the list."""
-    order = sorted(range(len(terms)), key=terms.__getitem__)
     children: list[dict[str, int]] = [{}]
     ends = [-1]
-    for t in order:
+    for t, letters in enumerate(terms):
         node = 0
-        for c in terms[t]:
+        for c in letters:
             found = children[node].get(c)
             if found is None:
                 found = children[node][c] = len(children)
@@ -67,7 +65,7 @@ def build(terms: list[str]) -> Automaton:
         np.concatenate([[0], np.cumsum(counts)]).astype(np.int32),
         np.array([ord(c) for c, _ in edges], np.int32), np.array([g for _, g in edges], np.int32),
         np.array(failure, np.int32), np.array(ends, np.int32), np.array(shorter, np.int32),
-        np.arange(len(terms), dtype=np.int32), np.array([len(t) for t in terms], np.int32),
+        np.array([len(t) for t in terms], np.int32),
     )
 
 
