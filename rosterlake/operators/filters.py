@@ -42,6 +42,10 @@ COMPARE = {
 }
 
 
+#: Values of the operator all that are flags of their own in one pass.
+FLAGS = 16
+
+
 def as_list(value) -> list:
     return list(value) if isinstance(value, (list, tuple, set)) else [value]
 
@@ -66,9 +70,11 @@ def apply_filters(
     A bare value means equality; a filter whose value is null is dropped unless the
     operator needs none; an unknown field is skipped with a warning.  In a child
     table a filter asks for some row, the operator all for a row of each value; a
-    sum over no rows is 0.
+    sum over no rows is 0.  Several filters on one child table are one pass over it: a
+    row for each key says which of them are met, so its rows are not shuffled for each.
     """
     warnings, out = [], base
+    together: dict[str, list[tuple[Field, str, object]]] = {}
     for name, given in filters.items():
         if name not in fields:
             warnings.append(f"unknown field: {name}")
@@ -84,18 +90,52 @@ def apply_filters(
                 column = temporal.age_years(column.cast("date"), F.lit(field.as_of).cast("date"))
             out = out.where(predicate(column, operator, value))
             continue
-        child = tables[field.child].withColumnRenamed(field.key, key).select(key, field.column)
-        if field.total:
-            sums = child.groupBy(key).agg((F.sum(field.column) / field.divisor).alias("filter_total"))
-            out = out.join(sums, key, "left").where(predicate(F.coalesce("filter_total", F.lit(0.0)), operator, value)).drop("filter_total")
-        elif operator == "all":
-            out = out.join(has_all(child, key, field.column, value), key, "left_semi")
+        if operator != "all" or 0 < len(as_list(value)) <= FLAGS:
+            together.setdefault(f"{field.child}/{field.key}", []).append((field, operator, value))
         else:
-            operator = "in" if operator in ("any", "eq") else operator
-            out = out.join(child.where(predicate(F.col(field.column), operator, value)), key, "left_semi")
+            child = tables[field.child].withColumnRenamed(field.key, key).select(key, field.column)
+            out = out.join(has_all(child, key, field.column, value), key, "left_semi")
+    for asked in together.values():
+        field, operator, value = asked[0]
+        child = tables[field.child].withColumnRenamed(field.key, key)
+        if len(asked) > 1 and not all(f.total for f, _, _ in asked):
+            out = out.join(meeting(child, key, asked), key, "left_semi")
+            continue
+        for field, operator, value in asked:
+            out = by_child(out, child.select(key, field.column), key, field, operator, value)
     return out, warnings
 
 
+def by_child(out: DataFrame, child: DataFrame, key: str, field: Field, operator: str, value) -> DataFrame:
+    """The rows of out that meet one filter on a child table."""
+    if field.total:
+        sums = child.groupBy(key).agg((F.sum(field.column) / field.divisor).alias("filter_total"))
+        return out.join(sums, key, "left").where(predicate(F.coalesce("filter_total", F.lit(0.0)), operator, value)).drop("filter_total")
+    if operator == "all":
+        return out.join(has_all(child, key, field.column, value), key, "left_semi")
+    return out.join(child.where(predicate(F.col(field.column), some(operator), value)), key, "left_semi")
+
+
+def some(operator: str) -> str:
+    return "in" if operator in ("any", "eq") else operator
+
+
+def meeting(child: DataFrame, key: str, asked: list[tuple[Field, str, object]]) -> DataFrame:
+    """Keys whose rows meet every one of several filters, of which one at least asks for a row."""
+    told, wanted = [], F.lit(True)
+    for i, (field, operator, value) in enumerate(asked):
+        column = F.col(field.column)
+        if field.total:
+            told.append((F.sum(column) / field.divisor).alias(f"t{i}"))
+            wanted = wanted & predicate(F.coalesce(f"t{i}", F.lit(0.0)), operator, value)
+            continue
+        tests = [column == v for v in as_list(value)] if operator == "all" else [predicate(column, some(operator), value)]
+        for j, test in enumerate(tests):
+            told.append(F.bool_or(F.coalesce(test, F.lit(False))).alias(f"t{i}_{j}"))
+            wanted = wanted & F.col(f"t{i}_{j}")
+    return child.groupBy(key).agg(*told).where(wanted).select(key)
+
+
 def ordered_page(rows: DataFrame, sort: str | None, sorts: dict[str, Column], default: str, key: str, limit: int, offset: int = 0, cap: int = 100) -> DataFrame:
     """Sorted by a named order (the default if unknown), ties by key, at most cap rows."""
     page = rows.orderBy(sorts.get(sort, sorts[default]), F.col(key))
