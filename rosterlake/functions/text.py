@@ -76,7 +76,7 @@ def has_greek(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """The lower-cased runs of letters and digits, in order; null for null."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def cache_key(c: Column) -> Column:
