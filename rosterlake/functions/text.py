@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column, functions as F
 
@@ -35,7 +36,8 @@ def normalise(c: Column) -> Column:
 
 def normalise_name(c: Column) -> Column:
     """normalise(), then only letters a-z, Greek letters, digits and spaces."""
-    return F.regexp_replace(normalise(c), "[^a-zα-ω0-9 ]", "")
+    # One by one, since Java looks single letters up and compares ranges in turn.
+    return F.regexp_replace(normalise(c), f"[^{ascii_lowercase}{digits} α-ω]+", "")
 
 
 def ascii_name(c: Column) -> Column:
@@ -66,8 +68,9 @@ def similarity(a: Column, b: Column) -> Column:
 def language(c: Column) -> Column:
     """el if Greek letters are more than 0.3 of the letters, else en; en without letters."""
     text = F.coalesce(c, F.lit(""))
-    greek = F.regexp_count(text, F.lit(r"[Ͱ-Ͽἀ-῿]"))
-    return F.when(greek > F.regexp_count(text, F.lit(r"\p{L}")) * 0.3, "el").otherwise("en")
+    # By what is missing without them: regexp_count would make a list of all letters.
+    count = lambda letters: F.length(text) - F.length(F.regexp_replace(text, letters, ""))
+    return F.when(count(r"[Ͱ-Ͽἀ-῿]+") > count(r"\p{L}+") * 0.3, "el").otherwise("en")
 
 
 def has_greek(c: Column) -> Column:

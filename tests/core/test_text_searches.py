@@ -1,8 +1,12 @@
 """Text searches at size: what is shuffled and written, and odd rows."""
 
 import math
+import unicodedata
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from rosterlake.functions import text
 from rosterlake.operators import retrieval
 
 
@@ -42,3 +46,15 @@ def test_no_pair_of_a_query_and_a_document_is_shuffled(spark, monkeypatch):
         # Four documents a query leave each block: pairs are added up inside a task.
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapCoGroupsInArrow" in plan and plan.index("FlatMapCoGroupsInArrow") < plan.index("Join")
+
+
+def test_letters_are_counted_without_a_list_of_them(spark):
+    odd = ["", None, "abc", "αβγ", "abcdefg αβγ", "abcdefgh αβγδ", "12 3!", "ἀῆ x", "𝔘𝔫 α", "á é\nß", " Ώρα_ΚΑΛΗ-7 \t", "ς jcqw Z9 "]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, t string")
+    greek = lambda c: "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿"
+    of = lambda t: "el" if sum(map(greek, t or "")) > 0.3 * sum(unicodedata.category(c)[0] == "L" for c in t or "") else "en"
+    found = rows.select("t", text.language(F.col("t")).alias("l"), text.normalise_name(F.col("t")).alias("n"))
+    assert "regexp_count" not in found._jdf.queryExecution().analyzed().toString()
+    for r in found.collect():
+        plain = "".join(c for c in unicodedata.normalize("NFD", (r.t or "").strip(" ").lower()) if unicodedata.category(c) != "Mn")
+        assert r.l == of(r.t) and r.n == "".join(c for c in plain if c in "abcdefghijklmnopqrstuvwxyz0123456789 " or "α" <= c <= "ω")
