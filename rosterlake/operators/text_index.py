@@ -31,15 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rosterlake.functions.text import tokens
+from rosterlake.operators.retrieval import ASKED, WANTED, best_of_lists, counted
 from rosterlake.sources.shared import kept
 
 
-#: Queries that one task scores against a block at once.
-ASKED = 1000
-#: Tokens of all queries up to which every task gets them all, some ten bytes each; more of them meet the lists in a shuffle.
-WANTED = 200_000
-
-
 class TextIndex:
     """An index in the folder path.
 
@@ -131,9 +126,8 @@ class TextIndex:
         # A group is a block, about per_block documents.
         placed = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).select("block", "doc_id", "n", "terms", "tfs")
         lists = placed.groupBy("block").applyInArrow(lists_of, f"token string, block long, ids array<{kind}>, tfs array<int>, sizes array<int>, docs int, most double")
-        lists = lists.select("*", self._bucket())
         # A task writes a file to each bucket at most.
-        self._write(lists.sortWithinPartitions("bucket", "token", "block"), "postings", segment, "bucket")
+        self._write(lists.select("*", self._bucket()).sortWithinPartitions("bucket"), "postings", segment, "bucket")
         df = self._read("postings", [segment], kind).select("token", F.col("docs").cast("long").alias("df"))
         if changes is not None:
             df = df.unionByName(changes.select("token", (-F.col("df")).alias("df")))
@@ -150,13 +144,9 @@ class TextIndex:
         null or empty text is a document without tokens.
         """
         kind = docs.schema[doc_id].dataType.simpleString()
-        fresh = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.sort_array(F.coalesce(self.analyse(F.col(text)), F.array().cast("array<string>"))).alias("s"))
-        # Equal tokens stand together: each begins where its left neighbour is another one.
-        begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-        fresh = fresh.withColumn("b", F.when(F.size("s") > 0, begins).otherwise(F.array().cast("array<int>")))
-        terms = F.transform("b", lambda i: F.get("s", i))
-        tfs = F.transform("b", lambda i, j: F.coalesce(F.get("b", j + 1), F.size("s")) - i)
-        self._write(fresh.select("doc_id", F.size("s").alias("n"), terms.alias("terms"), tfs.alias("tfs")), "docs", segment)
+        fresh = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        tokenised = lambda c: F.coalesce(self.analyse(c), F.array().cast("array<string>"))
+        self._write(counted(fresh, "text", tokenised), "docs", segment)
         segments, _, _, _ = self.state(before=segment)
         changes, gone = None, (0, 0)
         ids = self._read("docs", [segment], kind).select("doc_id")
@@ -182,18 +172,25 @@ class TextIndex:
 
     def bounds(self, queries: DataFrame, query_id: str, query: str) -> tuple[DataFrame, DataFrame]:
         """query, token, idf, bucket of what is asked; and query, segment, block, bound: what a document of the block can score at most."""
+        asked, _, found = self._opened(queries, query_id, query)
+        return asked, found
+
+    def _opened(self, queries: DataFrame, query_id: str, query: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What bounds() gives, and between them the postings of the tokens that are asked for, read from the index once."""
         commits = self.commits()
         segments, kind, docs, words = self.state()
         asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(self.analyse(F.col(query)))).alias("token")).withColumn("bucket", self._bucket())
         df = self._asked_for(self._read("counts", segments, kind), asked).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
         idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         asked = kept(asked.join(df, "token").select("query", "token", "bucket", idf.alias("idf")), "asked")
-        heads = self._asked_for(self._read("postings", segments, kind).select("segment", "bucket", "token", "block", "most"), asked)
+        columns = ["segment", "bucket", "token", "block", "most", "ids", "tfs", "sizes"]
+        lists = kept(self._asked_for(self._read("postings", segments, kind).select(*columns), asked), "lists")
         # With a mean m times as large as when the segment was written, a weight is m times as large at most.
         grown = F.create_map(*[F.lit(x) for r in commits for x in (r.segment, max(1.0, words / max(docs, 1) / r.mean) if r.mean else 1.0)])
         part = F.col("idf") * F.col("most") * F.element_at(grown, F.col("segment"))
+        heads = lists.select("segment", "bucket", "token", "block", "most")
         found = heads.join(asked, ["bucket", "token"]).groupBy("query", "segment", "block").agg(F.sum(part).alias("bound"))
-        return asked, found
+        return asked, lists, found
 
     def _closed(self, among: DataFrame | None) -> DataFrame:
         """segment, block, ids of documents that no search may find: dead ones, and those not among the given."""
@@ -206,15 +203,15 @@ class TextIndex:
         placed = closed.where(F.col("segment").isin(segments)).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
         return placed.groupBy("segment", "block").agg(F.collect_set("doc_id").alias("ids"))
 
-    def _scored(self, asked: DataFrame, chosen: DataFrame, among: DataFrame | None, k: int) -> DataFrame:
-        """query, doc_id, score of the k best open documents of each chosen block (query, segment, block)."""
+    def _scored(self, asked: DataFrame, lists: DataFrame, closed: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+        """query, doc_id, score of the k best documents, without closed ones, of each chosen block (query, segment, block)."""
         segments, kind, docs, words = self.state()
         mean, k1, b = words / max(docs, 1) or 1.0, self.k1, self.b
         query_kind = asked.schema["query"].dataType.simpleString()
-        # Lists of tokens that nobody asks for, and of blocks that no search has chosen, are not opened.
-        lists = self._asked_for(self._read("postings", segments, kind), asked).select("segment", "block", "token", "ids", "tfs", "sizes")
+        # Lists of blocks that no search has chosen go to no task.
+        lists = lists.select("segment", "block", "token", "ids", "tfs", "sizes")
         none = F.lit(None).cast("array<int>")
-        lists = lists.unionByName(self._closed(among).select("segment", "block", F.lit(None).cast("string").alias("token"), "ids", none.alias("tfs"), none.alias("sizes")))
+        lists = lists.unionByName(closed.select("segment", "block", F.lit(None).cast("string").alias("token"), "ids", none.alias("tfs"), none.alias("sizes")))
         lists = lists.join(chosen.select("segment", "block").distinct(), ["segment", "block"], "left_semi")
         parts = max(1, -(-asked.select("query").distinct().count() // ASKED))
         by_query = asked.groupBy("query").agg(F.collect_list("token").alias("tokens"), F.collect_list("idf").alias("idfs"))
@@ -235,16 +232,9 @@ class TextIndex:
                 usable = np.ones(len(ids), bool)
                 for gone in closed:
                     usable &= ~np.isin(ids, gone)
-                for query, tokens, idfs in zip(wanted["query"], wanted["tokens"], wanted["idfs"]):
-                    total, met = np.zeros(len(ids)), np.zeros(len(ids), bool)
-                    for token, idf in zip(tokens, idfs):
-                        if token in list_of:
-                            at, add = list_of[token]
-                            total[at] += idf * add
-                            met[at] = True
-                    at = np.flatnonzero(met & usable)
-                    at = at[np.argsort(-np.round(total[at], 6), kind="stable")[:k]]  # ids are in order, so ties are too
-                    out.append(pd.DataFrame({"query": [query] * len(at), "doc_id": ids[at], "score": total[at]}))
+                found = [best_of_lists(list_of, len(ids), tokens, idfs, k, usable) for tokens, idfs in zip(wanted["tokens"], wanted["idfs"])]
+                query = np.repeat(wanted["query"].to_numpy(), [len(at) for at, _ in found])
+                out.append(pd.DataFrame({"query": query, "doc_id": ids[np.concatenate([at for at, _ in found])], "score": np.concatenate([x for _, x in found])}))
             return pd.concat(out) if out else pd.DataFrame({"query": [], "doc_id": [], "score": []})
 
         found = left.groupBy("segment", "block", "part").cogroup(right.groupBy("segment", "block", "part"))
@@ -261,17 +251,17 @@ class TextIndex:
         segments, kind, *_ = self.state()
         if not segments:
             return queries.select(query_id, F.lit(None).cast("long").alias(doc_id), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        listed = None if among is None else among.select(F.col(doc_id).alias("doc_id"))
-        asked, bounds = self.bounds(queries, query_id, query)
+        closed = kept(self._closed(None if among is None else among.select(F.col(doc_id).alias("doc_id"))), "closed")
+        asked, lists, bounds = self._opened(queries, query_id, query)
         best = Window.partitionBy("query").orderBy(F.desc("bound"), "segment", "block")
         bounds = kept(bounds.withColumn("r", F.row_number().over(best)), "bounds")
         place = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
         top = lambda scores: scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-        first = kept(top(self._scored(asked, bounds.where(F.col("r") <= seeds).select("query", "segment", "block"), listed, k)), "best-so-far")
+        first = kept(top(self._scored(asked, lists, closed, bounds.where(F.col("r") <= seeds).select("query", "segment", "block"), k)), "best-so-far")
         least = first.where(F.col("rank") == k).select("query", F.col("score").alias("least"))
         # Scores are rounded to six digits, so a bound may be lower than a score by half a unit of the last one.
         rest = bounds.where(F.col("r") > seeds).join(least, "query", "left").where("least is null or bound >= least - 0.000001").select("query", "segment", "block")
-        found = top(first.drop("rank").unionByName(self._scored(asked, rest, listed, k)))
+        found = top(first.drop("rank").unionByName(self._scored(asked, lists, closed, rest, k)))
         return found.select(F.col("query").alias(query_id), F.col("doc_id").alias(doc_id), "score", "rank")
 
 

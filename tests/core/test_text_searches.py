@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import text
 from rosterlake.operators import retrieval
+from rosterlake.operators.text_index import TextIndex
 
 
 def plain_bm25(rows, asked, k, mean):
@@ -58,3 +59,17 @@ def test_letters_are_counted_without_a_list_of_them(spark):
     for r in found.collect():
         plain = "".join(c for c in unicodedata.normalize("NFD", (r.t or "").strip(" ").lower()) if unicodedata.category(c) != "Mn")
         assert r.l == of(r.t) and r.n == "".join(c for c in plain if c in "abcdefghijklmnopqrstuvwxyz0123456789 " or "α" <= c <= "ω")
+
+
+def test_a_search_reads_its_postings_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the word{i % 7} w{i} end") for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"the word{q} w{q * 9}") for q in range(7)], "q long, words string")
+    index = TextIndex(spark, str(tmp_path), buckets=4, per_block=16)
+    index.update(docs, 1)
+    read, plain = [], TextIndex._read
+    monkeypatch.setattr(TextIndex, "_read", lambda self, name, *a: read.append(name) or plain(self, name, *a))
+    found = {tuple(r) for r in index.search(asked, "q", "words", 5, among=docs.where("doc_id <> 9")).collect()}
+    assert read.count("postings") == 1 and read.count("dead") == 1
+    assert found == {tuple(r) for r in retrieval.bm25(docs, "doc_id", "text", asked, "q", "words", 5, where=F.col("doc_id") != 9).collect()}
+    # Equal tokens are found without a function that Spark calls for each of them.
+    assert "lambdafunction" not in text.tokens(F.col("text"))._jc.toString()
