@@ -5,10 +5,12 @@ own, in a folder of its own:
 
 docs      a row per document: its number of tokens, its distinct tokens and their counts, which is
           what a later update needs to take it out
-postings  a row per token and block of documents: sorted ids, and the tokens' counts and the
-          documents' sizes beside them, as arrays; and the most that the token adds to the score
-          of any document of the block, but for its rarity
-counts    by how much a segment changes the number of documents of a token
+postings  a row per token and shelf, which is up to TOGETHER blocks of documents: the blocks that have
+          the token, how many of its documents each has, and the most that the token adds to the
+          score of any document of the block, but for its rarity; then ids, sorted by block and
+          id, and the tokens' counts and the documents' sizes beside them
+counts    how many documents of a token, by the postings of earlier segments, a segment replaced
+          or removed: what the postings count, less this, is the number of its documents
 dead      documents of earlier segments that this one replaced or removed
 commits   one row, written last: a segment without it does not exist for a reader
 
@@ -17,28 +19,35 @@ can be replayed.  An update reads the ids of what is there and the tokens of the
 that it replaces; postings of other documents stay as they are.
 
 Texts are never shuffled.  A document's tokens are counted in its own row; rows of distinct
-tokens go to their block, where lists are made and written in place.
+tokens go to their shelf, where lists are made and written in place.  Most lists of a block
+hold a document or two, so a shelf has far fewer rows than its blocks have lists.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rosterlake.functions.text import tokens
 from rosterlake.operators.retrieval import ASKED, WANTED, best_of_lists, counted
 from rosterlake.sources.shared import kept
 
+#: Blocks of a shelf at most: a row of the postings has a token's documents of all of them.
+TOGETHER = 16
+#: Distinct tokens of documents that a shelf holds, on average, unless one block holds more; it has fewer blocks where documents are long.
+HELD = 1 << 21
+
 
 class TextIndex:
     """An index in the folder path.
 
-    buckets: folders by hash of the token, so that a search opens those of its tokens only.
+    buckets: parts by hash of the token, in whose order a shelf's rows stand, so that a search leaves out pages of others.
     per_block: documents of a block, on average.  analyse: text to array of tokens, the same
     for documents and searches.  k1, b: how a token's count and a document's size weigh.
     """
@@ -48,19 +57,21 @@ class TextIndex:
     ):
         self.spark, self.path, self.buckets, self.per_block, self.analyse, self.k1, self.b = spark, path.rstrip("/"), buckets, per_block, analyse, k1, b
 
+    def _lists(self, kind: str) -> str:
+        return f"bucket int, token string, shelf long, df int, blocks array<long>, docs array<int>, most array<double>, ids array<{kind}>, tfs array<int>, sizes array<int>"
+
     def _schema(self, name: str, kind: str) -> str:
         columns = {
             "docs": f"doc_id {kind}, n int, terms array<string>, tfs array<int>",
-            "postings": f"token string, block long, ids array<{kind}>, tfs array<int>, sizes array<int>, docs int, most double, bucket int",
+            "postings": self._lists(kind),
             "counts": "token string, df long, bucket int",
             "dead": f"doc_id {kind}, of_segment long",
-            "commits": "docs long, words long, blocks long, mean double, base boolean, id_type string",
+            "commits": "docs long, words long, blocks long, together long, mean double, base boolean, id_type string",
         }
         return f"{columns[name]}, segment long"
 
-    def _write(self, rows: DataFrame, name: str, segment: int, *by: str) -> None:
-        writer = rows.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}/segment={segment}")
+    def _write(self, rows: DataFrame, name: str, segment: int) -> None:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/segment={segment}")
 
     def _commits(self) -> DataFrame | None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
@@ -82,13 +93,21 @@ class TextIndex:
     def _asked_for(self, lists: DataFrame, asked: DataFrame) -> DataFrame:
         """The rows of lists (bucket, token ...) whose token some query has."""
         wanted = asked.select("bucket", "token").distinct()
-        return lists.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, ["bucket", "token"], "left_semi")
+        n, buckets = wanted.agg(F.count("*"), F.collect_set("bucket")).first()
+        return lists.where(F.col("bucket").isin(buckets)).join(F.broadcast(wanted) if n <= WANTED else wanted, ["bucket", "token"], "left_semi")
 
     def _read(self, name: str, segments: list[int], kind: str) -> DataFrame:
         return self.spark.read.schema(self._schema(name, kind)).parquet(f"{self.path}/{name}").where(F.col("segment").isin(segments))
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int").alias("bucket")
+        return (F.crc32("token") % self.buckets).cast("int").alias("bucket")
+
+    def _of_segment(self, name: str) -> Column:
+        """What the commit of a row's segment says."""
+        return F.element_at(F.create_map(*[F.lit(x) for r in self.commits() for x in (r.segment, r[name])]), F.col("segment"))
+
+    def _shelf(self) -> Column:
+        return F.floor(F.col("block") / self._of_segment("together")).alias("shelf")
 
     def _dead(self, segments: list[int], kind: str) -> DataFrame:
         return self._read("dead", segments, kind).select("doc_id", F.col("of_segment").alias("segment"))
@@ -96,44 +115,48 @@ class TextIndex:
     def _invert(self, segment: int, kind: str, base: bool, changes: DataFrame | None, gone: tuple[int, int]) -> None:
         """Postings, counts and the commit of a segment from its docs; changes: token and df to count off, gone: documents and tokens."""
         held = self._read("docs", [segment], kind)
-        docs, words = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        docs, words, entries = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
         blocks = max(1, -(-docs // self.per_block))
+        together = max(1, min(TOGETHER, HELD * blocks // max(entries, 1)))
         _, _, all_docs, all_words = ([], "", 0, 0) if base else self.state(before=segment)
         mean = (all_words + words - gone[1]) / max(all_docs + docs - gone[0], 1)
-        k1, b = self.k1, self.b
+        k1, b, buckets = self.k1, self.b, self.buckets
 
         def lists_of(rows: pa.Table) -> pa.Table:
-            """The lists of one block: its documents' tokens, sorted by token and then id."""
-            rows = rows.take(pc.sort_indices(rows["doc_id"]))
+            """The lists of one shelf: its documents' tokens, sorted by bucket, token, block and then id."""
+            rows = rows.take(pc.sort_indices(rows, [("block", "ascending"), ("doc_id", "ascending")]))
             held, ids = rows["terms"].combine_chunks(), rows["doc_id"].combine_chunks()
             doc = np.repeat(np.arange(len(rows)), np.asarray(held.value_lengths()))
             flat = held.flatten().dictionary_encode()
-            codes = np.asarray(flat.indices)
-            order = np.argsort(codes, kind="stable")
+            each = map(zlib.crc32, flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))
+            bucket = (np.fromiter(each, np.int64, len(flat.dictionary)) % buckets).astype(np.int32)
+            placed = np.argsort(bucket, kind="stable")
+            words, codes = flat.dictionary.take(pa.array(placed)), np.argsort(placed)[np.asarray(flat.indices)]
+            order = np.sort(codes << 32 | np.arange(len(codes))) & 0xFFFFFFFF  # by code, then place; faster than argsort
             doc, codes = doc[order], codes[order]
             tf = np.asarray(rows["tfs"].combine_chunks().flatten())[order]
-            n = np.asarray(rows["n"])[doc]
+            n, block = np.asarray(rows["n"])[doc], np.asarray(rows["block"])[doc]
             begins = np.flatnonzero(np.diff(codes, prepend=-1))
-            offsets = pa.array(np.append(begins, len(codes)), pa.int32())
+            parts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
             adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / (mean or 1.0)))
-            as_list = lambda x: pa.ListArray.from_arrays(offsets, x)
+            most = np.maximum.reduceat(adds, parts) if len(parts) else np.zeros(0)
+            ends, part_ends = np.append(begins, len(codes)), np.append(parts, len(codes))
+            as_list = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+            by_part, by_doc = (lambda x: as_list(np.searchsorted(parts, ends), pa.array(x))), (lambda x: as_list(ends, x))
             return pa.table({
-                "token": flat.dictionary.take(pa.array(codes[begins])), "block": pa.array(np.full(len(begins), rows["block"][0].as_py() if len(rows) else 0)),
-                "ids": as_list(ids.take(pa.array(doc))), "tfs": as_list(pa.array(tf.astype(np.int32))), "sizes": as_list(pa.array(n.astype(np.int32))),
-                "docs": pa.array(np.diff(np.append(begins, len(codes))).astype(np.int32)), "most": pa.array(np.maximum.reduceat(adds, begins) if len(begins) else np.zeros(0)),
+                "bucket": pa.array(bucket[placed]), "token": words, "shelf": pa.array(np.full(len(begins), rows["shelf"][0].as_py())), "df": pa.array(np.diff(ends).astype(np.int32)),
+                "blocks": by_part(block[parts]), "docs": by_part(np.diff(part_ends).astype(np.int32)), "most": by_part(most),
+                "ids": by_doc(ids.take(pa.array(doc))), "tfs": by_doc(pa.array(tf.astype(np.int32))), "sizes": by_doc(pa.array(n.astype(np.int32))),
             })
 
-        # A group is a block, about per_block documents.
-        placed = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).select("block", "doc_id", "n", "terms", "tfs")
-        lists = placed.groupBy("block").applyInArrow(lists_of, f"token string, block long, ids array<{kind}>, tfs array<int>, sizes array<int>, docs int, most double")
-        # A task writes a file to each bucket at most.
-        self._write(lists.select("*", self._bucket()).sortWithinPartitions("bucket"), "postings", segment, "bucket")
-        df = self._read("postings", [segment], kind).select("token", F.col("docs").cast("long").alias("df"))
-        if changes is not None:
-            df = df.unionByName(changes.select("token", (-F.col("df")).alias("df")))
-        counts = df.groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("bucket", self._bucket())
-        self._write(counts, "counts", segment, "bucket")
-        row = self.spark.createDataFrame([(docs - gone[0], words - gone[1], blocks, mean, base, kind)], "docs long, words long, blocks long, mean double, base boolean, id_type string")
+        # A group is a shelf, at most about TOGETHER times per_block documents.
+        placed = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).select(F.floor(F.col("block") / together).alias("shelf"), "block", "doc_id", "n", "terms", "tfs")
+        lists = placed.groupBy("shelf").applyInArrow(lists_of, self._lists(kind))
+        self._write(lists, "postings", segment)
+        if changes is None:
+            changes = held.select(F.lit("").alias("token"), F.lit(0).cast("long").alias("df")).limit(0)
+        self._write(changes.select("token", "df", self._bucket()).sortWithinPartitions("bucket"), "counts", segment)
+        row = self.spark.createDataFrame([(docs - gone[0], words - gone[1], blocks, together, mean, base, kind)], "docs long, words long, blocks long, together long, mean double, base boolean, id_type string")
         self._write(row.coalesce(1), "commits", segment)
 
     def update(self, docs: DataFrame, segment: int, doc_id: str = "doc_id", text: str = "text", removed: DataFrame | None = None) -> None:
@@ -179,67 +202,69 @@ class TextIndex:
         """What bounds() gives, and between them the postings of the tokens that are asked for, read from the index once."""
         commits = self.commits()
         segments, kind, docs, words = self.state()
-        asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(self.analyse(F.col(query)))).alias("token")).withColumn("bucket", self._bucket())
-        df = self._asked_for(self._read("counts", segments, kind), asked).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+        words_of = F.explode(F.array_distinct(self.analyse(F.col(query)))).alias("token")
+        asked = kept(queries.select(F.col(query_id).alias("query"), words_of).withColumn("bucket", self._bucket()), "asked")
+        columns = ["segment", "bucket", "token", "shelf", "df", "blocks", "docs", "most", "ids", "tfs", "sizes"]
+        lists = kept(self._asked_for(self._read("postings", segments, kind).select(*columns), asked), "lists")
+        lost = self._asked_for(self._read("counts", segments, kind), asked).select("token", (-F.col("df")).alias("df"))
+        df = lists.select("token", F.col("df").cast("long").alias("df")).unionByName(lost).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
         idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         asked = kept(asked.join(df, "token").select("query", "token", "bucket", idf.alias("idf")), "asked")
-        columns = ["segment", "bucket", "token", "block", "most", "ids", "tfs", "sizes"]
-        lists = kept(self._asked_for(self._read("postings", segments, kind).select(*columns), asked), "lists")
         # With a mean m times as large as when the segment was written, a weight is m times as large at most.
         grown = F.create_map(*[F.lit(x) for r in commits for x in (r.segment, max(1.0, words / max(docs, 1) / r.mean) if r.mean else 1.0)])
         part = F.col("idf") * F.col("most") * F.element_at(grown, F.col("segment"))
-        heads = lists.select("segment", "bucket", "token", "block", "most")
+        heads = lists.select("segment", "bucket", "token", F.explode(F.arrays_zip("blocks", "most")).alias("e")).select("segment", "bucket", "token", F.col("e.blocks").alias("block"), "e.most")
         found = heads.join(asked, ["bucket", "token"]).groupBy("query", "segment", "block").agg(F.sum(part).alias("bound"))
         return asked, lists, found
 
     def _closed(self, among: DataFrame | None) -> DataFrame:
-        """segment, block, ids of documents that no search may find: dead ones, and those not among the given."""
-        commits = self.commits()
+        """segment, shelf, ids of documents that no search may find: dead ones, and those not among the given."""
         segments, kind, _, _ = self.state()
         closed = self._dead(segments, kind).select("segment", "doc_id")
         if among is not None:
             closed = closed.union(self._read("docs", segments, kind).join(among, "doc_id", "left_anti").select("segment", "doc_id"))
-        blocks = F.element_at(F.create_map(*[F.lit(x) for r in commits for x in (r.segment, r.blocks)]), F.col("segment"))
-        placed = closed.where(F.col("segment").isin(segments)).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
-        return placed.groupBy("segment", "block").agg(F.collect_set("doc_id").alias("ids"))
+        placed = closed.where(F.col("segment").isin(segments)).withColumn("block", F.pmod(F.xxhash64("doc_id"), self._of_segment("blocks")))
+        return placed.groupBy("segment", self._shelf()).agg(F.collect_set("doc_id").alias("ids"))
 
     def _scored(self, asked: DataFrame, lists: DataFrame, closed: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         """query, doc_id, score of the k best documents, without closed ones, of each chosen block (query, segment, block)."""
         segments, kind, docs, words = self.state()
         mean, k1, b = words / max(docs, 1) or 1.0, self.k1, self.b
-        query_kind = asked.schema["query"].dataType.simpleString()
-        # Lists of blocks that no search has chosen go to no task.
-        lists = lists.select("segment", "block", "token", "ids", "tfs", "sizes")
-        none = F.lit(None).cast("array<int>")
-        lists = lists.unionByName(closed.select("segment", "block", F.lit(None).cast("string").alias("token"), "ids", none.alias("tfs"), none.alias("sizes")))
-        lists = lists.join(chosen.select("segment", "block").distinct(), ["segment", "block"], "left_semi")
         parts = max(1, -(-asked.select("query").distinct().count() // ASKED))
-        by_query = asked.groupBy("query").agg(F.collect_list("token").alias("tokens"), F.collect_list("idf").alias("idfs"))
-        right = chosen.join(by_query, "query").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+        # In the order of tokens, as retrieval.bm25 adds them up.
+        by_query = asked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("e")).select("query", F.col("e.token").alias("tokens"), F.col("e.idf").alias("idfs"))
+        shelf = self._shelf()
+        places = chosen.groupBy("query", "segment", shelf).agg(F.collect_list("block").alias("open"))
+        right = places.join(by_query, "query").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+        lists = lists.select("segment", "shelf", "token", "blocks", "docs", "ids", "tfs", "sizes").unionByName(closed.select("segment", "shelf", "ids"), allowMissingColumns=True)
+        # Lists of shelves that no search has chosen go to no task.
+        lists = lists.join(chosen.select("segment", shelf).distinct(), ["segment", "shelf"], "left_semi")
         left = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-        def best(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-            """Of one block: each query's lists added up, and its k best documents."""
-            out = []
-            closed = held.loc[held["token"].isna(), "ids"]
-            held = held[held["token"].notna()]
-            if len(held) and len(wanted):
-                ids, place = np.unique(np.concatenate(held["ids"].to_list()), return_inverse=True)
-                tf, n = (np.concatenate(held[c].to_list()).astype(float) for c in ("tfs", "sizes"))
-                adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
-                cuts = np.cumsum(held["ids"].map(len).to_numpy())[:-1]
-                list_of = dict(zip(held["token"], zip(np.split(place, cuts), np.split(adds, cuts))))
-                usable = np.ones(len(ids), bool)
-                for gone in closed:
-                    usable &= ~np.isin(ids, gone)
-                found = [best_of_lists(list_of, len(ids), tokens, idfs, k, usable) for tokens, idfs in zip(wanted["tokens"], wanted["idfs"])]
-                query = np.repeat(wanted["query"].to_numpy(), [len(at) for at, _ in found])
-                out.append(pd.DataFrame({"query": query, "doc_id": ids[np.concatenate([at for at, _ in found])], "score": np.concatenate([x for _, x in found])}))
-            return pd.concat(out) if out else pd.DataFrame({"query": [], "doc_id": [], "score": []})
-
-        found = left.groupBy("segment", "block", "part").cogroup(right.groupBy("segment", "block", "part"))
-        scores = found.applyInPandas(best, f"query {query_kind}, doc_id {kind}, score double")
-        return scores.withColumn("score", F.round("score", 6))
+        types = StructType([StructField("query", asked.schema["query"].dataType), *StructType.fromDDL(f"doc_id {kind}"), StructField("score", DoubleType())])
+
+        def best(held: pa.Table, wanted: pa.Table) -> pa.Table:
+            """Of one shelf: each query's lists added up, and its k best documents of the blocks that it opens."""
+            flat = lambda rows, c: rows[c].combine_chunks().flatten()
+            closed, held = held.filter(pc.is_null(held["token"])), held.filter(pc.is_valid(held["token"]))
+            ids = flat(held, "ids").dictionary_encode()
+            order = pc.sort_indices(ids.dictionary)
+            place = np.argsort(np.asarray(order))[np.asarray(ids.indices)]
+            ids = ids.dictionary.take(order)
+            tf, n = (np.asarray(flat(held, c)).astype(float) for c in ("tfs", "sizes"))
+            adds = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+            cuts = np.cumsum(np.asarray(held["ids"].combine_chunks().value_lengths()))[:-1]
+            list_of = dict(zip(held["token"].to_pylist(), zip(np.split(place, cuts), np.split(adds, cuts))))
+            block = np.zeros(len(ids), np.int64)
+            block[place] = np.repeat(np.asarray(flat(held, "blocks")), np.asarray(flat(held, "docs")))
+            usable = np.asarray(pc.invert(pc.is_in(ids, flat(closed, "ids"))))
+            asked = zip(*(wanted[c].to_pylist() for c in ("open", "tokens", "idfs")))
+            out = [best_of_lists(list_of, len(ids), tokens, idfs, k, usable & np.isin(block, opened)) for opened, tokens, idfs in asked]
+            asker = np.repeat(np.arange(len(out)), [len(at) for at, _ in out]).astype(np.int64)
+            at, scores = (np.concatenate([np.zeros(0), *x]) for x in zip(*out)) if out else (np.zeros(0), np.zeros(0))
+            return pa.table({"query": wanted["query"].take(pa.array(asker)), "doc_id": ids.take(pa.array(at.astype(np.int64))), "score": scores})
+
+        found = left.groupBy("segment", "shelf", "part").cogroup(right.groupBy("segment", "shelf", "part"))
+        return found.applyInArrow(best, types).withColumn("score", F.round("score", 6))
 
     def search(self, queries: DataFrame, query_id: str, query: str, k: int, doc_id: str = "doc_id", among: DataFrame | None = None, seeds: int = 2) -> DataFrame:
         """The k best documents of each query: query_id, doc_id, score, rank (ties by id); the same as retrieval.bm25 gives.

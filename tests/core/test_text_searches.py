@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from rosterlake.functions import text
-from rosterlake.operators import retrieval
+from rosterlake.operators import retrieval, text_index
 from rosterlake.operators.text_index import TextIndex
 
 
@@ -73,3 +73,27 @@ def test_a_search_reads_its_postings_once(spark, tmp_path, monkeypatch):
     assert found == {tuple(r) for r in retrieval.bm25(docs, "doc_id", "text", asked, "q", "words", 5, where=F.col("doc_id") != 9).collect()}
     # Equal tokens are found without a function that Spark calls for each of them.
     assert "lambdafunction" not in text.tokens(F.col("text"))._jc.toString()
+
+
+def test_a_token_of_neighbouring_blocks_is_one_row(spark, tmp_path, monkeypatch):
+    rows = [(i, f"the w{i % 50} w{i}" if i % 7 else "") for i in range(600)] + [(i, "") for i in range(600, 610)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "the w3 w77"), (2, "w49 none")], "q long, words string")
+    index = TextIndex(spark, str(tmp_path / "a"), buckets=4, per_block=16)
+    index.update(docs, 1)
+    assert index.bounds(asked, "q", "words")[1].select("block").distinct().count() > 30  # and still bounded block by block
+    postings = spark.read.parquet(f"{tmp_path}/a/postings")
+    assert postings.groupBy("token").count().agg(F.max("count")).first()[0] <= 3  # 39 blocks
+    assert {r.df for r in postings.where("token = 'the'").groupBy("token").agg(F.sum("df").alias("df")).collect()} == {sum(bool(i % 7) for i in range(600))}
+    # What the postings count is not counted again; only what a later segment takes away is.
+    assert spark.read.parquet(f"{tmp_path}/a/counts").isEmpty()
+    found = {tuple(r) for r in index.search(asked, "q", "words", 5).collect()}
+    assert found == {tuple(r) for r in retrieval.bm25(docs, "doc_id", "text", asked, "q", "words", 5).collect()} and len(found) == 10
+    # Long documents: fewer blocks in a group, here one.
+    monkeypatch.setattr(text_index, "HELD", 20, raising=False)
+    index.update(docs.where("doc_id % 3 = 0"), 2)
+    assert [r.together for r in index.commits()] == [16, 1]
+    assert found == {tuple(r) for r in index.search(asked, "q", "words", 5).collect()}
+    empty = TextIndex(spark, str(tmp_path / "b"), per_block=1)
+    empty.update(docs.where("text = ''"), 1)
+    assert empty.search(asked, "q", "words", 5).isEmpty()
