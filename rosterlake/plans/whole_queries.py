@@ -27,10 +27,9 @@ SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, vector_rank, text_ran
 def hybrid_search(t):
     """Texts and vectors of all documents, without those in French: top 10 of either search, fused and cut to 5."""
     vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = t("documents").join(vectors, "doc_id", "left")
     asked = t("benchmark").join(vectors.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("asked")), "item_id", "left")
     asked = asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), "asked")
-    return retrieval.hybrid(docs, "doc_id", "text", "embedding", asked, "query_id", "q", "asked", 5, weights=(0.5, 0.5), where=F.col("lang") != "fr")
+    return retrieval.hybrid(t("documents"), "doc_id", "text", "embedding", asked, "query_id", "q", "asked", 5, weights=(0.5, 0.5), where=F.col("lang") != "fr", vectors=vectors)
 
 
 def item_text():

@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from rosterlake.functions import text
 from rosterlake.operators import retrieval, text_index
 from rosterlake.operators.text_index import TextIndex
@@ -97,3 +98,16 @@ def test_a_token_of_neighbouring_blocks_is_one_row(spark, tmp_path, monkeypatch)
     empty = TextIndex(spark, str(tmp_path / "b"), per_block=1)
     empty.update(docs.where("text = ''"), 1)
     assert empty.search(asked, "q", "words", 5).isEmpty()
+
+
+def test_no_text_is_joined_to_a_vector(spark, sf, monkeypatch):
+    searched, plain = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda docs, *a, **more: searched.append(docs) or plain(docs, *a, **more))
+    found = queries()["hybrid_search"](spark, sf)
+    assert "Join" not in searched[0]._jdf.queryExecution().optimizedPlan().toString()
+    # Vectors beside the documents or in a table of their own: the same.
+    rows = spark.createDataFrame([(i, f"w{i % 3} w{i}", [1.0, i * 1.0] if i % 4 else None) for i in range(20)], "d long, t string, v array<double>")
+    asked = spark.createDataFrame([(1, "w1 w7", [1.0, 3.0]), (2, "w2", None)], "q long, w string, x array<double>")
+    search = lambda docs, **more: {tuple(r) for r in retrieval.hybrid(docs, "d", "t", "v", asked, "q", "w", "x", 4, where=F.col("d") != 5, **more).collect()}
+    assert search(rows) == search(rows.drop("v"), vectors=rows.where("v is not null").drop("t"))
+    assert found.count() > 0
